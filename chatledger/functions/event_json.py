@@ -38,6 +38,17 @@ def decode_value(value: str) -> Column:
     )
 
 
+def strict_json(text: str) -> Column:
+    """A variant if the text is exactly one JSON value, else null.
+
+    Spark's parser stops after the first value; inside an array with a last element of our own, anything
+    that follows the value is seen.
+    """
+    boxed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(', "end"]')))
+    whole = (F.try_variant_get(boxed, "$[1]", "string") == "end") & F.try_variant_get(boxed, "$[2]", "variant").isNull()
+    return F.when(whole, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
 def utc_clock(stamp: str) -> Column:
     """RFC 3339 text with a zone as UTC wall time without zone, whatever the session zone is."""
     return F.expr(

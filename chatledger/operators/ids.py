@@ -11,18 +11,20 @@ from chatledger.plans.ordered import running, total
 def assign_ids(commands: DataFrame, base: DataFrame | int = 0, partition: str | None = None) -> DataFrame:
     """Give commands the next ids in order of ``cmd_seq``: one sequence, or one per ``partition`` column.
 
-    ``base`` is the last id used: a number, or a table (``partition``, ``mark``).
+    ``base`` is the last id used: a number, or a table with ``mark`` (one row, or one per ``partition``).
     """
     keys = [] if partition is None else [partition]
     # The single sequence is walked in spans; per chat this depends on how many commands it has.
     rows = commands.withColumn("hot", F.lit(True)) if partition is None else commands
     rows = running(rows, keys, ["cmd_seq"], step_=total(F.lit(1)))
     if isinstance(base, int):
-        mark = F.lit(base)
+        rows = rows.withColumn("mark_", F.lit(base))
+    elif keys:
+        rows = rows.join(base.select(*keys, F.col("mark").alias("mark_")), keys, "left")
     else:
-        rows = rows.join(base.select(*keys, "mark"), keys, "left") if keys else rows.crossJoin(F.broadcast(base))
-        mark = F.coalesce("mark", F.lit(0))
-    return rows.withColumn("new_id", (mark + F.col("step_")).cast("long")).drop("step_", "mark", "hot")
+        rows = rows.withColumn("mark_", base.select("mark").scalar())
+    mark = F.coalesce("mark_", F.lit(0))
+    return rows.withColumn("new_id", (mark + F.col("step_")).cast("long")).drop("step_", "mark_", "hot")
 
 
 def chat_id_high_water(chats: DataFrame) -> DataFrame:

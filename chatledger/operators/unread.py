@@ -38,7 +38,7 @@ def _refreshes(events: DataFrame, action: int) -> DataFrame:
 
 def fills(events: DataFrame) -> DataFrame:
     """Fills, one row per user; ``refill`` tells the refreshes from the adds."""
-    adds = users_of(valid_adds(events)).withColumn("refill", F.lit(False))
+    adds = users_of(cut_lineage(valid_adds(events))).withColumn("refill", F.lit(False))
     return adds.unionByName(users_of(_refreshes(events, S.UNREAD_REFRESH)).withColumn("refill", F.lit(True)))
 
 
@@ -150,9 +150,9 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
         F.max(F.when(F.col("given").isNull() & (seq > F.col("base")), seq)).alias("post"),
     ))
     starts = marks.where("start is not null")
-    checked = filled.join(starts.select(*ROW, "start", "base"), ROW).where(
+    checked = cut_lineage(filled.join(starts.select(*ROW, "start", "base"), ROW).where(
         (seq > F.col("start")) & (seq <= F.col("base"))
-    ).select(*NODE, "hot", "refill")
+    ).select(*NODE, "hot", "refill"))
 
     asked = starts.select("chat_id", F.col("start").alias("at"), "hot").unionByName(
         marks.where("post is not null").select("chat_id", F.col("post").alias("at"), "hot")

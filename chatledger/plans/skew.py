@@ -52,6 +52,13 @@ def flag_hot(rows: DataFrame) -> DataFrame:
     return mark_hot(rows, find_hot(rows))
 
 
+def inherit_hot(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """``rows`` is split like the log: also hot where the log's chat is (at most ``MAX_HOT`` ids)."""
+    listed = F.broadcast(events.where("hot").select("chat_id", F.lit(True).alias("log_hot_")).distinct())
+    joined = rows.join(listed, "chat_id", "left")
+    return joined.withColumn("hot", F.col("hot") | F.coalesce("log_hot_", F.lit(False))).drop("log_hot_")
+
+
 def span_of(spark: SparkSession, position: str) -> Column:
     """The span of a row: a slice of log positions for hot chats, one single span for all others."""
     return F.when(F.col("hot"), F.expr(f"{position} div {span_width(spark)}")).otherwise(F.lit(0).cast("long"))

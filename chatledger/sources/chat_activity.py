@@ -13,16 +13,13 @@ from chatledger import schemas as S
 from chatledger.functions.event_json import encode_value
 from chatledger.plans.ordered import running, total
 from chatledger.plans.skew import flag_hot
+from chatledger.sources.log import append_log, remainder_partition
 
 # Partitions of the derived log.
 PARTITIONS = 3
 MEMBERS = 5
 
 
-def _null(kind: str) -> Column:
-    return F.lit(None).cast(kind)
-
-
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chat action per row of ``events``, with its place in the chat and the newest message id."""
     source = spark.read.parquet(f"{sf_dir}/events.parquet").select(
@@ -53,77 +50,73 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _event(when: Column, slot: int, name: str, **fields: Column) -> Column:
-    filled = {
-        field.name: _null(field.dataType.simpleString()) for field in S.EVENT
-        if field.name not in ("log_seq", "partition", "offset", "chat_id", "name", "created_at")
-    }
-    filled.update({k: v.cast(S.EVENT[k].dataType) for k, v in fields.items()})
-    columns = [F.lit(slot).alias("slot"), F.lit(name).alias("name")]
-    return F.when(when, F.struct(*columns, *[v.alias(k) for k, v in filled.items()]))
+def chat_events(acts: DataFrame) -> DataFrame:
+    """The typed events of the actions: the wide event columns, without partition and offset.
 
+    Each action first becomes the list of (slot, name) of its events; the fields follow from the name.
+    """
+    act, user, event_id = F.col("act"), F.col("user_id"), F.col("event_id").cast("string")
+    name, slot = F.col("e.name"), F.col("e.slot")
 
-def _refresh(when: Column, slot: int, ids: Column, unread: int, message: int, common: int, **fields) -> Column:
-    given = {"title": F.lit(""), "increase_on": F.lit(0), "owner_id": F.lit(0), **fields}
-    return _event(
-        when, slot, S.CHAT_VIEW_REFRESHED, participant_ids=ids, unread_action=F.lit(unread),
-        last_message_action=F.lit(message), chat_common_action=F.lit(common), **given,
-    )
+    def emit(when: Column, at: int, event: str) -> Column:
+        return F.when(when, F.struct(F.lit(at).alias("slot"), F.lit(event).alias("name")))
 
+    starts = (F.col("rn") == 1) | (act == "create")
+    refreshing = act.isin("msg", "edit", "medit", "mdel")
+    emitted = F.array(
+        emit(starts, 0, S.CHAT_CREATED),
+        emit(starts, 1, S.PARTICIPANTS_ADDED),
+        emit(act == "msg", 2, S.MESSAGE_CREATED),
+        emit(act == "pin", 2, S.CHAT_PINNED),
+        emit(act == "add", 2, S.PARTICIPANTS_ADDED),
+        emit(act == "edit", 2, S.CHAT_EDITED),
+        emit(act == "leave", 2, S.PARTICIPANT_DELETED),
+        emit(act == "read", 2, S.MESSAGE_READED),
+        emit(act == "medit", 2, S.MESSAGE_EDITED),
+        emit(act == "mdel", 2, S.MESSAGE_DELETED),
+        emit(act == "cdel", 2, S.CHAT_DELETED),
+        emit(refreshing, 3, S.CHAT_VIEW_REFRESHED),
+        emit(act == "cdel", 3, S.PARTICIPANT_DELETED),
+    )
+    rows = acts.withColumn("e", F.explode(F.array_compact(emitted)))
 
-def chat_events(acts: DataFrame) -> DataFrame:
-    """The typed events of the actions: the wide event columns, without partition and offset."""
-    act, user, event_id = F.col("act"), F.col("user_id"), F.col("event_id").cast("string")
     everyone = F.transform(F.sequence(F.lit(0), F.lit(MEMBERS - 1)), lambda i: F.col("block") * MEMBERS + i)
-    first_two = F.slice(everyone, 1, 2)
-    one = F.array(user)
-    starts = (F.col("rn") == 1) | (act == "create")
     recent = F.greatest(F.lit(0), F.col("mx") - F.col("s") % 3)
     doomed = F.greatest(F.lit(0), F.col("mx") - F.col("s") % 4)
     new_title = F.concat(F.lit("t"), event_id)
-    events = F.array(
-        _event(starts, 0, S.CHAT_CREATED,
-               title=F.concat(F.lit("chat "), F.col("chat_id").cast("string"), F.lit("."), event_id)),
-        _event(starts, 1, S.PARTICIPANTS_ADDED, participant_ids=first_two),
-        _event(act == "msg", 2, S.MESSAGE_CREATED, message_id=F.col("mx"), owner_id=user,
-               content=F.concat(F.lit("m"), event_id)),
-        _refresh(act == "msg", 3, everyone, S.UNREAD_INCREASE, S.LAST_MESSAGE_REFRESH, 0,
-                 increase_on=F.lit(1), owner_id=user),
-        _event(act == "pin", 2, S.CHAT_PINNED, participant_id=user, pinned=F.col("value") >= 10),
-        _event(act == "add", 2, S.PARTICIPANTS_ADDED, participant_ids=one),
-        _event(act == "edit", 2, S.CHAT_EDITED, title=new_title),
-        _refresh(act == "edit", 3, everyone, 0, 0, S.CHAT_COMMON_REFRESH, title=new_title),
-        _event(act == "leave", 2, S.PARTICIPANT_DELETED, participant_ids=one),
-        _event(act == "read", 2, S.MESSAGE_READED, participant_id=user, message_id=recent),
-        _event(act == "medit", 2, S.MESSAGE_EDITED, message_id=recent, content=F.concat(F.lit("e"), event_id)),
-        _refresh(act == "medit", 3, everyone, 0, S.LAST_MESSAGE_REFRESH, 0),
-        _event(act == "mdel", 2, S.MESSAGE_DELETED, message_id=doomed),
-        _refresh(act == "mdel", 3, everyone, S.UNREAD_REFRESH, S.LAST_MESSAGE_REFRESH, 0, owner_id=user),
-        _event(act == "cdel", 2, S.CHAT_DELETED),
-        _event(act == "cdel", 3, S.PARTICIPANT_DELETED, participant_ids=everyone),
-    )
-    exploded = acts.select("event_id", "chat_id", "ts", F.explode(F.array_compact(events)).alias("e"))
-    payload = [c for c in S.EVENT_COLUMNS if c not in ("log_seq", "partition", "offset", "chat_id", "created_at")]
-    return exploded.select(
-        (F.col("event_id") * 4 + F.col("e.slot")).alias("log_seq"), "chat_id",
-        F.col("ts").alias("created_at"), *[F.col(f"e.{c}").alias(c) for c in payload],
+    first_title = F.concat(F.lit("chat "), F.col("chat_id").cast("string"), F.lit("."), event_id)
+    refresh = name == S.CHAT_VIEW_REFRESHED
+
+    def action(when: Column, code: int) -> Column:
+        return F.when(refresh, F.when(when, code).otherwise(0)).cast("smallint")
+
+    return rows.select(
+        (F.col("event_id") * 4 + slot).alias("log_seq"), "chat_id", name.alias("name"), F.col("ts").alias("created_at"),
+        F.when(refresh | (act == "cdel") & (slot == 3), everyone)
+        .when(slot == 1, F.slice(everyone, 1, 2))
+        .when(name.isin(S.PARTICIPANTS_ADDED, S.PARTICIPANT_DELETED), F.array(user)).alias("participant_ids"),
+        F.when(name == S.CHAT_CREATED, first_title).when(act == "edit", F.when((slot == 2) | refresh, new_title))
+        .when(refresh, "").alias("title"),
+        F.when(name.isin(S.CHAT_PINNED, S.MESSAGE_READED), user).alias("participant_id"),
+        F.when(name == S.CHAT_PINNED, F.col("value") >= 10).alias("pinned"),
+        F.when(name == S.MESSAGE_CREATED, F.col("mx")).when(name.isin(S.MESSAGE_READED, S.MESSAGE_EDITED), recent)
+        .when(name == S.MESSAGE_DELETED, doomed).alias("message_id"),
+        F.when((name == S.MESSAGE_CREATED) | refresh & act.isin("msg", "mdel"), user)
+        .when(refresh, 0).cast("long").alias("owner_id"),
+        F.when(name == S.MESSAGE_CREATED, F.concat(F.lit("m"), event_id))
+        .when(name == S.MESSAGE_EDITED, F.concat(F.lit("e"), event_id)).alias("content"),
+        F.when(refresh, F.when(act == "msg", S.UNREAD_INCREASE).when(act == "mdel", S.UNREAD_REFRESH).otherwise(0))
+        .cast("smallint").alias("unread_action"),
+        action(act != "edit", S.LAST_MESSAGE_REFRESH).alias("last_message_action"),
+        action(act == "edit", S.CHAT_COMMON_REFRESH).alias("chat_common_action"),
+        F.when(refresh, F.when(act == "msg", 1).otherwise(0)).cast("long").alias("increase_on"),
     )
 
 
-def with_offsets(events: DataFrame, partition: Column) -> DataFrame:
-    """Add the log partition and the offset in it: the row's place by log position.
-
-    The few partitions hold all rows, so each of them is walked in spans.
-    """
-    placed = events.withColumn("partition", partition.cast("int")).withColumn("hot", F.lit(True))
-    numbered = running(placed, ["partition"], ["log_seq"], place=total(F.lit(1)))
-    return numbered.withColumn("offset", F.col("place") - 1).drop("place", "hot")
-
-
 def as_records(events: DataFrame) -> DataFrame:
     """Typed events as raw log records: text key, JSON value, name and position in the headers."""
     return events.select(
-        "partition", "offset", F.col("chat_id").cast("string").alias("key"),
+        "partition", "offset", "key",
         F.create_map(F.lit("name"), F.col("name"),
                      F.lit("log_seq"), F.col("log_seq").cast("string")).alias("headers"),
         encode_value().alias("value"),
@@ -133,7 +126,7 @@ def as_records(events: DataFrame) -> DataFrame:
 def chat_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived log as raw records."""
     events = chat_events(actions(spark, sf_dir))
-    return as_records(with_offsets(events, F.col("chat_id") % PARTITIONS))
+    return as_records(append_log(events, PARTITIONS, partitioner=remainder_partition))
 
 
 def commands(acts: DataFrame) -> DataFrame:

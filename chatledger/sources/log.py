@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
+from chatledger.functions.event_json import strict_json
 from chatledger.plans.ordered import running, total
 
 KAFKA_HEADERS = "array<struct<key: string, value: binary>>"
@@ -66,27 +69,45 @@ def log_position(headers: str = "headers", partitions: int | None = None) -> Col
     return F.coalesce(stamp, F.col("offset") * partitions + F.col("partition"))
 
 
-def append_log(events: DataFrame, partitions: int, first_offsets: DataFrame | None = None) -> DataFrame:
+def hash_partition(key: Column, partitions: int) -> Column:
+    """The partition of a key: a fixed hash of its text."""
+    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+
+
+def remainder_partition(key: Column, partitions: int) -> Column:
+    """The partition of a numeric key: its remainder."""
+    return F.pmod(key.cast("bigint"), F.lit(partitions)).cast("int")
+
+
+def append_log(
+    events: DataFrame, partitions: int, *, first_offsets: DataFrame | None = None,
+    partitioner: Callable[[Column, int], Column] = hash_partition,
+) -> DataFrame:
     """Give events keyed by chat their partition and offset, in order of ``log_seq``.
 
-    The key hash picks the partition, so a chat never spreads over two. ``first_offsets``
-    (partition, end_offset) continues an existing log.
+    The key alone picks the partition, so a chat never spreads over two. ``first_offsets``
+    (partition, end_offset) continues an existing log. The few partitions hold all rows, so each of them
+    is walked in spans.
     """
-    placed = events.withColumn("key", F.col("chat_id").cast("string")).withColumn(
-        "partition", assign_partition(F.col("key"), partitions)
-    ).withColumn("hot", F.lit(True))
+    placed = events.withColumn("key", F.col("chat_id").cast("string"))
+    placed = placed.withColumn("partition", partitioner(F.col("key"), partitions)).withColumn("hot", F.lit(True))
     numbered = running(placed, ["partition"], ["log_seq"], place=total(F.lit(1)))
-    if first_offsets is None:
-        offset = F.col("place") - 1
-    else:
+    start = F.lit(0)
+    if first_offsets is not None:
         numbered = numbered.join(first_offsets, "partition", "left")
-        offset = F.col("place") - 1 + F.coalesce("end_offset", F.lit(0))
-    return numbered.withColumn("offset", offset).drop("place", "hot", "end_offset")
+        start = F.coalesce("end_offset", F.lit(0))
+    return numbered.withColumn("offset", F.col("place") - 1 + start).drop("place", "hot", "end_offset")
 
 
-def assign_partition(key: Column, partitions: int) -> Column:
-    """The partition of a key: a fixed hash of its text."""
-    return F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int")
+def partition_balance(events: DataFrame) -> DataFrame:
+    """Chats and events per partition, and chats found in more than one partition (always 0)."""
+    spread = events.groupBy("chat_id").agg(
+        F.count_distinct("partition").alias("parts"), F.min("partition").alias("partition"), F.count(F.lit(1)).alias("n")
+    )
+    return spread.groupBy("partition").agg(
+        F.count(F.lit(1)).alias("chats"), F.sum("n").alias("events"),
+        F.count_if(F.col("parts") > 1).alias("split_chats"),
+    )
 
 
 def export_log(records: DataFrame) -> DataFrame:
@@ -94,9 +115,10 @@ def export_log(records: DataFrame) -> DataFrame:
 
     The value is parsed and written as JSON again, so a value that is not JSON stops the export.
     """
+    bad = F.concat(F.lit("cannot export a value that is not JSON: "), F.col("value"))
     line = F.to_json(F.struct(
         F.struct("offset", "partition").alias("metadata"), "headers", "key",
-        F.parse_json("value").alias("value"),
+        F.coalesce(strict_json("value"), F.raise_error(bad).cast("variant")).alias("value"),
     ))
     return records.select("partition", "offset", line.alias("value"))
 
@@ -128,9 +150,7 @@ def validate_lines(lines: DataFrame) -> DataFrame:
 
     The checks run in a fixed order; the first that fails names the reason.
     """
-    doc = F.try_parse_json("value")
-    parsed = lines.withColumn("doc_", doc)
-    # Spark's JSON parser accepts an empty line as no value at all.
+    parsed = lines.withColumn("doc_", strict_json("value"))
     headers = F.expr("try_variant_get(doc_, '$.headers', 'map<string, variant>')")
     parsed = parsed.withColumn("headers_", headers)
     is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
