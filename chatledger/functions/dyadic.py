@@ -11,13 +11,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK = "array<struct<level: int, node: bigint>>"
-LEVELS = 62
 
 
 def cover(start: str, end: str) -> Column:
     """Blocks whose disjoint union is ``[start, end)``; both must be non-negative and finite."""
     return F.expr(f"""
-        cast(filter(flatten(transform(sequence(0, length(bin({end} - {start}))), k -> array(
+        cast(filter(flatten(transform(sequence(0, length(bin({end} - {start})) - 1), k -> array(
             if(shiftright({start} + shiftleft(1L, k) - 1, k) < shiftright({end}, k)
                and shiftright({start} + shiftleft(1L, k) - 1, k) % 2 = 1,
                named_struct('level', k, 'node', shiftright({start} + shiftleft(1L, k) - 1, k)), null),
@@ -28,6 +27,11 @@ def cover(start: str, end: str) -> Column:
     """)
 
 
+def levels(start: str, end: str) -> Column:
+    """The highest level a block of ``[start, end)`` can have."""
+    return F.expr(f"length(bin({end} - {start})) - 1")
+
+
 def path(point: str, top: str) -> Column:
     """The blocks of levels 0 to ``top`` that hold ``point``."""
     return F.expr(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
-from chatledger.functions.dyadic import cover, ones, path, zeros
+from chatledger.functions.dyadic import cover, levels, ones, path, zeros
 from chatledger.plans.ordered import as_of, following, highest, last, previous, running, total
 
 
@@ -126,10 +126,11 @@ def members_at(positions: DataFrame, members: DataFrame) -> DataFrame:
     """
     # Open memberships meet every later position; their end is the last position asked for.
     horizon = positions.agg((F.max("at") + 1).alias("end")).scalar()
-    blocks = members.withColumn("end_", F.least("to_seq", horizon)).where("from_seq < end_").select(
+    bounded = members.withColumn("end_", F.least("to_seq", horizon)).where("from_seq < end_")
+    blocks = bounded.select(
         "chat_id", "user_id", F.explode(cover("from_seq", "end_")).alias("b")
     ).select("chat_id", "user_id", "b.level", "b.node")
-    top = blocks.agg(F.max("level")).scalar()
+    top = bounded.agg(F.max(levels("from_seq", "end_"))).scalar()
     points = positions.select("chat_id", "at").distinct().withColumn("top_", top).select(
         "chat_id", "at", F.explode(path("at", "top_")).alias("b")
     ).select("chat_id", "at", "b.level", "b.node")
@@ -155,7 +156,8 @@ def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
         "chat_id", "id", F.explode(cover("at", "to_seq")).alias("b")
     ).groupBy("chat_id", "b.level", "b.node").agg(F.max("id").alias("passing"))
     asked = line.where("asked").select("chat_id", "at", "hot", "stays")
-    top = blocks.agg(F.max("level")).scalar()
+    # The longest life bounds the levels; taken from the lives, so the ordered pass runs once.
+    top = lives.where(F.col("to_seq") < S.OPEN).agg(F.max(levels("from_seq", "to_seq"))).scalar()
     met = asked.withColumn("top_", top).select("chat_id", "at", F.explode(path("at", "top_")).alias("b")).select(
         "chat_id", "at", "b.level", "b.node"
     ).join(blocks, ["chat_id", "level", "node"]).groupBy("chat_id", "at").agg(F.max("passing").alias("passing"))
