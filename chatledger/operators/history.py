@@ -167,12 +167,12 @@ def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
 
 
 def existing_at(keys: DataFrame, lives: DataFrame, name: str = "exists") -> DataFrame:
-    """Does message (``chat_id``, ``id``) exist as of ``at``: adds a boolean."""
-    spans = lives.select("chat_id", "id", "from_seq", "to_seq")
-    joined = keys.join(spans, ["chat_id", "id"], "left").withColumn(
-        name, F.coalesce((F.col("from_seq") <= F.col("at")) & (F.col("at") < F.col("to_seq")), F.lit(False))
-    )
-    return joined.groupBy(*keys.columns).agg(F.max(name).alias(name))
+    """Does message (``chat_id``, ``id``) exist as of ``at``: adds a boolean. Lives of one message do not
+    overlap, so a key meets at most one; many keys may ask for the same message."""
+    k, s = keys.alias("k"), lives.select("chat_id", "id", "from_seq", "to_seq").alias("s")
+    same = (F.col("k.chat_id") == F.col("s.chat_id")) & (F.col("k.id") == F.col("s.id"))
+    within = (F.col("s.from_seq") <= F.col("k.at")) & (F.col("k.at") < F.col("s.to_seq"))
+    return k.join(s, same & within, "left").select("k.*", F.col("s.from_seq").isNotNull().alias(name))
 
 
 def count_after(marks: DataFrame, lives: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from chatledger.operators.history import (
 )
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.ordered import as_of, following, previous, running
+from chatledger.plans.skew import span_of
 
 ROW = ["user_id", "chat_id"]
 NODE = [*ROW, "log_seq"]
@@ -62,6 +63,24 @@ def bumps(events: DataFrame) -> DataFrame:
     return rows.where("user_id != owner_id").drop("owner_id")
 
 
+def bumps_since(bumped: DataFrame, counted: DataFrame) -> DataFrame:
+    """Per row, the sum of its bumps after ``at``. In a hot chat one row may have very many bumps, so these
+    are summed per span before they meet ``at``; only the span that holds ``at`` is looked at bump by bump."""
+    seq, amount = F.col("log_seq"), F.col("increase_on")
+    marks = counted.select(*ROW, "at", "hot")
+    few = bumped.where("not hot").drop("hot").join(marks.where("not hot").drop("hot"), ROW).where(
+        seq > F.col("at")
+    ).groupBy(*ROW).agg(F.sum(amount).alias("bumped"))
+    spans = bumped.where("hot").withColumn("span", span_of(bumped.sparkSession, "log_seq"))
+    limits = marks.where("hot").withColumn("limit_", span_of(bumped.sparkSession, "at")).drop("hot")
+    later = spans.groupBy(*ROW, "span").agg(F.sum(amount).alias("amount")).join(limits, ROW).where("span > limit_")
+    here = spans.withColumnRenamed("span", "limit_").join(limits, [*ROW, "limit_"]).where(seq > F.col("at"))
+    many = later.select(*ROW, "amount").unionByName(here.select(*ROW, amount.alias("amount"))).groupBy(*ROW).agg(
+        F.sum("amount").alias("bumped")
+    )
+    return few.unionByName(many)
+
+
 def normalize_reads(events: DataFrame, lives: DataFrame) -> DataFrame:
     """Each read's message, replaced by the newest one (or 0) when it does not exist at that position."""
     asked = reads(events).withColumnsRenamed({"log_seq": "at", "given": "id"})
@@ -133,21 +152,19 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     lives = cut_lineage(message_lives(events)) if lives is None else lives
     seq = F.col("log_seq")
     filled, given, posted = fills(events), reads(events), posts(events)
-    recounts = filled.select(*NODE, "hot", F.lit(0).alias("read")).unionByName(
-        given.select(*NODE, "hot", F.lit(1).alias("read"))
-    )
+    recounts = filled.select(*NODE, "hot").unionByName(given.select(*NODE, "hot"))
     base = cut_lineage(recounts.groupBy(*ROW, "hot").agg(
-        F.min("log_seq").alias("first"), F.max("log_seq").alias("base"),
-        (F.max_by("read", "log_seq") == 1).alias("by_read"),
+        F.min("log_seq").alias("first"), F.max("log_seq").alias("base")
     ))
-    # The last certain marker up to the recount, and a post after it.
-    moves = given.select(*NODE, "given").unionByName(
-        posted.select(*NODE), allowMissingColumns=True
-    ).join(base, ROW).where(F.col("given").isNotNull() | (seq > F.col("first")))
-    settled = F.when((seq < F.col("base")) | ((seq == F.col("base")) & F.col("by_read")), seq)
-    marks = cut_lineage(moves.groupBy(*ROW, "hot", "base").agg(
-        F.max(settled).alias("start"), F.max_by("given", settled).alias("given"),
-        F.max(F.when(F.col("given").isNull() & (seq > F.col("base")), seq)).alias("post"),
+    # The last certain marker up to the recount, and a post after it. Posts before the row existed are void;
+    # no read can be that early, so if the latest move is such a post, there is none at all.
+    moves = given.select(*NODE, "hot", "given").unionByName(posted.select(*NODE, "hot"), allowMissingColumns=True)
+    found = as_of(base, moves.withColumn("start", seq), ROW, "base", "log_seq", ["start", "given"])
+    latest = posted.groupBy(*ROW).agg(F.max("log_seq").alias("post"))
+    void = F.col("start") < F.col("first")
+    marks = cut_lineage(found.join(latest, ROW, "left").select(
+        *ROW, "hot", "base", F.when(~void, F.col("start")).alias("start"), "given",
+        F.when(F.col("post") > F.col("base"), F.col("post")).alias("post"),
     ))
     starts = marks.where("start is not null")
     checked = cut_lineage(filled.join(starts.select(*ROW, "start", "base"), ROW).where(
@@ -173,9 +190,7 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     ))
 
     above = count_after(counted, lives).drop("hot")
-    since = bumps(events).join(counted.select(*ROW, "at"), ROW).where(seq > F.col("at")).groupBy(*ROW).agg(
-        F.sum("increase_on").alias("bumped")
-    )
+    since = bumps_since(bumps(events), counted)
     moved = marks.where("post is not null").select(*ROW, F.col("post").alias("at")).join(
         tops, ["chat_id", "at"]
     ).select(*ROW, F.col("top").alias("posted"))

@@ -20,6 +20,7 @@ from chatledger.operators import reads as R
 from chatledger.operators import unread as U
 from chatledger.plans.materialize import cut_lineage, scratch_path
 from chatledger.plans.ordered import numbered
+from chatledger.plans.skew import inherit_hot
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
 from chatledger.sources.tables import store_events
@@ -245,8 +246,7 @@ def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     markers = cut_lineage(U.unread(events, lives).select(
         "user_id", "chat_id", F.col("last_message_id").alias("marker"), F.lit(S.OPEN - 1).alias("at")
     ))
-    chats = lives.groupBy("chat_id").agg(F.max("hot").alias("hot"))
-    asked = markers.join(chats, "chat_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    asked = inherit_hot(markers.withColumn("hot", F.lit(False)), events)
     counted = H.count_after(asked, lives).drop("hot")
     return markers.join(counted, ["chat_id", "at", "marker"]).select("user_id", "chat_id", "marker", "n")
 

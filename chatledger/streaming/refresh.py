@@ -1,15 +1,18 @@
-"""Incremental refresh: each micro-batch of the log recomputes only the buckets of chats it touches.
+"""Incremental refresh: each micro-batch of the log recomputes only the chats it touches.
 
-The result of every batch equals a full replay of what has arrived, and a batch that runs again after a
-failure overwrites its own output. State lives in files of the shared folder:
+The result of every batch equals a full replay of what has arrived. State lives in files of the shared folder:
 
-* ``log/batch=…/bucket=…``: decoded events as they arrived; a batch has its own folder
+* ``log/batch=…/bucket=…``: decoded events as they arrived
 * ``dead/batch=…``: records that cannot be applied, with the reason
-* ``<table>/bucket=…``: the derived tables, replaced bucket by bucket
+* ``<table>/version=…/bucket=…``: the derived tables; a batch writes new versions of the buckets it touches
+
+A batch writes only folders of its own number, so running it again after a failure replaces its output, and
+readers see the last version of every bucket that a finished batch left.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +20,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chatledger import schemas as S
 from chatledger.operators.events import decode, split_known
+from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.log import dedup, scan_log
 from chatledger.streaming.replay import TABLES, replay_full
 
-BUCKETS = 64
+BUCKETS = 256
 
 
 def bucket_of(chat: Column, buckets: int = BUCKETS) -> Column:
@@ -42,21 +46,27 @@ def apply_batch(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKE
         "bucket"
     ).parquet(stored)
     dead.write.mode("overwrite").parquet(f"{root}/dead/batch={batch_id}")
+
     log = read_log(spark, root)
+    chats = cut_lineage(log.where(F.col("batch") == batch_id).select("chat_id", "bucket").distinct())
     # At most one row per bucket comes to the driver.
-    touched = [row.bucket for row in log.where(F.col("batch") == batch_id).select("bucket").distinct().collect()]
-    if not touched:
-        return
-    log = log.where(F.col("batch") <= batch_id).where(F.col("bucket").isin(touched))
-    events = flag_hot(dedup(log.select(*S.EVENT_COLUMNS)))
-    marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
-    for name, table in replay_full(events).items():
-        rows = table.withColumn("bucket", bucket_of(F.col(_chat_column(name)), buckets))
-        # A row without a key keeps every touched bucket present, so an emptied bucket is replaced too.
-        rows = rows.unionByName(marks, allowMissingColumns=True)
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(
-            f"{root}/{name}"
-        )
+    touched = [row.bucket for row in chats.select("bucket").distinct().collect()]
+    if touched:
+        chats = chats.select("chat_id")
+        log = log.where(F.col("batch") <= batch_id).where(F.col("bucket").isin(touched)).join(chats, "chat_id", "left_semi")
+        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
+        for name, fresh in replay_full(flag_hot(dedup(log.select(*S.EVENT_COLUMNS)))).items():
+            chat = _chat_column(name)
+            rows = fresh.withColumn("bucket", bucket_of(F.col(chat), buckets))
+            old = _versions(spark, root, name, batch_id - 1)
+            if old is not None:
+                old = old.where(F.col("bucket").isin(touched)).where(F.col(chat).isNotNull())
+                rows = rows.unionByName(old.join(chats.select(F.col("chat_id").alias(chat)), chat, "left_anti"))
+            # A row without a key marks every touched bucket, so a bucket that became empty is replaced too.
+            rows.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").partitionBy("bucket").parquet(
+                f"{root}/{name}/version={batch_id}"
+            )
+    spark.createDataFrame([(batch_id,)], "batch bigint").write.mode("overwrite").parquet(f"{root}/done/part={batch_id}")
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
@@ -65,9 +75,36 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(layout).parquet(f"{root}/log")
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A folder that may not have been written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _finished(spark: SparkSession, root: str) -> int:
+    """The last batch that was written completely, -1 before the first."""
+    done = _read(spark, f"{root}/done")
+    return -1 if done is None else done.agg(F.max("batch")).first()[0]
+
+
+def _versions(spark: SparkSession, root: str, name: str, upto: int) -> DataFrame | None:
+    """The rows of a table in the latest version of every bucket, as left by batch ``upto``."""
+    rows = _read(spark, f"{root}/{name}")
+    if rows is None:
+        return None
+    rows = rows.where(F.col("version") <= upto)
+    latest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
+    return rows.join(F.broadcast(latest), ["bucket", "version"]).drop("version")  # one row per bucket
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A derived table as of the last batch."""
-    return spark.read.parquet(f"{root}/{name}").where(F.col(TABLES[name][0]).isNotNull()).drop("bucket")
+    """A derived table as of the last finished batch."""
+    rows = _versions(spark, root, name, _finished(spark, root))
+    return rows.where(F.col(TABLES[name][0]).isNotNull()).drop("bucket")
 
 
 def start_refresh(records: DataFrame, root: str, *, buckets: int = BUCKETS, once: bool = False) -> StreamingQuery:
