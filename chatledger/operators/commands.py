@@ -20,7 +20,7 @@ from chatledger.operators.ids import assign_ids
 from chatledger.operators.unread import marker_history
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.ordered import as_of, highest, running
-from chatledger.plans.skew import flag_hot, inherit_hot
+from chatledger.plans.skew import align_hot
 
 # Most users one event lists; longer member lists are spread over several events.
 PAGE = 10_000
@@ -40,8 +40,9 @@ PAYLOAD = [
 ]
 
 
-def parse(commands: DataFrame, events: DataFrame) -> DataFrame:
-    """Typed ids, the last log position a command sees (``at``), and ``reason`` when an id is bad."""
+def parse(commands: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed ids, the last log position a command sees (``at``), and ``reason`` when an id is bad; and the
+    log, split for hot chats in the same way as the commands."""
     typed = commands.withColumns({
         "user_id": to_id(F.col("user_text")), "chat_id": to_id(F.col("chat_text")),
         "message_id": to_id(F.col("message_text")), "at": F.col("cmd_seq") - 1,
@@ -52,7 +53,7 @@ def parse(commands: DataFrame, events: DataFrame) -> DataFrame:
         needs_message & F.col("message_id").isNull()
     )
     typed = typed.withColumn("reason", F.when(bad, F.lit(BAD_ID)))
-    return inherit_hot(flag_hot(typed), events)
+    return align_hot(typed, events)
 
 
 def member_pages(positions: DataFrame, members: DataFrame, page: int = PAGE) -> DataFrame:
@@ -197,7 +198,7 @@ def delete_messages(judged: DataFrame, events: DataFrame) -> DataFrame:
 def admit_reads(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Read commands with the message clamped to the chat's newest and the decision: accepted when it moves
     an existing marker forward or the marker is still 0, an error without a marker row or any message."""
-    lives = cut_lineage(message_lives(events))
+    lives = cut_lineage(message_lives(events), events)
     marks = as_of(rows, marker_history(events, lives), ["user_id", "chat_id"], "at", "log_seq", ["value"])
     keys = marks.select("cmd_seq", "chat_id", "at", F.coalesce("value", F.lit(0)).alias("id"))
     known = existing_at(keys, lives, "marker_exists").select("cmd_seq", "marker_exists")
@@ -221,13 +222,14 @@ def read_messages(judged: DataFrame) -> DataFrame:
 def expand_commands(commands: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events of a command batch in order of (``cmd_seq``, ``slot``, ``page``), and the refused commands
     with the reason. Ignored reads are in neither."""
-    typed = cut_lineage(parse(commands, events))
+    typed, events = parse(commands, events)
+    typed = cut_lineage(typed, events)
     good = typed.where("reason is null")
     of: Callable[..., DataFrame] = lambda *kinds: good.where(F.col("kind").isin(*kinds))
-    posted = cut_lineage(judge_posts(of("message_create"), events))
-    edited = cut_lineage(judge_changes(of("message_edit"), events))
-    deleted = cut_lineage(judge_changes(of("message_delete"), events))
-    read = cut_lineage(admit_reads(of("message_read"), events))
+    posted = cut_lineage(judge_posts(of("message_create"), events), events)
+    edited = cut_lineage(judge_changes(of("message_edit"), events), events)
+    deleted = cut_lineage(judge_changes(of("message_delete"), events), events)
+    read = cut_lineage(admit_reads(of("message_read"), events), events)
     parts = [
         create_chats(of("chat_create"), events), edit_chats(of("chat_edit"), events),
         delete_chats(of("chat_delete"), events), change_participants(of("participant_add", "participant_delete")),

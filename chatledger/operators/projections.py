@@ -105,7 +105,7 @@ def _view_marks(events: DataFrame, adds: DataFrame) -> DataFrame:
 
 def preview_texts(marks: DataFrame, events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     """The last message of a chat as a refresh at position ``previewed`` saw it: one row per refresh."""
-    lives = cut_lineage(message_lives(events)) if lives is None else lives
+    lives = cut_lineage(message_lives(events), events) if lives is None else lives
     refreshed = newest_at(marks.select("chat_id", F.col("previewed").alias("at"), "hot"), lives)
     versions = message_versions(events).select("chat_id", "id", "owner_id", "content", "from_seq", "to_seq")
     return (
@@ -120,8 +120,8 @@ def preview_texts(marks: DataFrame, events: DataFrame, lives: DataFrame | None =
 
 def user_view(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     """Every member's view of every chat: title, flag, time and last message as last copied to it."""
-    adds = cut_lineage(valid_adds(events))
-    marks = cut_lineage(_view_marks(events, adds))
+    adds = cut_lineage(valid_adds(events), events)
+    marks = cut_lineage(_view_marks(events, adds), events)
     titles = adds.select("chat_id", F.col("log_seq").alias("titled"), F.col("chat_title").alias("title")).unionByName(
         events.where(
             (F.col("name") == S.CHAT_VIEW_REFRESHED) & (F.col("chat_common_action") == S.CHAT_COMMON_REFRESH)
@@ -142,7 +142,7 @@ def user_view(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
 
 def last_messages(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     """The last message every member's view shows, without the other columns of the view."""
-    marks = cut_lineage(_view_marks(events, valid_adds(events)))
+    marks = cut_lineage(_view_marks(events, valid_adds(events)), events)
     return marks.join(preview_texts(marks, events, lives), ["chat_id", "previewed"], "left").select(
         "user_id", "chat_id", "last_message_id", "last_message_owner_id", "last_message_content"
     )

@@ -39,7 +39,7 @@ def _refreshes(events: DataFrame, action: int) -> DataFrame:
 
 def fills(events: DataFrame) -> DataFrame:
     """Fills, one row per user; ``refill`` tells the refreshes from the adds."""
-    adds = users_of(cut_lineage(valid_adds(events))).withColumn("refill", F.lit(False))
+    adds = users_of(cut_lineage(valid_adds(events), events)).withColumn("refill", F.lit(False))
     return adds.unionByName(users_of(_refreshes(events, S.UNREAD_REFRESH)).withColumn("refill", F.lit(True)))
 
 
@@ -98,7 +98,7 @@ def settle(nodes: DataFrame, lives: DataFrame) -> DataFrame:
     At ``fixed`` nodes it changes for certain; at the others (fills) only if the message it points to is gone.
     Returns the nodes at which the marker changed.
     """
-    nodes = cut_lineage(nodes)
+    nodes = cut_lineage(nodes, lives)
     known = running(nodes, ROW, ["log_seq"], reverse=True,
                     next_fixed=previous(F.when(F.col("fixed"), F.col("log_seq"))))
     # Where the message of a node is gone: after a life of it, until the next one if there is any.
@@ -126,7 +126,7 @@ def settle(nodes: DataFrame, lives: DataFrame) -> DataFrame:
 def marker_history(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     """Every change of every read marker: ``value`` holds from ``log_seq`` on. The first row of a
     (user, chat) is where the marker row comes into being."""
-    lives = cut_lineage(message_lives(events)) if lives is None else lives
+    lives = cut_lineage(message_lives(events), events) if lives is None else lives
     filled = fills(events)
     given = normalize_reads(events, lives).select(*NODE, "hot", F.col("normalized").alias("value"))
     first = filled.select(*NODE).unionByName(given.select(*NODE)).groupBy(*ROW).agg(F.min("log_seq").alias("first"))
@@ -149,13 +149,13 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
 
     Only what happened since the last certain marker before the last recount is looked at.
     """
-    lives = cut_lineage(message_lives(events)) if lives is None else lives
+    lives = cut_lineage(message_lives(events), events) if lives is None else lives
     seq = F.col("log_seq")
     filled, given, posted = fills(events), reads(events), posts(events)
     recounts = filled.select(*NODE, "hot").unionByName(given.select(*NODE, "hot"))
     base = cut_lineage(recounts.groupBy(*ROW, "hot").agg(
         F.min("log_seq").alias("first"), F.max("log_seq").alias("base")
-    ))
+    ), events)
     # The last certain marker up to the recount, and a post after it. Posts before the row existed are void;
     # no read can be that early, so if the latest move is such a post, there is none at all.
     moves = given.select(*NODE, "hot", "given").unionByName(posted.select(*NODE, "hot"), allowMissingColumns=True)
@@ -165,11 +165,11 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     marks = cut_lineage(found.join(latest, ROW, "left").select(
         *ROW, "hot", "base", F.when(~void, F.col("start")).alias("start"), "given",
         F.when(F.col("post") > F.col("base"), F.col("post")).alias("post"),
-    ))
+    ), events)
     starts = marks.where("start is not null")
     checked = cut_lineage(filled.join(starts.select(*ROW, "start", "base"), ROW).where(
         (seq > F.col("start")) & (seq <= F.col("base"))
-    ).select(*NODE, "hot", "refill"))
+    ).select(*NODE, "hot", "refill"), events)
 
     asked = starts.select("chat_id", F.col("start").alias("at"), "hot").unionByName(
         marks.where("post is not null").select("chat_id", F.col("post").alias("at"), "hot")
@@ -187,7 +187,7 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     markers = settle(begun.unionByName(possible), lives).groupBy(*ROW).agg(F.max_by("value", "log_seq").alias("marker"))
     counted = cut_lineage(base.join(markers, ROW, "left").select(
         *ROW, "hot", F.col("base").alias("at"), F.coalesce("marker", F.lit(0)).alias("marker")
-    ))
+    ), events)
 
     above = count_after(counted, lives).drop("hot")
     since = bumps_since(bumps(events), counted)

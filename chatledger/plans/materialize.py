@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,10 +22,18 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Store ``df`` reliably now; later stages and retries read the stored rows."""
+def cut_lineage(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
+    """Store ``df`` reliably now; later stages and retries read the stored rows.
+
+    ``like`` is the frame ``df`` has its column ``hot`` from. If nothing in it is hot, the column stays a
+    literal after the cut, so the optimizer keeps folding away the branches for hot chats. The check reads
+    no rows when ``like`` has the literal, and stops at the first hot row otherwise.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    if like is not None and "hot" in kept.columns and like.where("hot").isEmpty():
+        kept = kept.withColumn("hot", F.lit(False))
+    return kept
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

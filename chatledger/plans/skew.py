@@ -53,10 +53,23 @@ def flag_hot(rows: DataFrame) -> DataFrame:
 
 
 def inherit_hot(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """``rows`` is split like the log: also hot where the log's chat is (at most ``MAX_HOT`` ids)."""
-    listed = F.broadcast(events.where("hot").select("chat_id", F.lit(True).alias("log_hot_")).distinct())
-    joined = rows.join(listed, "chat_id", "left")
-    return joined.withColumn("hot", F.col("hot") | F.coalesce("log_hot_", F.lit(False))).drop("log_hot_")
+    """``rows`` split like the log: hot where the log's chat is (at most ``MAX_HOT`` ids)."""
+    hot = events.where("hot").select("chat_id", F.lit(True).alias("hot")).distinct()
+    return rows.join(F.broadcast(hot), "chat_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+
+
+def align_hot(rows: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and the log flagged alike: hot where a chat is hot in either. Rows of both kinds meet in
+    one ordered pass, so they must agree on how a chat is split."""
+    rows = inherit_hot(rows, events)
+    own = find_hot(rows)
+    if own is None:
+        return rows, events
+    listed = F.broadcast(own.withColumn("own_", F.lit(True)))  # at most MAX_HOT ids
+    either = F.col("hot") | F.coalesce("own_", F.lit(False))
+    return tuple(
+        side.join(listed, "chat_id", "left").withColumn("hot", either).drop("own_") for side in (rows, events)
+    )
 
 
 def span_of(spark: SparkSession, position: str) -> Column:

@@ -230,23 +230,23 @@ def fanout_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def marker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    lives = cut_lineage(H.message_lives(events))
+    lives = cut_lineage(H.message_lives(events), events)
     return U.marker_status(U.unread(events, lives), lives)
 
 
 def read_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    return U.normalize_reads(events, cut_lineage(H.message_lives(events))).drop("hot")
+    return U.normalize_reads(events, cut_lineage(H.message_lives(events), events)).drop("hot")
 
 
 def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages above every marker at the end of the log (not the stored counter)."""
     events = _events(spark, sf_dir)
-    lives = cut_lineage(H.message_lives(events))
+    lives = cut_lineage(H.message_lives(events), events)
     markers = cut_lineage(U.unread(events, lives).select(
         "user_id", "chat_id", F.col("last_message_id").alias("marker"), F.lit(S.OPEN - 1).alias("at")
     ))
-    asked = inherit_hot(markers.withColumn("hot", F.lit(False)), events)
+    asked = inherit_hot(markers, events)
     counted = H.count_after(asked, lives).drop("hot")
     return markers.join(counted, ["chat_id", "at", "marker"]).select("user_id", "chat_id", "marker", "n")
 
@@ -265,7 +265,7 @@ def chats_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    lives = cut_lineage(H.message_lives(events))
+    lives = cut_lineage(H.message_lives(events), events)
     rows = R.chat_list(P.user_view(events, lives), U.unread(events, lives))
     return numbered(rows, ["user_id"], R.list_order()).select("user_id", "pos", *R.LIST_COLUMNS)
 
@@ -319,7 +319,8 @@ def chat_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _typed(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, DataFrame]:
     s = store(spark, sf_dir)
     wanted = commands(s.acts).where(F.col("kind").isin(*kinds))
-    return cut_lineage(C.parse(wanted, s.events)).where("reason is null"), s.events
+    typed, events = C.parse(wanted, s.events)
+    return cut_lineage(typed, events).where("reason is null"), events
 
 
 def _shown(expanded: DataFrame, *columns: str) -> DataFrame:
@@ -360,19 +361,19 @@ def _judged(judged: DataFrame, expanded: DataFrame) -> DataFrame:
 
 def cmd_message_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, events = _typed(spark, sf_dir, "message_create")
-    judged = cut_lineage(C.judge_posts(rows, events))
+    judged = cut_lineage(C.judge_posts(rows, events), events)
     return _judged(judged, C.post_messages(judged, events))
 
 
 def cmd_message_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, events = _typed(spark, sf_dir, "message_edit")
-    judged = cut_lineage(C.judge_changes(rows, events))
+    judged = cut_lineage(C.judge_changes(rows, events), events)
     return _judged(judged, C.edit_messages(judged, events))
 
 
 def cmd_message_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, events = _typed(spark, sf_dir, "message_delete")
-    judged = cut_lineage(C.judge_changes(rows, events))
+    judged = cut_lineage(C.judge_changes(rows, events), events)
     return _judged(judged, C.delete_messages(judged, events))
 
 

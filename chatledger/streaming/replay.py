@@ -23,7 +23,7 @@ TABLES = {
 
 def replay_full(events: DataFrame) -> dict[str, DataFrame]:
     """All tables as of the end of the log, with the message counters of the chats restored."""
-    lives = cut_lineage(message_lives(events))
+    lives = cut_lineage(message_lives(events), events)
     texts = messages(events)
     chats = chat_common(events)
     marks = message_id_high_water(chats, texts).select(F.col("chat_id").alias("id"), "mark")
