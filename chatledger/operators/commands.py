@@ -59,7 +59,7 @@ def parse(commands: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]
 def member_pages(positions: DataFrame, members: DataFrame, page: int = PAGE) -> DataFrame:
     """The members of a chat as of each position as sorted id lists of about ``page`` users at most:
     one row per (``chat_id``, ``at``, ``page``). A position without members gets one empty list."""
-    present = members_at(positions, members)
+    present = cut_lineage(members_at(positions, members))
     sizes = present.groupBy("chat_id", "at").agg(F.ceil(F.count(F.lit(1)) / page).alias("pages"))
     paged = present.join(sizes, ["chat_id", "at"]).withColumn(
         "page", F.pmod(F.xxhash64("user_id"), "pages")
@@ -88,7 +88,8 @@ def _refresh(rows: DataFrame, slot: int, unread: int = 0, message: int = 0, comm
 
 
 def _with_members(rows: DataFrame, events: DataFrame) -> DataFrame:
-    return rows.join(member_pages(rows, member_intervals(events)), ["chat_id", "at"])
+    members = cut_lineage(member_intervals(events), events)
+    return rows.join(member_pages(rows, members), ["chat_id", "at"])
 
 
 def create_chats(rows: DataFrame, events: DataFrame, base: int | DataFrame | None = None) -> DataFrame:
@@ -162,7 +163,8 @@ def judge_changes(rows: DataFrame, events: DataFrame) -> DataFrame:
         "reason", F.when(F.col("true_owner").isNull(), F.lit(NO_MESSAGE))
         .when(F.col("true_owner") != F.col("user_id"), F.lit(NOT_OWNER))
     )
-    return judged.join(newest_at(rows, message_lives(events)).drop("hot"), ["chat_id", "at"])
+    lives = cut_lineage(message_lives(events), events)
+    return judged.join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"])
 
 
 def post_messages(judged: DataFrame, events: DataFrame) -> DataFrame:

@@ -129,11 +129,14 @@ def marker_history(events: DataFrame, lives: DataFrame | None = None) -> DataFra
     lives = cut_lineage(message_lives(events), events) if lives is None else lives
     filled = fills(events)
     given = normalize_reads(events, lives).select(*NODE, "hot", F.col("normalized").alias("value"))
+    given = cut_lineage(given, events)
     first = filled.select(*NODE).unionByName(given.select(*NODE)).groupBy(*ROW).agg(F.min("log_seq").alias("first"))
+    first = cut_lineage(first)
     posted = posts(events).join(first, ROW).where("log_seq > first").drop("first")
     tops = newest_at(
         posted.unionByName(filled.where("refill").select(*posted.columns)).withColumnRenamed("log_seq", "at"), lives
     ).select("chat_id", F.col("at").alias("log_seq"), F.coalesce("newest", F.lit(0)).alias("top"))
+    tops = cut_lineage(tops)
     posted = posted.join(tops, ["chat_id", "log_seq"]).withColumnRenamed("top", "value")
     checked = filled.join(first, ROW).join(tops, ["chat_id", "log_seq"], "left").select(
         *NODE, "hot", (F.col("log_seq") == F.col("first")).alias("fixed"),

@@ -386,7 +386,7 @@ def participants_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the chat as every view refresh found them."""
     events = _events(spark, sf_dir)
     positions = events.where(F.col("name") == S.CHAT_VIEW_REFRESHED).select("chat_id", F.col("log_seq").alias("at"))
-    return H.members_at(positions, H.member_intervals(events)).select(
+    return H.members_at(positions, cut_lineage(H.member_intervals(events), events)).select(
         F.col("at").alias("log_seq"), "chat_id", "user_id"
     )
 
