@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's setting, or a scratch folder where none is set."""
+    """The folder for checkpoints: the session's setting. Only a local session, as in tests, may do without one
+    and gets a scratch folder; on a cluster such a folder would be another one on every machine."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(configured)
         return configured
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="chatledger-"))
     return context.getCheckpointDir()
 
