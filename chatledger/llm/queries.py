@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import quality
+from chatledger.llm import chat, language, mixing, quality
 from chatledger.llm.common import table
 
 
+def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return language.identify(documents, language.train(documents))
+
+
+def op5_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.format_turns(chat.with_trap(table(spark, sf_dir, "conversations"))))
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
 REGISTERED = {
+    "op3_output_codes": op3_output_codes,
+    "op5_hierarchical_budget": op5_hierarchical_budget,
+    "op7_round_trip": op7_round_trip,
     "op9_weak_supervision": op9_weak_supervision,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_hierarchical_budget": mixing.oracle()}
