@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import chat, language, mixing, quality
+from chatledger.llm import chat, language, mixing, pii, quality
 from chatledger.llm.common import table
 
 
@@ -25,11 +25,17 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.detect(documents, pii.train(documents))
+
+
 REGISTERED = {
     "op3_output_codes": op3_output_codes,
     "op5_hierarchical_budget": op5_hierarchical_budget,
     "op7_round_trip": op7_round_trip,
     "op9_weak_supervision": op9_weak_supervision,
+    "op10_boosted_spans": op10_boosted_spans,
 }
 
 ORACLE = {"op5_hierarchical_budget": mixing.oracle()}
