@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import chat, language, mixing, pii, quality
+from chatledger.llm import chat, language, mixing, near, pii, quality
 from chatledger.llm.common import table
 
 
@@ -13,6 +13,10 @@ def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, language.train(documents))
 
 
+def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op5_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def op10_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = {
     "op3_output_codes": op3_output_codes,
+    "op4_odd_sketches": op4_odd_sketches,
     "op5_hierarchical_budget": op5_hierarchical_budget,
     "op7_round_trip": op7_round_trip,
     "op9_weak_supervision": op9_weak_supervision,
