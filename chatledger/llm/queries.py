@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import chat, language, mixing, near, pii, quality
+from chatledger.llm import automaton, chat, language, mixing, near, pii, quality, transforms
 from chatledger.llm.common import table
 
 
+def op1_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automaton.remove_repeats(table(spark, sf_dir, "documents")).drop("n_spans", "kept")
+
+
 def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.train(documents))
@@ -25,6 +29,10 @@ def op7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_trap(table(spark, sf_dir, "conversations"))))
 
 
+def op8_merged_transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transforms.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -35,10 +43,12 @@ def op10_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTERED = {
+    "op1_suffix_automata": op1_suffix_automata,
     "op3_output_codes": op3_output_codes,
     "op4_odd_sketches": op4_odd_sketches,
     "op5_hierarchical_budget": op5_hierarchical_budget,
     "op7_round_trip": op7_round_trip,
+    "op8_merged_transforms": op8_merged_transforms,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_boosted_spans": op10_boosted_spans,
 }
