@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import automaton, chat, language, mixing, near, pii, quality, transforms
+from chatledger.llm import automaton, chat, language, mixing, near, neighbours, packing, pii, quality, transforms
 from chatledger.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.remove_repeats(table(spark, sf_dir, "documents")).drop("n_spans", "kept")
 
 
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return language.identify(documents, language.train(documents))
@@ -25,6 +29,11 @@ def op5_hierarchical_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(embeddings, embeddings.where("vec_id % 50 = 0"))
+
+
 def op7_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_trap(table(spark, sf_dir, "conversations"))))
 
@@ -44,9 +53,11 @@ def op10_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = {
     "op1_suffix_automata": op1_suffix_automata,
+    "op2_retrieval_packing": op2_retrieval_packing,
     "op3_output_codes": op3_output_codes,
     "op4_odd_sketches": op4_odd_sketches,
     "op5_hierarchical_budget": op5_hierarchical_budget,
+    "op6_multi_index": op6_multi_index,
     "op7_round_trip": op7_round_trip,
     "op8_merged_transforms": op8_merged_transforms,
     "op9_weak_supervision": op9_weak_supervision,
