@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from chatledger.llm import language, mixing, near, packing, pii
 from chatledger.plans.materialize import scratch_path
 
-STAGES: list = []
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the output codes can tell; learned from the labelled ones among them."""
+    return language.reject(docs, language.train(docs))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Of repeated rows that one
+    row stays, too; rows without doc_id stay unless they repeat the text of a row that has one."""
+    found = near.near_duplicates(docs, size=3, percent=85)
+    kept = found.where("kept").select(F.col("doc_id").alias("kept_")).distinct()
+    kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
+    named = kept.where("doc_id is not null")
+    return named.withColumn("r_", F.row_number().over(first)).where("r_ = 1").select(*docs.columns).unionByName(
+        kept.where("doc_id is null"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with personal data replaced by its kind."""
+    return pii.redact(docs, pii.train(docs))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as the mix of domains, languages and sources asks for."""
+    return mixing.repeat(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their token ids."""
+    return packing.pack(docs, with_ids=True)
+
+
+STAGES = [
+    ("language", known_language), ("near", one_of_each), ("pii", without_personal_data), ("mixing", mixed),
+    ("packing", packed),
+]
+
+#: Learned classifiers, sketches and tokenizers have no SQL form; tests/llm checks the stages by brute force.
 ORACLE_SQL = None
 
 
