@@ -7,7 +7,7 @@ confirmed on their whole sets.
 
 A band may hold any number of classes, so pairs are not listed. First all classes of a band are compared with its most
 central class, which joins most of them in linear work. Bands that still hold several components are then searched,
-block against block, and only pairs of different components that pass the sketch leave the task.
+block against block, and only confirmed links between different components leave the task.
 """
 
 from __future__ import annotations
@@ -115,6 +115,15 @@ def sketches(documents: DataFrame, size: int) -> DataFrame:
 _CODES_2 = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share at least ``percent`` of their union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not len(x):
+        return False
+    place = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[place] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. ``texts`` is bucketed by node and is not shuffled; only the
     text of ``b`` travels, one copy for up to ``PER_COPY`` pairs, so a central text is not one task's burden."""
@@ -127,10 +136,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size)
-            keep = []
-            for x, y in zip(left, right, strict=True):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared) and shared > 0)
+            keep = [_similar(x, y, percent) for x, y in zip(left, right, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
@@ -142,49 +148,70 @@ def _alike(a: str, b: str, most: int) -> F.Column:
     return sum(ones[1:], ones[0]) <= most
 
 
-def _blocks(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) within a band key that pass the sketch and are of different components. A band of m blocks is
-    compared in m(m+1)/2 tasks' groups; one task holds two blocks at a time."""
+def _blocks(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The confirmed links (a, b) between different components within a band. A band of m blocks is compared in
+    m(m+1)/2 groups; a task holds two blocks at a time. A pair is judged in the first band that it shares, on its
+    sketches and then on its whole sets, unless earlier links of the group have joined the two already."""
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("key", "node", "component", "odd", "own", met).select(
+    spread = dealt.select("*", met).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component",
-        *[F.get("odd", n).alias(f"w{n}") for n in range(SKETCH_BITS // 64)])
+        "odd", "bands", "text")
+    most = most_different_bits(percent / 100)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> pa.RecordBatch:
-            col = lambda c: rows.column(c).to_numpy()
-            key, i, j, own, node, comp = map(col, ("key", "i", "j", "own", "node", "component"))
-            words = np.stack([col(f"w{n}") for n in range(SKETCH_BITS // 64)], 1).view(np.uint64)
-            a, b, step = [], [], 1
-            while step < len(key):
-                here = np.flatnonzero((key[step:] == key[:-step]) & (i[step:] == i[:-step]) & (j[step:] == j[:-step]))
-                if not len(here):
-                    break
-                there = here + step
-                open_ = (comp[here] != comp[there]) & ((own[here] != own[there]) | (i[here] == j[here]))
-                here, there = here[open_], there[open_]
-                far = np.bitwise_count(words[here] ^ words[there]).sum(1)
-                a.append(node[here][far <= most])
-                b.append(node[there][far <= most])
-                step += 1
-            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        col = lambda c: rows.column(c).to_numpy()
+        flat = lambda c, n: rows.column(c).combine_chunks().flatten().to_numpy().reshape(-1, n)
+        key, i, j, own, node, comp = map(col, ("key", "i", "j", "own", "node", "component"))
+        words, bands = flat("odd", SKETCH_BITS // 64).view(np.uint64), flat("bands", BANDS)
+        texts, sets, joined = rows.column("text").combine_chunks(), {}, {}
+        found: list[tuple[int, int]] = []
+
+        def shingles(row: int) -> np.ndarray:
+            if row not in sets:
+                sets[row] = next(shingle_sets(texts.slice(row, 1), size))
+            return sets[row]
+
+        def top(label: int) -> int:
+            while label in joined:
+                label = joined[label]
+            return label
+
+        for step in range(1, len(key)):
+            here = np.flatnonzero((key[step:] == key[:-step]) & (i[step:] == i[:-step]) & (j[step:] == j[:-step]))
+            if not len(here):
+                break
+            there = here + step
+            open_ = (comp[here] != comp[there]) & ((own[here] != own[there]) | (i[here] == j[here]))
+            here, there = here[open_], there[open_]
+            near = np.bitwise_count(words[here] ^ words[there]).sum(1) <= most
+            here, there = here[near], there[near]
+            first = (bands[here] == bands[there]).argmax(1)
+            mine = bands[here, first] == key[here]
+            for x, y in zip(here[mine].tolist(), there[mine].tolist(), strict=True):
+                a, b = top(comp[x]), top(comp[y])
+                if a != b and _similar(shingles(x), shingles(y), percent):
+                    joined[max(a, b)] = min(a, b)
+                    found.append((max(node[x], node[y]), min(node[x], node[y])))
+        ends = list(zip(*found, strict=True)) or [[], []]
+        return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            last = [rows.column(c)[-1] for c in ("key", "i", "j")] if rows.num_rows else []
             edge = rows.num_rows
-            while edge and [rows.column(c)[edge - 1] for c in ("key", "i", "j")] == last:
+            group = [np.asarray(rows.column(c)) for c in ("key", "i", "j")]
+            while edge and all(c[edge - 1] == c[-1] for c in group):
                 edge -= 1
             if edge:
-                yield pairs(rows.slice(0, edge))
+                yield links(rows.slice(0, edge))
             held = rows.slice(edge)
         if held is not None and held.num_rows:
-            yield pairs(held)
+            yield links(held)
 
     grouped = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return grouped.mapInArrow(search, "a long, b long").distinct()
@@ -210,7 +237,7 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80) -
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     members = cut_lineage(keyed.join(shared, "key"))
     weights = members.groupBy("node").agg(F.sum("c").alias("weight"))
-    odd = cut_lineage(weights.join(shapes.select("node", "odd").distinct(), "node"))
+    odd = cut_lineage(weights.join(shapes.select("node", "odd", "bands").distinct(), "node"))
     # Rows with one doc_id but different sets are one node.
     ids = named.where("node is not null and doc_id is not null")
     split = ids.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top")
@@ -238,11 +265,11 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80) -
         found = confirm(tried.select(F.col("node").alias("a"), "b").distinct()).distinct()
         links = cut_lineage(links.unionByName(found))
         component = cut_lineage(components(links))
-    rest = members.select("key", "node").join(odd.select("node", "odd"), "node").join(component, "node", "left")
-    rest = rest.withColumn("component", F.coalesce("component", F.col("node")))
+    rest = members.select("key", "node").join(odd.select("node", "odd", "bands"), "node")
+    rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    candidates = cut_lineage(_blocks(rest.join(mixed.select("key"), "key"), most))
-    links = cut_lineage(links.unionByName(confirm(candidates).distinct()))
+    rest = rest.join(mixed.select("key"), "key").join(spark.table(name), "node")
+    links = cut_lineage(links.unionByName(_blocks(rest, size, percent)))
     component = cut_lineage(components(links))
     spark.sql(f"DROP TABLE {name}")
 
