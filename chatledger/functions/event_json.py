@@ -42,11 +42,65 @@ def strict_json(text: str) -> Column:
     """A variant if the text is exactly one JSON value, else null.
 
     Spark's parser stops after the first value; inside an array with a last element of our own, anything
-    that follows the value is seen.
+    that follows the value is seen. A text that has our element in it is read once more with another one:
+    no text can end both arrays.
     """
-    boxed = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(', "end"]')))
-    whole = (F.try_variant_get(boxed, "$[1]", "string") == "end") & F.try_variant_get(boxed, "$[2]", "variant").isNull()
-    return F.when(whole, F.try_variant_get(boxed, "$[0]", "variant"))
+    def boxed(mark: str) -> Column:
+        box = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f', "{mark}"]')))
+        whole = F.try_variant_get(box, "$[1]", "string") == mark
+        return F.when(whole & F.try_variant_get(box, "$[2]", "variant").isNull(), box)
+
+    box = F.when(F.col(text).contains('"end"'), F.when(boxed("end").isNotNull(), boxed("stop"))).otherwise(boxed("end"))
+    return F.try_variant_get(box, "$[0]", "variant")
+
+
+# The own fields of every event, apart from additionalData and chatId, which all have.
+OWN_FIELDS = {
+    S.CHAT_CREATED: ("title",), S.CHAT_EDITED: ("title",), S.CHAT_DELETED: (),
+    S.PARTICIPANTS_ADDED: ("participantIds",), S.PARTICIPANT_DELETED: ("participantIds",),
+    S.CHAT_PINNED: ("participantId", "pinned"), S.MESSAGE_CREATED: ("id", "ownerId", "content"),
+    S.MESSAGE_EDITED: ("id", "content"),
+    S.CHAT_VIEW_REFRESHED: ("participantIds", "title", "unreadMessagesAction", "lastMessageAction",
+                            "chatCommonAction", "increaseOn", "ownerId"),
+    S.MESSAGE_READED: ("participantId", "messageId"), S.MESSAGE_DELETED: ("messageId",),
+}
+
+# A date and time with zone as the events write it.
+STAMP = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}([.,][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def is_event(value: str, name: str, parsed: str) -> Column:
+    """Whether a value (column ``value``: the variant of ``strict_json``) is one JSON object whose fields, as far as its event has them, are of the right types. Absent
+    and null fields are fine, and so are fields of other events, whatever they hold."""
+    value = F.col(value)
+    at = lambda field: F.try_variant_get(value, f"$.{field}", "variant")
+    kind = lambda field: F.coalesce(F.schema_of_variant(at(field)), F.lit("VOID"))
+
+    def small(field: str) -> Column:
+        return F.coalesce(F.try_variant_get(value, f"$.{field}", "smallint").isNotNull(), F.lit(False))
+
+    right = {
+        "title": kind("title").isin("VOID", "STRING"), "content": kind("content").isin("VOID", "STRING"),
+        "pinned": kind("pinned").isin("VOID", "BOOLEAN"),
+        "participantIds": kind("participantIds").isin("VOID", "ARRAY<BIGINT>", "ARRAY<VOID>"),
+    }
+    for field in ("unreadMessagesAction", "lastMessageAction", "chatCommonAction"):
+        right[field] = (kind(field) == "VOID") | (kind(field) == "BIGINT") & small(field)
+    for field in ("chatId", "participantId", "id", "messageId", "ownerId", "increaseOn"):
+        right[field] = kind(field).isin("VOID", "BIGINT")
+    own = F.lit(True)
+    for event, fields in OWN_FIELDS.items():
+        fine = right["chatId"]
+        for field in fields:
+            fine = fine & right[field]
+        own = F.when(F.col(name) == event, fine).otherwise(own)
+    stamp = F.col(f"{parsed}.additionalData.createdAt")
+    timed = stamp.isNull() | stamp.rlike(STAMP) & utc_clock(f"{parsed}.additionalData.createdAt").isNotNull()
+    extra = kind("additionalData").startswith("OBJECT") | (kind("additionalData") == "VOID")
+    # Most values hold what they should: only those the typed parser stumbled over are looked at field by field.
+    fields = F.when(F.col(f"{parsed}.broken").isNull(), True).otherwise(own & extra)
+    whole = F.schema_of_variant(value).startswith("OBJECT")
+    return F.coalesce(whole, F.lit(False)) & fields & F.coalesce(timed, F.lit(False))
 
 
 def utc_clock(stamp: str) -> Column:

@@ -2,37 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
-from chatledger.functions.event_json import decode_value, utc_clock
+from chatledger.functions.event_json import OWN_FIELDS, decode_value, is_event, strict_json, utc_clock
 from chatledger.operators.history import message_lives, newest_at
+from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.ordered import following, previous, running, total
-from chatledger.sources.log import log_position
+from chatledger.sources.log import dedup, log_position
 
 
 def decode(records: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Raw records as wide event rows, one JSON parse each. Records with an unknown name or a value
-    that is not an event keep null fields; ``split_known`` takes them out.
+    """Raw records as wide event rows. ``broken`` marks values that are not events: no JSON object, text after it, or a
+    field of the wrong type; ``split_known`` takes them out, with the records of unknown names.
 
-    ``partitions`` is the partition count of a log whose producers stamp no position.
+    A field that an event has but its value lacks (or holds as null) is zero, false or empty text; a missing list stays
+    null, which is as empty. ``partitions`` is the partition count of a log whose producers stamp no position.
     """
-    parsed = records.withColumn("e_", decode_value("value"))
+    parsed = records.withColumn("name", F.col("headers")["name"]).withColumn("e_", decode_value("value"))
     e = lambda c: F.col(f"e_.{c}")
-    return parsed.select(
+
+    def own(field: str, zero: object) -> Column:
+        events = [name for name, fields in OWN_FIELDS.items() if field in fields]
+        return F.coalesce(e(field), F.when(F.col("name").isin(*events), F.lit(zero)))
+
+    number = lambda field, kind="bigint": own(field, 0).cast(kind)
+    # The partition id keeps filters above the parsing, which they would repeat for every field they ask for.
+    whole = F.when(F.spark_partition_id() >= 0, strict_json("value"))
+    parsed = parsed.withColumn("v_", whole).withColumn("broken", ~is_event("v_", "name", "e_"))
+    decoded = parsed.select(
         log_position(partitions=partitions).alias("log_seq"), "partition", "offset",
-        e("chatId").alias("chat_id"), F.col("headers")["name"].alias("name"),
+        F.coalesce(e("chatId"), F.when(F.col("e_").isNotNull(), F.lit(0))).cast("bigint").alias("chat_id"), "name",
         utc_clock("e_.additionalData.createdAt").alias("created_at"),
-        e("participantIds").alias("participant_ids"), e("title").alias("title"),
-        e("participantId").alias("participant_id"), e("pinned").alias("pinned"),
-        F.coalesce(e("id"), e("messageId")).alias("message_id"),
-        e("ownerId").alias("owner_id"), e("content").alias("content"),
-        e("unreadMessagesAction").alias("unread_action"),
-        e("lastMessageAction").alias("last_message_action"),
-        e("chatCommonAction").alias("chat_common_action"),
-        e("increaseOn").alias("increase_on"),
+        F.transform(e("participantIds"), lambda i: F.coalesce(i, F.lit(0))).alias("participant_ids"),
+        own("title", "").alias("title"), number("participantId").alias("participant_id"),
+        own("pinned", False).alias("pinned"),
+        F.coalesce(number("id"), number("messageId")).alias("message_id"),
+        number("ownerId").alias("owner_id"), own("content", "").alias("content"),
+        number("unreadMessagesAction", "smallint").alias("unread_action"),
+        number("lastMessageAction", "smallint").alias("last_message_action"),
+        number("chatCommonAction", "smallint").alias("chat_common_action"),
+        number("increaseOn").alias("increase_on"), "broken",
     )
+    # What could be read of a broken value is not an event's.
+    keep = ("log_seq", "partition", "offset", "name", "broken")
+    return decoded.select(*[c if c in keep else F.when(~F.col("broken"), F.col(c)).alias(c) for c in decoded.columns])
 
 
 # Reasons an event is taken out of the replay or reported.
@@ -44,13 +59,14 @@ NO_MESSAGE = "owner increase in a chat without messages"
 
 
 def rejects(events: DataFrame) -> DataFrame:
-    """Events that are not applied: unknown name, no chat id or position, or a title over the limit."""
+    """Events that are not applied: unknown name, a broken value, no position, or a title over the limit."""
+    broken = F.col("broken") if "broken" in events.columns else F.lit(False)
     titled = F.col("name").isin(S.CHAT_CREATED, S.CHAT_EDITED) | (
         (F.col("name") == S.CHAT_VIEW_REFRESHED) & (F.col("chat_common_action") == S.CHAT_COMMON_REFRESH)
     )
     reason = (
         F.when(~F.coalesce(F.col("name").isin(*S.EVENT_NAMES), F.lit(False)), UNKNOWN_NAME)
-        .when(F.col("chat_id").isNull() | F.col("log_seq").isNull(), BROKEN_VALUE)
+        .when(broken | F.col("chat_id").isNull() | F.col("log_seq").isNull(), BROKEN_VALUE)
         .when(titled & (F.char_length("title") > S.MAX_TITLE), LONG_TITLE)
     )
     return events.withColumn("reason", reason)
@@ -59,7 +75,13 @@ def rejects(events: DataFrame) -> DataFrame:
 def split_known(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The events to apply, and the dead letters with a reason."""
     judged = rejects(events)
-    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
+    return judged.where("reason is null").drop("reason", "broken"), judged.where("reason is not null").drop("broken")
+
+
+def read_events(records: DataFrame, partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw records as the events to apply, and the dead letters with a reason. Redelivered records count once. This is
+    the one way from a log to events, for batches, imports and streams."""
+    return split_known(decode(dedup(records), partitions))
 
 
 def route(events: DataFrame) -> DataFrame:
@@ -86,13 +108,14 @@ def poison(events: DataFrame) -> DataFrame:
         (name == S.CHAT_VIEW_REFRESHED) & (F.col("unread_action") == S.UNREAD_REFRESH)
     )
     repeats = F.size("participant_ids") > F.size(F.array_distinct("participant_ids"))
+    lives = cut_lineage(message_lives(events), events)
     long = rejects(events).where(F.col("reason") == LONG_TITLE).select("log_seq", "reason")
     twice = events.where(writes_rows & repeats).select("log_seq", F.lit(REPEATED_ID).alias("reason"))
     owned = events.where(
         (name == S.CHAT_VIEW_REFRESHED) & (F.col("unread_action") == S.UNREAD_INCREASE)
         & F.array_contains("participant_ids", F.col("owner_id"))
     ).select("chat_id", F.col("log_seq").alias("at"), "hot")
-    empty = newest_at(owned, message_lives(events)).where("newest is null").select(
+    empty = newest_at(owned, lives).where("newest is null").select(
         F.col("at").alias("log_seq"), F.lit(NO_MESSAGE).alias("reason")
     )
     return long.unionByName(twice).unionByName(empty)

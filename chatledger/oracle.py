@@ -316,8 +316,8 @@ spoiled AS (
     CASE WHEN name = 'chatEdited' THEN repeat(title, 200) ELSE title END AS title,
     CASE WHEN name = 'participantsAdded' AND chat_id % 2 = 0 THEN participant_ids || participant_ids
          ELSE participant_ids END AS participant_ids)
-  FROM log WHERE NOT (name = 'messageCreated' AND message_id <= 2)
-),""" + _lives("spoiled_life", "messageCreated", "messageDeleted", ["chat_id", "message_id"], "spoiled")
+  FROM log
+)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -338,6 +338,22 @@ def oracle_sql() -> dict[str, str]:
                    WHEN 2 THEN 'partition is not an integer' WHEN 3 THEN 'partition is not an integer'
                    WHEN 4 THEN 'header value is not a string' END AS reason
             FROM log"""),
+        "import_rejects": _sql(log, """
+            SELECT partition, "offset" + 1 AS line, 'line is not JSON' AS reason
+            FROM (SELECT *, row_number() OVER (ORDER BY partition, "offset") AS pos FROM log) WHERE pos % 7 = 0"""),
+        "import_append": _sql(log, 'SELECT partition, "offset", CAST(chat_id AS VARCHAR) AS key FROM log'),
+        "decode_damaged": _sql(log, """
+            SELECT log_seq, name, CASE WHEN fine THEN chat_id END AS chat_id,
+              CASE WHEN fine THEN CASE WHEN lacks AND name = 'chatPinned' THEN false ELSE pinned END END AS pinned,
+              CASE WHEN fine THEN CASE WHEN lacks AND name IN ('messageCreated', 'messageEdited') THEN '' ELSE content END
+              END AS content,
+              CASE WHEN fine THEN CASE WHEN lacks AND name IN ('chatCreated', 'chatEdited', 'chatViewRefreshed') THEN ''
+                                       ELSE title END END AS title,
+              CASE WHEN fine THEN CASE WHEN lacks AND name IN ('messageCreated', 'chatViewRefreshed') THEN 0
+                                       ELSE owner_id END END AS owner_id,
+              CASE WHEN NOT fine THEN 'value is not an event' END AS reason
+            FROM (SELECT *, "offset" % 6 IN (2, 5) AS fine, "offset" % 6 = 2 AS lacks FROM log)"""),
+        "unread_after_redelivery": _sql(log + _UNREAD, "SELECT user_id, chat_id, unread_messages, last_message_id FROM unread"),
         "roundtrip_diff": _NO_DIFF.strip(),
         "replay_incremental": _NO_DIFF.strip(),
         "events_decode": _sql(log, f'SELECT log_seq, partition, "offset", chat_id, name, created_at, {_FIELDS_TEXT} FROM log'),
@@ -356,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
         "log_dedup": _sql(log, """
             SELECT partition, count(*) + count(*) FILTER (WHERE "offset" % 3 = 0) AS rows_before, count(*) AS rows_after
             FROM log GROUP BY partition"""),
-        "poison_events": _sql(log + _SPOILED, """
+        "poison_events": _sql(log + _MESSAGE_LIFE + _SPOILED, """
             SELECT log_seq, 'title too long' AS reason FROM spoiled
             WHERE name IN ('chatCreated', 'chatEdited') AND length(title) > 512
             UNION ALL
@@ -364,9 +380,12 @@ def oracle_sql() -> dict[str, str]:
             WHERE (name = 'participantsAdded' OR (name = 'chatViewRefreshed' AND unread_action = 1))
               AND len(participant_ids) > len(list_distinct(participant_ids))
             UNION ALL
-            SELECT log_seq, 'owner increase in a chat without messages' FROM spoiled s
+            SELECT -min(log_seq) - 1, 'owner increase in a chat without messages' FROM log
+            WHERE name = 'chatCreated' GROUP BY chat_id
+            UNION ALL
+            SELECT log_seq, 'owner increase in a chat without messages' FROM log s
             WHERE name = 'chatViewRefreshed' AND unread_action = 2 AND list_contains(participant_ids, owner_id)
-              AND NOT EXISTS (SELECT 1 FROM spoiled_life m WHERE m.chat_id = s.chat_id
+              AND NOT EXISTS (SELECT 1 FROM message_life m WHERE m.chat_id = s.chat_id
                               AND m.from_seq <= s.log_seq AND s.log_seq < m.to_seq)"""),
         "chat_lifetimes": _sql(log + _CHAT_LIFE, "SELECT chat_id, from_seq, to_seq FROM chat_life"),
         "chat_common": _sql(log + _CHATS, """
@@ -410,7 +429,8 @@ def oracle_sql() -> dict[str, str]:
                AND m.message_id > u.last_message_id) AS n
             FROM unread u"""),
         "unread_view": _sql(log + _UNREAD, "SELECT user_id, chat_id, unread_messages, last_message_id FROM unread"),
-        "chats_for_user": _sql(log + _LIST, "SELECT * EXCLUDE (user_id) FROM chat_list WHERE user_id = 0"),
+        "chats_for_user": _sql(log + _LIST, """
+            SELECT * FROM chat_list WHERE user_id = (SELECT min(user_id) FROM user_view)"""),
         "chat_list_all": _sql(log + _LIST, "SELECT * FROM chat_list"),
         "messages_of_chat": _sql(log + _MESSAGES, """
             SELECT row_number() OVER (ORDER BY id DESC) AS pos, id, owner_id, content FROM messages WHERE chat_id = 1"""),

@@ -23,7 +23,7 @@ from chatledger.plans.ordered import numbered
 from chatledger.plans.skew import inherit_hot
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
-from chatledger.sources.tables import store_events
+from chatledger.sources.tables import store_records
 from chatledger.streaming.refresh import read_table, refresh_available
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored, summary
 
@@ -48,7 +48,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         path = scratch_path(spark, "log")
         chat_log(spark, sf_dir).write.parquet(path)
         records = L.scan_log(spark, path)
-        events = store_events(E.split_known(E.decode(records))[0])
+        events = store_records(records)[0]
         _stores[key] = Store(path, records, events, actions(spark, sf_dir))
     return _stores[key]
 
@@ -121,8 +121,34 @@ def import_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("partition", "offset", "ok", "reason")
 
 
+def import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The refused lines of an exported log file by line number; every seventh line lost its first character."""
+    records = store(spark, sf_dir).records
+    path = scratch_path(spark, "damaged")
+    lines = numbered(L.export_log(records), [], [F.col("partition"), F.col("offset")])
+    spoiled = lines.withColumn("value", F.when(F.col("pos") % 7 == 0, F.expr("substring(value, 2)")).otherwise(F.col("value")))
+    # One file per partition of the log, so that line numbers have a meaning of their own.
+    spoiled.repartition("partition").sortWithinPartitions("partition", "offset").select("partition", "value").write.partitionBy(
+        "partition").text(path)
+    rejected = L.rejected_lines(L.read_lines(spark, path))
+    return rejected.select(
+        F.regexp_extract("file", "partition=([0-9]+)", 1).cast("int").alias("partition"), "line", "reason")
+
+
+def import_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The export of the log's second half imported into a log that holds the first half of every partition."""
+    records = store(spark, sf_dir).records
+    halves = L.end_offsets(records).select("partition", F.expr("end_offset div 2").alias("half"))
+    cut = records.join(halves, "partition")
+    first = cut.where("offset < half").drop("half")
+    path = scratch_path(spark, "second-half")
+    L.write_export(cut.where("offset >= half").drop("half"), path)
+    added = L.import_append(L.read_lines(spark, path), first)
+    return first.select("partition", "offset", "key").unionByName(added.select("partition", "offset", "key"))
+
+
 def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = store_events(E.split_known(E.decode(_imported(spark, sf_dir)))[0])
+    events = store_records(_imported(spark, sf_dir))[0]
     return diff(stored(replay_full(_events(spark, sf_dir))), stored(replay_full(events)))
 
 
@@ -130,7 +156,32 @@ def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     decoded = E.decode(store(spark, sf_dir).records)
-    return decoded.withColumn("participant_ids", joined_ids(F.col("participant_ids")))
+    return decoded.drop("broken").withColumn("participant_ids", joined_ids(F.col("participant_ids")))
+
+
+def decode_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in which values have wrong types, lack fields, or are followed by more text; what becomes of each."""
+    records, value = store(spark, sf_dir).records, F.col("value")
+    fault = F.col("offset") % 6
+    damaged = (
+        F.when(fault == 0, F.regexp_replace(value, '"chatId":([0-9]+)', '"chatId":"$1"'))
+        .when(fault == 1, F.concat(value, F.lit(" trailing")))
+        .when(fault == 2, F.regexp_replace(value, '"(pinned|content|title|ownerId)":("[^"]*"|[a-z0-9]+),?', ""))
+        .when(fault == 3, F.concat(value, F.lit(', "end"] junk')))
+        .when(fault == 4, F.regexp_replace(value, '"createdAt":"[^"]*"', '"createdAt":"yesterday"'))
+        .otherwise(value)
+    )
+    # A field at the end leaves a comma behind.
+    known, dead = E.read_events(records.withColumn("value", F.regexp_replace(damaged, ",}", "}")))
+    shown = ["log_seq", "name", "chat_id", "pinned", "content", "title", "owner_id"]
+    return known.select(*shown, F.lit(None).cast("string").alias("reason")).unionByName(dead.select(*shown, "reason"))
+
+
+def unread_after_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a log in which every third record was delivered twice."""
+    records = store(spark, sf_dir).records
+    twice = records.unionByName(records.where("offset % 3 = 0"))
+    return U.unread(store_records(twice)[0])
 
 
 def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +215,21 @@ def log_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poison_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log with over-long titles, users listed twice, and chats whose first messages are missing."""
+    """A log with over-long titles, users listed twice, and for every chat an owner's increase before all else."""
     events = _events(spark, sf_dir)
     ids = F.col("participant_ids")
-    spoiled = events.where(~((F.col("name") == S.MESSAGE_CREATED) & (F.col("message_id") <= 2))).withColumns({
+    early = events.where(F.col("name") == S.CHAT_CREATED).groupBy("chat_id", "hot").agg((-F.min("log_seq") - 1).alias("log_seq"))
+    early = early.select(
+        "chat_id", "hot", "log_seq", F.lit(S.CHAT_VIEW_REFRESHED).alias("name"), F.array(F.lit(1).cast("long")).alias("participant_ids"),
+        F.lit("").alias("title"), F.lit(1).cast("long").alias("owner_id"), F.lit(S.UNREAD_INCREASE).cast("smallint").alias("unread_action"),
+    )
+    spoiled = events.withColumns({
         "title": F.when(F.col("name") == S.CHAT_EDITED, F.repeat("title", F.lit(200))).otherwise(F.col("title")),
         "participant_ids": F.when(
             (F.col("name") == S.PARTICIPANTS_ADDED) & (F.col("chat_id") % 2 == 0), F.concat(ids, ids)
         ).otherwise(ids),
     })
-    return E.poison(spoiled)
+    return E.poison(spoiled.unionByName(early, allowMissingColumns=True))
 
 
 # Log to tables
@@ -259,8 +315,11 @@ def unread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chats_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
-    rows = R.chat_list(P.user_view(events).where("user_id = 0"), U.unread(events).where("user_id = 0"))
-    return numbered(rows, ["user_id"], R.list_order()).select("pos", *R.LIST_COLUMNS)
+    lives = cut_lineage(H.message_lives(events), events)
+    view, counters = cut_lineage(P.user_view(events, lives)), U.unread(events, lives)
+    first = view.agg(F.min("user_id").alias("user_id")).scalar()
+    rows = R.chat_list(view.where(F.col("user_id") == first), counters.where(F.col("user_id") == first))
+    return numbered(rows, ["user_id"], R.list_order()).select("user_id", "pos", *R.LIST_COLUMNS)
 
 
 def chat_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -451,7 +510,8 @@ def replay_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 Query = Callable[[SparkSession, str], DataFrame]
 
 REGISTERED: dict[str, Query] = {f.__name__: f for f in (
-    log_scan, log_bounded_scan, log_append, log_export, log_import, import_validation, roundtrip_diff,
+    log_scan, log_bounded_scan, log_append, log_export, log_import, import_validation, import_rejects, import_append,
+    roundtrip_diff, decode_damaged, unread_after_redelivery,
     events_decode, events_by_type, events_unknown, partition_balance, events_ordered, log_dedup, poison_events,
     chat_lifetimes, chat_common, adds_skipped, chat_participant, membership_intervals, pinned_chats, chat_user_view,
     last_message_view, message_lifetimes, message_versions, message_table,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chatledger import schemas as S
 from chatledger.functions.event_json import strict_json
-from chatledger.plans.ordered import running, total
+from chatledger.plans.ordered import numbered, running, total
 
 KAFKA_HEADERS = "array<struct<key: string, value: binary>>"
 
@@ -116,11 +116,13 @@ def export_log(records: DataFrame) -> DataFrame:
     The value is parsed and written as JSON again, so a value that is not JSON stops the export.
     """
     bad = F.concat(F.lit("cannot export a value that is not JSON: "), F.col("value"))
+    parsed = records.withColumn("json_", strict_json("value"))
+    # In a filter, the check runs whatever columns are read later.
+    sound = parsed.where(F.when(F.col("json_").isNotNull(), True).otherwise(F.raise_error(bad).cast("boolean")))
     line = F.to_json(F.struct(
-        F.struct("offset", "partition").alias("metadata"), "headers", "key",
-        F.coalesce(strict_json("value"), F.raise_error(bad).cast("variant")).alias("value"),
+        F.struct("offset", "partition").alias("metadata"), "headers", "key", F.col("json_").alias("value"),
     ))
-    return records.select("partition", "offset", line.alias("value"))
+    return sound.select("partition", "offset", line.alias("value"))
 
 
 def write_export(records: DataFrame, path: str) -> None:
@@ -133,9 +135,13 @@ def write_export(records: DataFrame, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of an export; each knows its file and place, there is no limit on their length."""
-    lines = spark.read.text(path)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"))
+    """Lines of an export with their file and line number; there is no limit on their length. Numbering is one
+    distributed sort of the lines by their place, which the import needs for their order anyway."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block_"),
+        F.monotonically_increasing_id().alias("read_"),
+    )
+    return numbered(lines, ["file"], [F.col("block_"), F.col("read_")], "line").drop("block_", "read_")
 
 
 # Reasons an import line is refused.
@@ -177,17 +183,36 @@ def validate_lines(lines: DataFrame) -> DataFrame:
 
 
 def import_log(lines: DataFrame, *, strict: bool = True) -> DataFrame:
-    """Rebuild records from export lines. ``strict`` stops at the first bad line with its reason and
-    text; otherwise bad lines are left out (``rejected_lines`` lists them)."""
+    """Rebuild records from export lines, with the offsets they had (null where a line has none). ``strict`` stops at
+    the first bad line with its number, reason and text, whatever is read of the result; otherwise bad lines are left
+    out (``rejected_lines`` lists them). ``import_append`` gives new offsets."""
     judged = validate_lines(lines)
     if strict:
-        message = F.concat(F.lit("cannot import line ("), F.col("reason"), F.lit("): "), F.col("value"))
-        judged = judged.withColumn(
-            "partition_", F.when(F.col("ok"), F.col("partition_")).otherwise(F.raise_error(message).cast("int"))
-        )
+        where = F.concat(F.lit(" "), F.col("line").cast("string")) if "line" in lines.columns else F.lit("")
+        message = F.concat(F.lit("cannot import line"), where, F.lit(" ("), F.col("reason"), F.lit("): "), F.col("value"))
+        # In a filter, the check runs whatever columns are read later.
+        judged = judged.where(F.when(F.col("ok"), True).otherwise(F.raise_error(message).cast("boolean")))
+    places = [c for c in ("file", "line") if c in lines.columns]
     return judged.where(F.lit(True) if strict else F.col("ok")).select(
         F.col("partition_").alias("partition"), F.col("offset_").alias("offset"),
-        F.col("key_").alias("key"), F.col("headers_").alias("headers"), F.col("value_").alias("value"),
+        F.col("key_").alias("key"), F.col("headers_").alias("headers"), F.col("value_").alias("value"), *places,
+    )
+
+
+def import_append(lines: DataFrame, log: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Records of export lines to be appended to ``log`` (raw records, maybe none): each partition goes on where the log
+    ends, in order of file and line, whatever offsets the lines name. Stamped positions move behind the log's."""
+    records = import_log(lines, strict=strict)
+    placed = numbered(records, ["partition"], [F.col("file"), F.col("line")], "place_")
+    placed = placed.join(end_offsets(log), "partition", "left")
+    last = log.agg(F.coalesce(F.max(log_position()), F.lit(-1)).alias("last")).scalar()
+    stamp = log_position()
+    moved = F.map_concat(
+        F.map_filter("headers", lambda k, _: k != "log_seq"), F.create_map(F.lit("log_seq"), (stamp + last + 1).cast("string"))
+    )
+    return placed.select(
+        "partition", (F.coalesce("end_offset", F.lit(0)) + F.col("place_") - 1).alias("offset"), "key",
+        F.when(stamp.isNull(), F.col("headers")).otherwise(moved).alias("headers"), "value",
     )
 
 
@@ -198,5 +223,6 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
 
 def dedup(records: DataFrame) -> DataFrame:
     """Drop redelivered records. Copies are reduced before the shuffle, so many copies of one record
-    do not pile up in a task."""
-    return records.dropDuplicates(["partition", "offset"])
+    do not pile up in a task. Records without an offset cannot be told apart and stay."""
+    placed = records.where("offset is not null").dropDuplicates(["partition", "offset"])
+    return placed.unionByName(records.where("offset is null"))

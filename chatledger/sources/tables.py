@@ -5,10 +5,17 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from chatledger.operators.events import read_events
 from chatledger.plans.materialize import scratch_path
 from chatledger.plans.skew import find_hot, mark_hot
 
 
+def store_records(records: DataFrame, partitions: int | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A log's records as the stored events and the dead letters: redelivered records counted once, broken values out."""
+    known, dead = read_events(records, partitions)
+    return store_events(known, path), dead
+
+
 def store_events(events: DataFrame, path: str | None = None, *, buckets: int | None = None) -> DataFrame:
     """Write decoded events clustered by chat and read them back with the column ``hot``.
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chatledger import schemas as S
-from chatledger.operators.events import decode, split_known
+from chatledger.operators.events import read_events
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.log import dedup, scan_log
@@ -37,10 +37,13 @@ def _chat_column(table: str) -> str:
     return "id" if table in ("chat_common", "chat_user_view") else "chat_id"
 
 
-def apply_batch(batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS) -> None:
-    """Store a batch of raw records and bring the tables of the chats in it up to date."""
+def apply_batch(
+    batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS, partitions: int | None = None
+) -> None:
+    """Store a batch of raw records and bring the tables of the chats in it up to date. ``partitions`` is
+    the partition count of a log whose producers stamp no position."""
     spark = batch.sparkSession
-    known, dead = split_known(decode(batch))
+    known, dead = read_events(batch, partitions)
     stored = f"{root}/log/batch={batch_id}"
     known.withColumn("bucket", bucket_of(F.col("chat_id"), buckets)).write.mode("overwrite").partitionBy(
         "bucket"
@@ -104,21 +107,28 @@ def _versions(spark: SparkSession, root: str, name: str, upto: int) -> DataFrame
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A derived table as of the last finished batch."""
     rows = _versions(spark, root, name, _finished(spark, root))
+    if rows is None:  # no batch has left a table yet
+        none = spark.createDataFrame([], S.EVENT).withColumn("hot", F.lit(False))
+        return replay_full(none)[name].limit(0)
     return rows.where(F.col(TABLES[name][0]).isNotNull()).drop("bucket")
 
 
-def start_refresh(records: DataFrame, root: str, *, buckets: int = BUCKETS, once: bool = False) -> StreamingQuery:
+def start_refresh(
+    records: DataFrame, root: str, *, buckets: int = BUCKETS, once: bool = False, partitions: int | None = None
+) -> StreamingQuery:
     """Keep the tables below ``root`` fresh from a stream of raw records. ``once`` takes what is there,
     in as many batches as the source makes of it, and stops."""
     writer = records.writeStream.foreachBatch(
-        lambda batch, batch_id: apply_batch(batch, batch_id, root, buckets)
+        lambda batch, batch_id: apply_batch(batch, batch_id, root, buckets, partitions)
     ).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def refresh_available(spark: SparkSession, log_path: str, root: str, *, buckets: int = BUCKETS) -> None:
+def refresh_available(
+    spark: SparkSession, log_path: str, root: str, *, buckets: int = BUCKETS, partitions: int | None = None
+) -> None:
     """Process everything the file log holds and wait until it is done."""
-    query = start_refresh(scan_log(spark, log_path, stream=True), root, buckets=buckets, once=True)
+    query = start_refresh(scan_log(spark, log_path, stream=True), root, buckets=buckets, once=True, partitions=partitions)
     query.awaitTermination()
 
 
