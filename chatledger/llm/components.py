@@ -18,20 +18,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
-    now = cut_lineage(edges.where("a <> b").select("a", "b").distinct())
-    seen = None
+    now = edges.where("a <> b").select("a", "b").distinct()
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(smallest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = large.distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         joined = down.join(smallest(down), "a")
         small = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         now = cut_lineage(small.where("a <> b").distinct())
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("a") % 1000003)).first())
-        if mark == seen:
+        # Done when every node points to one other, and nothing points on from there.
+        ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
+                                            F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e"))
+        degrees = ends.groupBy("e.node").agg(F.sum("e.out").alias("out"), F.max("e.in").alias("in"))
+        if degrees.where("out > 1 or out = 1 and in = 1").isEmpty():
             break
-        seen = mark
     else:
         raise RuntimeError("components did not settle")
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

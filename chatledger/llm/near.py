@@ -250,21 +250,14 @@ def near_duplicates(documents: DataFrame, *, size: int = 5, percent: int = 80) -
     (wanted.repartition(parts, "node").write.bucketBy(parts, "node").sortBy("node")
      .option("path", scratch_path(spark, "near")).format("parquet").saveAsTable(name))
     confirm = partial(_confirm, texts=spark.table(name), size=size, percent=percent)
-    component = None
-    for first in (True, False):
-        # Every class of a band against its most central one, then against any one, unless they are joined already.
-        seats = members.select("key", "node").join(odd, "node")
-        own = F.col("node") if component is None else F.coalesce("component", F.col("node"))
-        seats = (seats if component is None else seats.join(component, "node", "left")).withColumn("component", own)
-        best = F.max_by(F.struct("node", "component", "odd"), F.struct(F.col("weight") if first else F.xxhash64("node"), "node"))
-        centre = seats.groupBy("key").agg(best.alias("centre"), F.min("component").alias("x"),
-                                          F.max("component").alias("y")).where("x < y")
-        met = seats.join(centre.select("key", F.col("centre.node").alias("b"), F.col("centre.component").alias("other"),
-                                       F.col("centre.odd").alias("odd_b")), "key")
-        tried = met.where((F.col("component") != F.col("other")) & _alike("odd", "odd_b", most))
-        found = confirm(tried.select(F.col("node").alias("a"), "b").distinct()).distinct()
-        links = cut_lineage(links.unionByName(found))
-        component = cut_lineage(components(links))
+    # Every class of a band against its most central one.
+    seats = members.select("key", "node").join(odd.select("node", "weight", "odd"), "node")
+    best = F.max_by(F.struct("node", "odd"), F.struct("weight", "node")).alias("centre")
+    met = seats.join(seats.groupBy("key").agg(best), "key").select(
+        F.col("node").alias("a"), F.col("centre.node").alias("b"), "odd", F.col("centre.odd").alias("odd_b"))
+    tried = met.where((F.col("a") != F.col("b")) & _alike("odd", "odd_b", most)).select("a", "b").distinct()
+    links = cut_lineage(links.unionByName(confirm(tried).distinct()))
+    component = cut_lineage(components(links))
     rest = members.select("key", "node").join(odd.select("node", "odd", "bands"), "node")
     rest = rest.join(component, "node", "left").withColumn("component", F.coalesce("component", F.col("node")))
     mixed = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
