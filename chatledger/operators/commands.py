@@ -14,16 +14,16 @@ from pyspark.sql import functions as F
 from chatledger import schemas as S
 from chatledger.functions.text import to_flag, to_id
 from chatledger.operators.history import (
-    chat_states, existing_at, member_intervals, members_at, message_lives, message_versions, newest_at,
+    chat_states, existing_at, member_changes, member_intervals, members_at, message_lives, message_versions, newest_at,
 )
 from chatledger.operators.ids import assign_ids
 from chatledger.operators.unread import marker_history
 from chatledger.plans.materialize import cut_lineage
-from chatledger.plans.ordered import as_of, highest, running
+from chatledger.plans.ordered import as_of, highest, last, numbered, running, total
 from chatledger.plans.skew import align_hot
 
-# Most users one event lists; longer member lists are spread over several events.
-PAGE = 10_000
+# Users one event lists, unless ``expand_commands`` is given another number; longer lists take several events.
+PAGE = 1_000_000
 
 # Reasons a command is refused.
 BAD_ID = "id is not a number"
@@ -57,14 +57,19 @@ def parse(commands: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def member_pages(positions: DataFrame, members: DataFrame, page: int = PAGE) -> DataFrame:
-    """The members of a chat as of each position as sorted id lists of about ``page`` users at most:
-    one row per (``chat_id``, ``at``, ``page``). A position without members gets one empty list."""
-    present = cut_lineage(members_at(positions, members))
-    sizes = present.groupBy("chat_id", "at").agg(F.ceil(F.count(F.lit(1)) / page).alias("pages"))
-    paged = present.join(sizes, ["chat_id", "at"]).withColumn(
-        "page", F.pmod(F.xxhash64("user_id"), "pages")
-    ).groupBy("chat_id", "at", "page").agg(F.sort_array(F.collect_list("user_id")).alias("members"))
-    return positions.select("chat_id", "at").distinct().join(paged, ["chat_id", "at"], "left").select(
+    """The members of a chat as of each position as sorted id lists, cut after every ``page`` users: one row per
+    (``chat_id``, ``at``, ``page``). A position without members gets one empty list.
+
+    Lists are built once per change of the members that is asked for, not once per position.
+    """
+    asked = positions.select("chat_id", "at", "hot").distinct()
+    seen = cut_lineage(as_of(asked, member_changes(members), ["chat_id"], "at", "change", ["change"]), positions)
+    present = members_at(seen.where("change is not null").select("chat_id", F.col("change").alias("at")), members)
+    ranked = numbered(present, ["chat_id", "at"], [F.col("user_id")], "rank_")
+    lists = ranked.groupBy("chat_id", F.col("at").alias("change"), F.expr(f"(rank_ - 1) div {page}").alias("page")).agg(
+        F.sort_array(F.collect_list("user_id")).alias("members")
+    )
+    return seen.join(lists, ["chat_id", "change"], "left").select(
         "chat_id", "at", F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce("members", F.array().cast("array<bigint>")).alias("members"),
     )
@@ -87,9 +92,9 @@ def _refresh(rows: DataFrame, slot: int, unread: int = 0, message: int = 0, comm
     )
 
 
-def _with_members(rows: DataFrame, events: DataFrame) -> DataFrame:
+def _with_members(rows: DataFrame, events: DataFrame, page: int) -> DataFrame:
     members = cut_lineage(member_intervals(events), events)
-    return rows.join(member_pages(rows, members), ["chat_id", "at"])
+    return rows.join(member_pages(rows, members, page), ["chat_id", "at"])
 
 
 def create_chats(rows: DataFrame, events: DataFrame, base: int | DataFrame | None = None) -> DataFrame:
@@ -107,18 +112,18 @@ def create_chats(rows: DataFrame, events: DataFrame, base: int | DataFrame | Non
     )
 
 
-def edit_chats(rows: DataFrame, events: DataFrame) -> DataFrame:
+def edit_chats(rows: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """New title, new members if any are given, and a refresh for the members before the command."""
     adding = rows.where(F.coalesce(F.size("participant_ids"), F.lit(0)) > 0)
     return _emit(rows, 0, S.CHAT_EDITED, title=F.col("title")).unionByName(
         _emit(adding, 1, S.PARTICIPANTS_ADDED, participant_ids=F.col("participant_ids"))
-    ).unionByName(_refresh(_with_members(rows, events), 2, common=S.CHAT_COMMON_REFRESH, title=F.col("title")))
+    ).unionByName(_refresh(_with_members(rows, events, page), 2, common=S.CHAT_COMMON_REFRESH, title=F.col("title")))
 
 
-def delete_chats(rows: DataFrame, events: DataFrame) -> DataFrame:
+def delete_chats(rows: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The deletion and the removal of all members."""
     return _emit(rows, 0, S.CHAT_DELETED).unionByName(_emit(
-        _with_members(rows, events), 1, S.PARTICIPANT_DELETED, F.col("page"), participant_ids=F.col("members")
+        _with_members(rows, events, page), 1, S.PARTICIPANT_DELETED, F.col("page"), participant_ids=F.col("members")
     ))
 
 
@@ -136,30 +141,34 @@ def pin_chats(rows: DataFrame) -> DataFrame:
 
 
 def judge_posts(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Posts with their message id, one above the largest the chat ever had; a missing chat refuses them."""
+    """Posts with their message id: one above the largest the chat ever had in the log, and one more for each accepted
+    post of the batch since the log's last message. A missing chat refuses a post, which then takes no id."""
     known = as_of(rows, chat_states(events), ["chat_id"], "at", "log_seq", ["alive"])
+    known = cut_lineage(known.withColumn("reason", F.when(~F.coalesce("alive", F.lit(False)), F.lit(NO_CHAT))), events)
     created = events.where(F.col("name") == S.MESSAGE_CREATED).select(
         "chat_id", F.col("log_seq").alias("at"), "hot", F.col("message_id").alias("used"), F.lit(False).alias("asked")
     )
-    line = created.unionByName(
-        rows.select("chat_id", "at", "hot", F.lit(True).alias("asked")), allowMissingColumns=True
-    )
-    marks = running(line, ["chat_id"], ["at", "asked"], mark=highest(F.col("used"))).where("asked")
-    return known.drop("message_id").join(
-        marks.select("chat_id", "at", (F.coalesce("mark", F.lit(0)) + 1).alias("message_id")), ["chat_id", "at"]
-    ).withColumn("reason", F.when(~F.coalesce("alive", F.lit(False)), F.lit(NO_CHAT)))
+    line = created.unionByName(known.select(
+        "chat_id", "at", "hot", "cmd_seq", F.lit(True).alias("asked"), F.col("reason").isNull().cast("int").alias("one")
+    ), allowMissingColumns=True)
+    order = ["at", "asked", "cmd_seq"]
+    counted = running(line, ["chat_id"], order, mark=highest(F.col("used")), so_far=total(F.col("one")))
+    counted = running(counted, ["chat_id"], order, then=last(F.when(~F.col("asked"), F.coalesce("so_far", F.lit(0)))))
+    number = F.coalesce("mark", F.lit(0)) + F.col("so_far") - F.coalesce("then", F.lit(0))
+    ids = counted.where("asked").select("cmd_seq", number.cast("long").alias("message_id"))
+    return known.drop("message_id").join(ids, "cmd_seq").withColumn(
+        "message_id", F.when(F.col("reason").isNull(), F.col("message_id")))
 
 
 def judge_changes(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Edits and deletions of messages: allowed only to the owner of a message that exists; ``newest`` is
     the chat's newest message."""
     versions = message_versions(events).select(
-        "chat_id", F.col("id").alias("message_id"), F.col("owner_id").alias("true_owner"), "from_seq", "to_seq"
-    )
-    owned = rows.join(versions, ["chat_id", "message_id"]).where("from_seq <= at and at < to_seq").select(
-        "cmd_seq", "true_owner"
+        "chat_id", F.col("id").alias("message_id"), "hot", F.col("owner_id").alias("true_owner"), "from_seq", "to_seq"
     )
-    judged = rows.join(owned, "cmd_seq", "left").withColumn(
+    judged = as_of(rows, versions, ["chat_id", "message_id"], "at", "from_seq", ["true_owner", "to_seq"])
+    judged = judged.withColumn("true_owner", F.when(F.col("at") < F.col("to_seq"), F.col("true_owner"))).drop("to_seq")
+    judged = judged.withColumn(
         "reason", F.when(F.col("true_owner").isNull(), F.lit(NO_MESSAGE))
         .when(F.col("true_owner") != F.col("user_id"), F.lit(NOT_OWNER))
     )
@@ -167,32 +176,32 @@ def judge_changes(rows: DataFrame, events: DataFrame) -> DataFrame:
     return judged.join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"])
 
 
-def post_messages(judged: DataFrame, events: DataFrame) -> DataFrame:
+def post_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The message, and for all members a counter increase and a refreshed last message."""
     rows = judged.where("reason is null")
     return _emit(
         rows, 0, S.MESSAGE_CREATED, message_id=F.col("message_id"), owner_id=F.col("user_id"), content=F.col("content")
     ).unionByName(_refresh(
-        _with_members(rows, events), 1, unread=S.UNREAD_INCREASE, message=S.LAST_MESSAGE_REFRESH,
+        _with_members(rows, events, page), 1, unread=S.UNREAD_INCREASE, message=S.LAST_MESSAGE_REFRESH,
         increase_on=F.lit(1), owner_id=F.col("user_id"),
     ))
 
 
-def edit_messages(judged: DataFrame, events: DataFrame) -> DataFrame:
+def edit_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The new content, and a refreshed last message if it is the newest."""
     rows = judged.where("reason is null")
     return _emit(
         rows, 0, S.MESSAGE_EDITED, message_id=F.col("message_id"), content=F.col("content")
     ).unionByName(_refresh(
-        _with_members(rows.where("newest = message_id"), events), 1, message=S.LAST_MESSAGE_REFRESH
+        _with_members(rows.where("newest = message_id"), events, page), 1, message=S.LAST_MESSAGE_REFRESH
     ))
 
 
-def delete_messages(judged: DataFrame, events: DataFrame) -> DataFrame:
+def delete_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The deletion, and for all members a recount and a refreshed last message."""
     rows = judged.where("reason is null")
     return _emit(rows, 0, S.MESSAGE_DELETED, message_id=F.col("message_id")).unionByName(_refresh(
-        _with_members(rows, events), 1, unread=S.UNREAD_REFRESH, message=S.LAST_MESSAGE_REFRESH,
+        _with_members(rows, events, page), 1, unread=S.UNREAD_REFRESH, message=S.LAST_MESSAGE_REFRESH,
         owner_id=F.col("user_id"),
     ))
 
@@ -202,7 +211,7 @@ def admit_reads(rows: DataFrame, events: DataFrame) -> DataFrame:
     an existing marker forward or the marker is still 0, an error without a marker row or any message."""
     lives = cut_lineage(message_lives(events), events)
     marks = as_of(rows, marker_history(events, lives), ["user_id", "chat_id"], "at", "log_seq", ["value"])
-    keys = marks.select("cmd_seq", "chat_id", "at", F.coalesce("value", F.lit(0)).alias("id"))
+    keys = marks.select("cmd_seq", "chat_id", "at", "hot", F.coalesce("value", F.lit(0)).alias("id"))
     known = existing_at(keys, lives, "marker_exists").select("cmd_seq", "marker_exists")
     judged = marks.join(known, "cmd_seq").join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"])
     clamped = F.when(F.col("newest").isNotNull(), F.least("message_id", "newest"))
@@ -221,9 +230,9 @@ def read_messages(judged: DataFrame) -> DataFrame:
     )
 
 
-def expand_commands(commands: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+def expand_commands(commands: DataFrame, events: DataFrame, page: int = PAGE) -> tuple[DataFrame, DataFrame]:
     """Events of a command batch in order of (``cmd_seq``, ``slot``, ``page``), and the refused commands
-    with the reason. Ignored reads are in neither."""
+    with the reason. Ignored reads are in neither. An event lists ``page`` members at most."""
     typed, events = parse(commands, events)
     typed = cut_lineage(typed, events)
     good = typed.where("reason is null")
@@ -233,10 +242,10 @@ def expand_commands(commands: DataFrame, events: DataFrame) -> tuple[DataFrame,
     deleted = cut_lineage(judge_changes(of("message_delete"), events), events)
     read = cut_lineage(admit_reads(of("message_read"), events), events)
     parts = [
-        create_chats(of("chat_create"), events), edit_chats(of("chat_edit"), events),
-        delete_chats(of("chat_delete"), events), change_participants(of("participant_add", "participant_delete")),
-        pin_chats(of("chat_pin")), post_messages(posted, events), edit_messages(edited, events),
-        delete_messages(deleted, events), read_messages(read),
+        create_chats(of("chat_create"), events), edit_chats(of("chat_edit"), events, page),
+        delete_chats(of("chat_delete"), events, page), change_participants(of("participant_add", "participant_delete")),
+        pin_chats(of("chat_pin")), post_messages(posted, events, page), edit_messages(edited, events, page),
+        delete_messages(deleted, events, page), read_messages(read),
     ]
     out = parts[0]
     for part in parts[1:]:
@@ -247,10 +256,9 @@ def expand_commands(commands: DataFrame, events: DataFrame) -> tuple[DataFrame,
     return out, refused
 
 
-def number_events(expanded: DataFrame) -> DataFrame:
-    """Log positions for expanded commands, in their order, ready for ``append_log``. Commands leave gaps
-    (the position of a command is multiplied up), so pages and slots fit between them."""
-    room = 1 << 20
-    return expanded.withColumn(
-        "log_seq", F.col("cmd_seq") * room + F.col("slot") * (room // 4) + F.col("page")
-    ).drop("cmd_seq", "slot", "page")
+def number_events(expanded: DataFrame, events: DataFrame) -> DataFrame:
+    """Log positions for expanded commands, in their order, right behind the log's last one and without gaps, ready for
+    ``append_log``. Commands of the next batch must come after the positions given here."""
+    last_seq = events.agg(F.coalesce(F.max("log_seq"), F.lit(-1)).alias("last")).scalar()
+    placed = numbered(expanded, [], [F.col("cmd_seq"), F.col("slot"), F.col("page")], "place_")
+    return placed.withColumn("log_seq", last_seq + F.col("place_")).drop("cmd_seq", "slot", "page", "place_")

@@ -60,7 +60,7 @@ NO_MESSAGE = "owner increase in a chat without messages"
 
 def rejects(events: DataFrame) -> DataFrame:
     """Events that are not applied: unknown name, a broken value, no position, or a title over the limit."""
-    broken = F.col("broken") if "broken" in events.columns else F.lit(False)
+    broken = F.coalesce("broken", F.lit(False)) if "broken" in events.columns else F.lit(False)
     titled = F.col("name").isin(S.CHAT_CREATED, S.CHAT_EDITED) | (
         (F.col("name") == S.CHAT_VIEW_REFRESHED) & (F.col("chat_common_action") == S.CHAT_COMMON_REFRESH)
     )

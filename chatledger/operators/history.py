@@ -118,6 +118,12 @@ def member_intervals(events: DataFrame) -> DataFrame:
     return intervals(member_rows(events), ["user_id", "chat_id"])
 
 
+def member_changes(members: DataFrame) -> DataFrame:
+    """The positions at which a chat's members change (``chat_id``, ``hot``, ``change``)."""
+    edges = members.select("chat_id", "hot", F.explode(F.array("from_seq", "to_seq")).alias("change"))
+    return edges.where(F.col("change") < S.OPEN).distinct()
+
+
 def members_at(positions: DataFrame, members: DataFrame) -> DataFrame:
     """Members of a chat as of given positions (``chat_id``, ``at``): one row per position and user.
 
@@ -167,29 +173,37 @@ def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
 
 
 def existing_at(keys: DataFrame, lives: DataFrame, name: str = "exists") -> DataFrame:
-    """Does message (``chat_id``, ``id``) exist as of ``at``: adds a boolean. Lives of one message do not
-    overlap, so a key meets at most one; many keys may ask for the same message."""
-    k, s = keys.alias("k"), lives.select("chat_id", "id", "from_seq", "to_seq").alias("s")
-    same = (F.col("k.chat_id") == F.col("s.chat_id")) & (F.col("k.id") == F.col("s.id"))
-    within = (F.col("s.from_seq") <= F.col("k.at")) & (F.col("k.at") < F.col("s.to_seq"))
-    return k.join(s, same & within, "left").select("k.*", F.col("s.from_seq").isNotNull().alias(name))
+    """Does message (``chat_id``, ``id``) exist as of ``at``: adds a boolean. ``keys`` has ``hot``; keys and lives of
+    one message are walked together, so many keys may ask for a message with many lives."""
+    born = lives.select("chat_id", "id", "hot", F.col("from_seq").alias("from_"), F.col("to_seq").alias("to_"))
+    found = as_of(keys, born, ["chat_id", "id"], "at", "from_", ["to_"])
+    return found.select(*keys.columns, F.coalesce(F.col("at") < F.col("to_"), F.lit(False)).alias(name))
 
 
 def count_after(marks: DataFrame, lives: DataFrame) -> DataFrame:
     """How many messages with an id above ``marker`` exist as of ``at``: adds ``n`` to the distinct
-    (``chat_id``, ``at``, ``marker``, ``hot``). Ids and markers are non-negative.
+    (``chat_id``, ``at``, ``marker``, ``hot``). Ids and markers may be negative; the largest less the smallest of them
+    must fit 63 bits.
 
-    "Above" is met by equality on the bits of the id, and "exists as of" is a running sum of +1 at the
+    Only messages above the chat's smallest marker that live at some time it is asked for are looked at. "Above" is met by equality on the bits of the id, and "exists as of" is a running sum of +1 at the
     start and -1 at the end of each life; no marker is ever paired with the messages it counts.
     """
     marks = marks.select("chat_id", "at", "marker", "hot").distinct()
+    limits = marks.groupBy("chat_id").agg(
+        F.min("marker").alias("low_"), F.min("at").alias("first_"), F.max("at").alias("last_")
+    )
+    lives = lives.join(limits, "chat_id").where("id > low_ and from_seq <= last_ and to_seq > first_")
+    # Bits are those of the distance from the smallest number, 0 unless some are negative.
+    base = marks.agg(F.least(F.min("marker"), F.lit(0)).alias("base")).scalar()
+    lives = lives.withColumn("id", F.col("id") - base)
     births = lives.select("chat_id", F.col("from_seq").alias("at"), "hot", "id", F.lit(1).alias("step"))
     deaths = lives.where(F.col("to_seq") < S.OPEN).select(
         "chat_id", F.col("to_seq").alias("at"), "hot", "id", F.lit(-1).alias("step")
     )
     steps = births.unionByName(deaths).withColumn("b", F.explode(ones("id"))).drop("id")
     top = lives.agg((F.length(F.bin(F.max("id"))) - 1).alias("top")).scalar()
-    asked = marks.withColumn("top_", top).withColumn("b", F.explode(zeros("marker", "top_"))).drop("top_")
+    asked = marks.withColumn("top_", top).withColumn("place_", F.col("marker") - base).withColumn(
+        "b", F.explode(zeros("place_", "top_"))).drop("top_", "place_")
     line = steps.withColumn("asked", F.lit(False)).unionByName(
         asked.withColumn("asked", F.lit(True)).withColumn("step", F.lit(0)), allowMissingColumns=True
     ).select("chat_id", "at", "hot", "step", "marker", "asked", "b.level", "b.node")

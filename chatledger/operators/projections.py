@@ -14,6 +14,7 @@ from chatledger.operators.history import (
     member_rows, message_lives, message_versions, newest_at, users_of, valid_adds,
 )
 from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.ordered import as_of
 
 
 def _at(name: str, *more: str) -> Column:
@@ -107,14 +108,13 @@ def preview_texts(marks: DataFrame, events: DataFrame, lives: DataFrame | None =
     """The last message of a chat as a refresh at position ``previewed`` saw it: one row per refresh."""
     lives = cut_lineage(message_lives(events), events) if lives is None else lives
     refreshed = newest_at(marks.select("chat_id", F.col("previewed").alias("at"), "hot"), lives)
-    versions = message_versions(events).select("chat_id", "id", "owner_id", "content", "from_seq", "to_seq")
-    return (
-        refreshed.where("newest is not null").withColumnRenamed("newest", "id").join(versions, ["chat_id", "id"])
-        .where("from_seq <= at and at < to_seq")
-        .select(
-            "chat_id", F.col("at").alias("previewed"), F.col("id").alias("last_message_id"),
-            F.col("content").alias("last_message_content"), F.col("owner_id").alias("last_message_owner_id"),
-        )
+    found = as_of(
+        refreshed.where("newest is not null").withColumnRenamed("newest", "id"), message_versions(events),
+        ["chat_id", "id"], "at", "from_seq", ["content", "owner_id", "to_seq"],
+    )
+    return found.where("at < to_seq").select(
+        "chat_id", F.col("at").alias("previewed"), F.col("id").alias("last_message_id"),
+        F.col("content").alias("last_message_content"), F.col("owner_id").alias("last_message_owner_id"),
     )
 
 

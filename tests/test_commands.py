@@ -97,15 +97,60 @@ def test_expansion(spark, skew):
 
 
 def test_long_member_lists_come_in_pages(spark):
-    rows = [event(0, 1, S.CHAT_CREATED, title="t"), event(1, 1, S.PARTICIPANTS_ADDED, participant_ids=list(range(500)))]
-    positions = spark.createDataFrame([(1, 5, False), (2, 5, False)], "chat_id bigint, at bigint, hot boolean")
+    rows = [event(0, 1, S.CHAT_CREATED, title="t"), event(1, 1, S.PARTICIPANTS_ADDED, participant_ids=list(range(500))),
+            event(7, 1, S.PARTICIPANT_DELETED, participant_ids=[3])]
+    positions = spark.createDataFrame(
+        [(1, 5, False), (1, 6, False), (1, 9, False), (2, 5, False)], "chat_id bigint, at bigint, hot boolean")
     pages = C.member_pages(positions, member_intervals(flag_hot(frame(spark, rows))), page=50).collect()
-    full = [p for p in pages if p.chat_id == 1]
-    assert sorted(u for p in full for u in p.members) == list(range(500))
-    assert len(full) > 5 and max(len(p.members) for p in full) < 100
+    for at, members in ((5, range(500)), (6, range(500)), (9, [u for u in range(500) if u != 3])):
+        own = sorted((p.page, p.members) for p in pages if p.chat_id == 1 and p.at == at)
+        assert [p for p, _ in own] == list(range(10)) and [u for _, m in own for u in m] == list(members)
     assert [(p.page, p.members) for p in pages if p.chat_id == 2] == [(0, [])]
 
 
+def test_pages_do_not_change_the_replay(spark):
+    """Three members to an event, or all of them: the same tables after every kind of command that lists members."""
+    base = log()[:5] + [event(5, 1, S.PARTICIPANTS_ADDED, participant_ids=[3, 4, 5, 6, 7])]
+    batch = spark.createDataFrame([
+        command(100, "message_create", content="new"), command(101, "chat_edit", title="e", participant_ids=[]),
+        command(102, "message_edit", user="2", message="2", content="d"), command(103, "message_delete", message="1"),
+        command(104, "chat_delete"),
+    ], COMMAND)
+    states = []
+    for page in (3, 1000):
+        events = flag_hot(frame(spark, base))
+        expanded, _ = C.expand_commands(batch, events, page)
+        numbered = C.number_events(expanded, events).orderBy("log_seq").collect()
+        state = replay(base + [dict(r.asDict(), partition=1, offset=0) for r in numbered])
+        states.append((len(numbered), vars(state)))
+    assert states[0][0] > states[1][0]
+    a, b = ({k: v for k, v in s.items() if k != "marker_log"} for _, s in states)
+    assert a == b
+
+
+def test_posts_of_one_batch_get_ids_of_their_own(spark, skew):
+    batch = spark.createDataFrame(
+        [command(s, "message_create", chat=c, content=f"m{s}") for s, c in ((5, "1"), (6, "1"), (7, "9"), (8, "1"), (30, "1"))],
+        COMMAND)
+    rows = log()[:5] + [event(10, 1, S.MESSAGE_CREATED, message_id=40, owner_id=1, content="z")]
+    events, refused = C.expand_commands(batch, flag_hot(frame(spark, rows)))
+    made = {r.cmd_seq: r.message_id for r in events.where("slot = 0").collect()}
+    assert made == {5: 3, 6: 4, 8: 5, 30: 41} and [r.cmd_seq for r in refused.collect()] == [7]
+
+
+def test_many_steps_are_numbered_densely(spark):
+    rows = log()[:5]
+    for step in range(10):
+        events = flag_hot(frame(spark, rows))
+        batch = spark.createDataFrame([command(1000 + step, "chat_pin", pin_text="true"),
+                                       command(1001 + step, "participant_add", participant_ids=[step])], COMMAND)
+        parts = C.pin_chats(C.parse(batch.where("kind = 'chat_pin'"), events)[0]).unionByName(
+            C.change_participants(C.parse(batch.where("kind <> 'chat_pin'"), events)[0]))
+        made = C.number_events(parts, events).orderBy("log_seq").collect()
+        rows += [dict(r.asDict(), partition=1, offset=0) for r in made]
+    assert [r["log_seq"] for r in rows] == list(range(25))
+
+
 def test_reads_are_admitted_as_the_rules_say(spark, skew):
     """Every user tries to read every message at many positions of random logs."""
     rows = random_log(5, chats=4, length=70)
@@ -137,7 +182,7 @@ def test_expanded_commands_replay_to_the_expected_state(spark):
     batch = spark.createDataFrame([command(100, "message_create", "1", "1", content="new")], COMMAND)
     base = log()[:5]
     events, _ = C.expand_commands(batch, flag_hot(frame(spark, base)))
-    numbered = C.number_events(events).orderBy("log_seq").collect()
+    numbered = C.number_events(events, frame(spark, base)).orderBy("log_seq").collect()
     rows = base + [dict(r.asDict(), partition=1, offset=0) for r in numbered]
     state = replay(rows)
     assert state.messages[1, 3][:2] == (1, "new") and state.unread[1, 1] == (0, 3) and state.unread[2, 1] == (1, 1)
