@@ -182,8 +182,7 @@ def repeated_spans(documents: DataFrame, kind: Kind, search: Search, *, per_shar
     crowded = cut_lineage(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor"))
     bodies = _fetch(keyed, wanted, kind)
     some_crowded = not crowded.isEmpty()
-    if some_crowded:
-        bodies = cut_lineage(bodies)
+    # Both ways read the same shuffled texts.
     calm = bodies.join(crowded, "anchor", "left_anti") if some_crowded else bodies
 
     def decide(shard: pa.Table) -> pa.Table:

@@ -35,62 +35,61 @@ def borders(running: np.ndarray) -> np.ndarray:
     return np.flatnonzero(runs == high)
 
 
+def ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each value's place among the distinct ones, and an order of the values."""
+    order = np.argsort(values)
+    rank = np.empty(len(values), np.int64)
+    ordered = values[order]
+    rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+    return rank, order
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """The suffix array of a part, by doubling. Every end mark must be a symbol of its own."""
-    rank, step = symbols, 1
+    rank, step = ranks(symbols)[0], 1
     while True:
         after = np.full(len(rank), -1, np.int64)
         after[:-step] = rank[step:]
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
-        fresh = np.concatenate([[0], np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))])
-        rank = np.empty_like(fresh)
-        rank[order] = fresh
-        if fresh[-1] == len(fresh) - 1 or step * 2 >= len(symbols):
+        rank, order = ranks(rank * (len(symbols) + 1) + after + 1)
+        if rank[order[-1]] == len(order) - 1 or step * 2 >= len(symbols):
             return order
         step *= 2
 
 
-def merge(parts: list[tuple[np.ndarray, np.ndarray]], ends: int, reach: np.ndarray, least: int) -> np.ndarray:
-    """Merge the transforms of parts and return which suffixes share their first ``least`` bytes with another.
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """The stable order of non-negative numbers, by 16 bits at a time."""
+    order = np.argsort((values & 0xFFFF).astype(np.uint16), kind="stable")
+    if len(values) and values.max() > 0xFFFF:
+        order = order[np.argsort((values[order] >> 16).astype(np.uint32 if values.max() >> 32 else np.uint16), kind="stable")]
+    return order
+
+
+def merge(orders: list[np.ndarray], symbols: np.ndarray, ends: int, reach: np.ndarray, least: int) -> np.ndarray:
+    """Merge the parts' transforms and return which suffixes share their first ``least`` bytes with another.
 
-    A part is its suffix array (places in the shard) and its transform (the symbol before each suffix). Symbols under
-    ``ends`` are end marks, each of its own. ``reach`` has the bytes from each place to where its next chunks begin:
-    ``reach[place, h]`` after h chunks is ``starts[place + h] - starts[place]``, given as the starts themselves.
+    A part is its suffix array (places in the shard); its transform is the symbol before each of them. The interleave
+    starts as one part after the other. Each round moves every entry to the suffix that is one symbol longer, in the
+    order of that symbol and else of the interleave, so after round h the entries are in order of h symbols, and where
+    neighbours part, h - 1 is their common prefix. An entry that is alone stays alone however it is extended, so only
+    unsettled entries are carried on. Symbols under ``ends`` are end marks, equal to nothing. ``reach`` has the byte at
+    which each place starts.
     """
-    sizes = [len(order) for order, _ in parts]
-    part = np.repeat(np.arange(len(parts)), sizes)
-    group = np.zeros(len(part), np.int64)
+    place = np.concatenate(orders)
+    group = np.zeros(len(place), np.int64)
     flagged = np.zeros(len(reach), bool)
-    heads = np.cumsum([0, *sizes])
-    orders = np.concatenate([order for order, _ in parts])
-    transforms = np.concatenate([t for _, t in parts])
     for depth in range(1, least + 1):
-        # The k-th entry of a part in the interleave is the part's k-th suffix.
-        within = np.empty(len(part), np.int64)
-        for p in range(len(parts)):
-            own = part == p
-            within[own] = np.arange(heads[p], heads[p + 1])
-        symbol = transforms[within]
-        order = np.argsort(symbol, kind="stable")
-        # Suffixes that start with an end mark keep the order of the parts.
-        marks = int(np.searchsorted(symbol[order], ends))
-        order[:marks] = order[:marks][np.argsort(part[order[:marks]], kind="stable")]
-        moved, was = symbol[order], group[order]
+        place = place - 1
+        symbol = symbols[place]
+        order = np.flatnonzero(symbol >= ends)
+        order = order[stable_order(symbol[order])]
+        symbol, was, place = symbol[order], group[order], place[order]
         fresh = np.ones(len(order), bool)
-        fresh[1:] = (moved[1:] != moved[:-1]) | (was[1:] != was[:-1]) | (moved[1:] < ends)
-        part, group = part[order], np.cumsum(fresh)
-        # Entries that are not alone: their first ``depth`` symbols are shared.
+        fresh[1:] = (symbol[1:] != symbol[:-1]) | (was[1:] != was[:-1])
         alone = fresh.copy()
         alone[:-1] &= fresh[1:]
-        together = np.flatnonzero(~alone)
-        if not len(together):
+        group, place = np.cumsum(fresh)[~alone], place[~alone]
+        if not len(place):
             break
-        within = np.empty(len(part), np.int64)
-        for p in range(len(parts)):
-            own = part == p
-            within[own] = np.arange(heads[p], heads[p + 1])
-        place = orders[within[together]]
         enough = reach[np.minimum(place + depth, len(reach) - 1)] - reach[place] >= least
         flagged[place[enough]] = True
         if enough.all():
@@ -104,10 +103,12 @@ def search(bodies: list[bytes], weights: np.ndarray, length: int) -> list[list[t
     sizes = np.array([len(b) for b in bodies])
     tops = np.concatenate([[0], np.cumsum(sizes)])
     running = sums(byte_codes(flat))
-    cuts = np.union1d(borders(running), tops[:-1])
+    starts = np.zeros(len(flat), bool)
+    starts[borders(running)] = starts[tops[:-1]] = True
+    cuts = np.flatnonzero(starts)
     owner = np.searchsorted(tops, cuts, "right") - 1
     chunk_ends = np.minimum(np.concatenate([cuts[1:], tops[-1:]]), tops[owner + 1])
-    _, rank = np.unique(run_hash(running, cuts, chunk_ends), return_inverse=True)
+    rank, _ = ranks(run_hash(running, cuts, chunk_ends))
     # A place for every chunk and, after the last of each segment, one for its end mark.
     count = np.bincount(owner, minlength=len(bodies))
     place = np.arange(len(cuts)) + owner
@@ -120,11 +121,8 @@ def search(bodies: list[bytes], weights: np.ndarray, length: int) -> list[list[t
     least = max(1, length - BEFORE - AFTER - 2 * WIDTH)
     # Parts are runs of whole segments.
     bounds = np.unique(np.concatenate([[0], mark[np.linspace(0, len(bodies) - 1, PARTS + 1).astype(int)[1:]] + 1]))
-    parts = []
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        order = suffix_order(symbols[lo:hi]) + lo
-        parts.append((order, symbols[np.where(order > lo, order - 1, hi - 1)]))
-    flagged = merge(parts, len(bodies), reach, least)
+    orders = [suffix_order(symbols[lo:hi]) + lo for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    flagged = merge(orders, symbols, len(bodies), reach, least)
     heavy = weights > 1
     # Windows that could hold a flagged interval, and all windows of segments that occur twice.
     windows = np.zeros(len(flat) + 1, np.int64)
@@ -136,7 +134,7 @@ def search(bodies: list[bytes], weights: np.ndarray, length: int) -> list[list[t
     inside = np.arange(len(flat)) + length <= np.repeat(tops[1:], sizes)
     s = np.flatnonzero((tried | whole) & inside)
     hashes = run_hash(running, s, s + length)
-    _, which = np.unique(hashes, return_inverse=True)
+    which, _ = ranks(hashes) if len(s) else (s, s)
     of = np.searchsorted(tops, s, "right") - 1
     hit = s[np.bincount(which, weights[of])[which] > 1]
     out: list[list[tuple[int, int]]] = [[] for _ in bodies]
