@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chatledger.llm.common import flat_text, slices
 from chatledger.llm.hashing import find_words, lower, word_codes
-from chatledger.llm.tokens import Encoder
+from chatledger.llm.tokens import encoder
 
 WINDOW, END = 2048, 1
 #: Words are hashed into so many terms, which bounds the table of document frequencies.
@@ -133,7 +133,7 @@ def pack(documents: DataFrame, *, window: int = WINDOW, per_shard: int = PER_SHA
 
     def fill(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        encode, text = Encoder(), shard.column("text").combine_chunks()
+        encode, text = encoder(), shard.column("text").combine_chunks()
         ids = [np.append(encode(t.as_py() or ""), np.uint16(END)) for t in text]
         sizes = np.array([len(x) for x in ids])
         index = Index(text, docs, mean, frequency)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 import tiktoken
 
-#: Pieces remembered per worker; a full memory is emptied.
+#: Pieces remembered per worker: the first that come, among them all frequent words.
 MOST_PIECES = 400_000
 
 
@@ -34,31 +35,28 @@ class Encoder:
 
     def __call__(self, text: str) -> np.ndarray:
         """The ids as unsigned 16-bit numbers: the vocabulary has 50,257 entries."""
-        pieces = text.split(" ")
-        known = self._known
-        try:
-            return np.frombuffer(b"".join([self._first(pieces[0]), *[known[p] for p in pieces[1:]]]), np.uint16)
-        except KeyError:
-            pass
-        for piece in pieces[1:]:
-            if piece not in known:
-                if not piece or piece[0].isspace() or piece[-1].isspace():
-                    return self._whole(text)
-                if len(known) >= MOST_PIECES:
-                    known.clear()
-                    return self._whole(text)
-                known[piece] = self._bytes(" " + piece)
-        if pieces[0][-1:].isspace() or (not pieces[0] and len(pieces) > 1):
+        first, *pieces = text.split(" ")
+        if first[-1:].isspace():
             return self._whole(text)
-        return np.frombuffer(b"".join([self._first(pieces[0]), *[known[p] for p in pieces[1:]]]), np.uint16)
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._encode(text), np.uint16).tobytes()
-
-    def _first(self, piece: str) -> bytes:
-        if piece[-1:].isspace():
-            raise KeyError(piece)
-        return self._bytes(piece)
+        known = self._known
+        parts = list(map(known.get, pieces))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    piece = pieces[i]
+                    if not piece or piece[0].isspace() or piece[-1].isspace():
+                        return self._whole(text)
+                    parts[i] = part = array("H", self._encode(" " + piece)).tobytes()
+                    if len(known) < MOST_PIECES:
+                        known[piece] = part
+        head = array("H", self._encode(first)).tobytes() if first else b""
+        return np.frombuffer(head + b"".join(parts), np.uint16)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self._encode(text), np.uint16)
+
+
+@cache
+def encoder() -> Encoder:
+    """One encoder per worker process, so that what it remembers serves all its tasks."""
+    return Encoder()
