@@ -270,6 +270,15 @@ def _sql(ctes: str, select: str) -> str:
     return "WITH RECURSIVE " + ctes.strip() + "\n" + select.strip()
 
 
+def _payload(content: str, owner: str, refreshed_owner: str, unread: int, message: int, increase: int) -> str:
+    """What the event of slot 0 and the refresh of slot 1 carry."""
+    at = lambda value, kind: f"CAST(CASE WHEN slot = 1 THEN {value} END AS {kind})"
+    return f"""CAST(CASE WHEN slot = 0 THEN {content} END AS VARCHAR) AS content,
+                   CAST(CASE slot WHEN 0 THEN {owner} ELSE {refreshed_owner} END AS BIGINT) AS owner_id,
+                   {at(unread, "SMALLINT")} AS unread_action, {at(message, "SMALLINT")} AS last_message_action,
+                   {at(0, "SMALLINT")} AS chat_common_action, {at(increase, "BIGINT")} AS increase_on, ts AS created_at"""
+
+
 def _changes(act: str) -> str:
     """Edits and deletions of messages with the verdict of the owner rule."""
     return f""",
@@ -287,7 +296,8 @@ _FIELDS_TEXT = ", ".join(_TEXT_IDS + " AS participant_ids" if f == "participant_
 
 _VERDICT = """
 SELECT j.cmd_seq, CASE WHEN j.reason IS NULL THEN 'accept' ELSE 'reject' END AS decision, j.reason,
-       e.slot, e.name, e.message_id, e.users
+       e.slot, e.name, e.message_id, e.users, e.content, e.owner_id, e.unread_action, e.last_message_action,
+       e.chat_common_action, e.increase_on, e.created_at
 FROM {judged} j LEFT JOIN ({events}) e ON e.cmd_seq = j.cmd_seq AND j.reason IS NULL
 """
 
@@ -323,7 +333,7 @@ spoiled AS (
 def oracle_sql() -> dict[str, str]:
     """SQL per registered query."""
     log = _LOG
-    return {
+    out = {
         "log_scan": _sql(log, _SCAN),
         "log_import": _sql(log, _SCAN),
         "log_bounded_scan": _sql(log, """
@@ -466,7 +476,12 @@ def oracle_sql() -> dict[str, str]:
         "cmd_chat_edit": _sql(log + _MEMBER_LIFE + _COMMANDS, f"""
             SELECT cmd_seq, slot, name, chat_id,
               CASE slot WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 2 THEN {_USERS_BEFORE} END AS users,
-              CASE WHEN slot <> 1 THEN 't' || event_id END AS title
+              CASE WHEN slot <> 1 THEN 't' || event_id END AS title,
+              CAST(CASE WHEN slot = 2 THEN 0 END AS BIGINT) AS owner_id,
+              CAST(CASE WHEN slot = 2 THEN 0 END AS SMALLINT) AS unread_action,
+              CAST(CASE WHEN slot = 2 THEN 0 END AS SMALLINT) AS last_message_action,
+              CAST(CASE WHEN slot = 2 THEN 1 END AS SMALLINT) AS chat_common_action,
+              CAST(CASE WHEN slot = 2 THEN 0 END AS BIGINT) AS increase_on, ts AS created_at
             FROM cmds c, (VALUES (0, 'chatEdited'), (1, 'participantsAdded'), (2, 'chatViewRefreshed')) v(slot, name)
             WHERE act = 'edit' AND (slot <> 1 OR k % 2 = 0)"""),
         "cmd_chat_delete": _sql(log + _MEMBER_LIFE + _COMMANDS, f"""
@@ -487,21 +502,31 @@ def oracle_sql() -> dict[str, str]:
                                       AND c.cmd_seq <= x.to_seq) THEN 'no such chat' END AS reason
               FROM cmds c WHERE act = 'msg')""", _VERDICT.format(judged="posted", events="""
             SELECT cmd_seq, slot, name, CASE WHEN slot = 0 THEN new_id END AS message_id,
-                   CASE WHEN slot = 1 THEN users END AS users
+                   CASE WHEN slot = 1 THEN users END AS users,
+            """ + _payload("'m' || event_id", "user_id", "user_id", 2, 1, 1) + """
             FROM posted, (VALUES (0, 'messageCreated'), (1, 'chatViewRefreshed')) v(slot, name)""")),
         "cmd_message_edit": _sql(
             log + _MEMBER_LIFE + _MESSAGE_LIFE + _VERSIONS + _COMMANDS + _changes("medit"),
             _VERDICT.format(judged="changes", events="""
             SELECT cmd_seq, slot, name, CASE WHEN slot = 0 THEN message_id END AS message_id,
-                   CASE WHEN slot = 1 THEN users END AS users
+                   CASE WHEN slot = 1 THEN users END AS users,
+            """ + _payload("'e' || event_id", "NULL", "0", 0, 1, 0) + """
             FROM changes, (VALUES (0, 'messageEdited'), (1, 'chatViewRefreshed')) v(slot, name)
             WHERE slot = 0 OR newest = message_id""")),
         "cmd_message_delete": _sql(
             log + _MEMBER_LIFE + _MESSAGE_LIFE + _VERSIONS + _COMMANDS + _changes("mdel"),
             _VERDICT.format(judged="changes", events="""
             SELECT cmd_seq, slot, name, CASE WHEN slot = 0 THEN message_id END AS message_id,
-                   CASE WHEN slot = 1 THEN users END AS users
+                   CASE WHEN slot = 1 THEN users END AS users,
+            """ + _payload("NULL", "NULL", "user_id", 1, 1, 0) + """
             FROM changes, (VALUES (0, 'messageDeleted'), (1, 'chatViewRefreshed')) v(slot, name)""")),
+        "cmd_rejects": _sql(log + _COMMANDS, """
+            SELECT cmd_seq, CASE act WHEN 'msg' THEN 'message_create' WHEN 'medit' THEN 'message_edit'
+                WHEN 'mdel' THEN 'message_delete' WHEN 'read' THEN 'message_read' WHEN 'pin' THEN 'chat_pin'
+                WHEN 'add' THEN 'participant_add' WHEN 'leave' THEN 'participant_delete' WHEN 'edit' THEN 'chat_edit'
+                WHEN 'create' THEN 'chat_create' ELSE 'chat_delete' END AS kind, 'id is not a number' AS reason
+            FROM cmds WHERE cmd_seq % 20 = 0 OR (cmd_seq % 20 = 4 AND act <> 'create')
+              OR (cmd_seq % 20 = 8 AND act IN ('medit', 'mdel', 'read'))"""),
         "read_admission": _sql(log + _UNREAD + _COMMANDS + f""",
             judged AS (
               SELECT c.cmd_seq, c.user_id, c.chat_id, c.message_id AS given, {_NEWEST_BEFORE} AS newest,
@@ -541,3 +566,5 @@ def oracle_sql() -> dict[str, str]:
         "replay_full": _sql(log + _VIEW + _STEPS + _CHATS.replace(_CHAT_LIFE, "") + _MESSAGES.replace(_MESSAGE_LIFE, ""),
                             _SUMMARY),
     }
+    hot = ("unread_view", "chat_user_view", "cmd_message_delete")
+    return out | {f"{name}_hot": out[name] for name in hot}

@@ -1,6 +1,7 @@
 """Finding chats that hold too many rows for one task.
 
-A chat is *hot* when it holds at least ``max(hotRows, total / MAX_HOT)`` rows. By counting, no more than
+Rows are weighed by the work they make: an event counts once and once more for every user it lists, since most
+operators fan it out to them. A chat is *hot* when it weighs at least ``max(hotRows, total / MAX_HOT)``. By counting, no more than
 ``MAX_HOT`` chats can be hot, so the list of hot chats has a fixed size bound and may be broadcast.
 """
 
@@ -26,7 +27,8 @@ def span_width(spark: SparkSession) -> int:
 
 def hot_chats(rows: DataFrame) -> DataFrame:
     """Chats over the threshold (at most ``MAX_HOT``); rows are pre-aggregated before the shuffle."""
-    counts = rows.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.greatest(F.coalesce(F.size("participant_ids"), F.lit(0)), F.lit(0)) if "participant_ids" in rows.columns else F.lit(0)
+    counts = rows.groupBy("chat_id").agg(F.sum(1 + listed).alias("n"))
     share = counts.agg((F.sum("n") / MAX_HOT).alias("share")).scalar()
     floor = F.lit(hot_rows(rows.sparkSession))
     return counts.where(F.col("n") >= F.greatest(floor, share)).select("chat_id")

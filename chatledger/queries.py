@@ -20,7 +20,7 @@ from chatledger.operators import reads as R
 from chatledger.operators import unread as U
 from chatledger.plans.materialize import cut_lineage, scratch_path
 from chatledger.plans.ordered import numbered
-from chatledger.plans.skew import inherit_hot
+from chatledger.plans.skew import hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
 from chatledger.sources.tables import store_records
@@ -38,12 +38,12 @@ class Store:
     acts: DataFrame
 
 
-_stores: dict[tuple[str, str], Store] = {}
+_stores: dict[tuple, Store] = {}
 
 
 def store(spark: SparkSession, sf_dir: str) -> Store:
     """Derive and store the log once per application and input; all queries read the stored tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, hot_rows(spark), span_width(spark))
     if key not in _stores:
         path = scratch_path(spark, "log")
         chat_log(spark, sf_dir).write.parquet(path)
@@ -382,6 +382,9 @@ def _typed(spark: SparkSession, sf_dir: str, *kinds: str) -> tuple[DataFrame, Da
     return cut_lineage(typed, events).where("reason is null"), events
 
 
+ACTIONS = ("owner_id", "unread_action", "last_message_action", "chat_common_action", "increase_on", "created_at")
+
+
 def _shown(expanded: DataFrame, *columns: str) -> DataFrame:
     return expanded.withColumn("users", joined_ids(F.col("participant_ids"))).select(
         "cmd_seq", "slot", "name", "chat_id", *columns
@@ -393,7 +396,7 @@ def cmd_chat_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cmd_chat_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(C.edit_chats(*_typed(spark, sf_dir, "chat_edit")), "users", "title")
+    return _shown(C.edit_chats(*_typed(spark, sf_dir, "chat_edit")), "users", "title", *ACTIONS)
 
 
 def cmd_chat_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +417,7 @@ def _judged(judged: DataFrame, expanded: DataFrame) -> DataFrame:
     verdicts = judged.select(
         "cmd_seq", F.when(F.col("reason").isNull(), C.ACCEPT).otherwise("reject").alias("decision"), "reason"
     )
-    events = _shown(expanded, "message_id", "users").drop("chat_id")
+    events = _shown(expanded, "message_id", "users", "content", *ACTIONS).drop("chat_id")
     return verdicts.join(events, "cmd_seq", "left")
 
 
@@ -436,6 +439,19 @@ def cmd_message_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(judged, C.delete_messages(judged, events))
 
 
+def cmd_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Refused commands of a batch in which every fifth command names a user, chat or message by something else than a
+    number."""
+    s, n = store(spark, sf_dir), F.col("cmd_seq") % 20
+    spoiled = commands(s.acts).withColumns({
+        "user_text": F.when(n == 0, F.concat("user_text", F.lit("x"))).otherwise(F.col("user_text")),
+        "chat_text": F.when(n == 4, F.concat(F.lit(" "), "chat_text")).otherwise(F.col("chat_text")),
+        "message_text": F.when(n == 8, F.concat("message_text", F.lit(".0"))).otherwise(F.col("message_text")),
+    })
+    typed, _ = C.parse(spoiled, s.events)
+    return typed.where("reason is not null").select("cmd_seq", "kind", "reason")
+
+
 def read_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = C.admit_reads(*_typed(spark, sf_dir, "message_read"))
     return judged.select("cmd_seq", "user_id", "chat_id", F.col("message_id").alias("given"), "clamped", "decision")
@@ -509,6 +525,23 @@ def replay_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+
+def _forced_hot(query: Query) -> Query:
+    """The same query over a log stored with every larger chat split into short spans."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forced = {"spark.chatledger.hotRows": "40", "spark.chatledger.spanWidth": "3000"}
+        before = {k: spark.conf.get(k, None) for k in forced}
+        try:
+            for k, v in forced.items():
+                spark.conf.set(k, v)
+            return query(spark, sf_dir)
+        finally:
+            for k, v in before.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+    return run
+
+
 REGISTERED: dict[str, Query] = {f.__name__: f for f in (
     log_scan, log_bounded_scan, log_append, log_export, log_import, import_validation, import_rejects, import_append,
     roundtrip_diff, decode_damaged, unread_after_redelivery,
@@ -519,7 +552,9 @@ REGISTERED: dict[str, Query] = {f.__name__: f for f in (
     chats_for_user, chat_list_all, messages_of_chat, participants_of_chat, participants_all, chat_title_for_user,
     message_owner, read_state, last_message_id, chat_ids,
     cmd_chat_create, cmd_chat_edit, cmd_chat_delete, cmd_participants, cmd_chat_pin,
-    cmd_message_create, cmd_message_edit, cmd_message_delete, read_admission, participants_asof,
+    cmd_message_create, cmd_message_edit, cmd_message_delete, cmd_rejects, read_admission, participants_asof,
     assign_chat_ids, assign_message_ids, chat_id_high_water, message_id_high_water,
     consumer_lag, is_caught_up, replay_incremental,
-)} | {"replay_full": replay_full_tables}
+)} | {"replay_full": replay_full_tables} | {
+    f"{q.__name__}_hot": _forced_hot(q) for q in (unread_view, chat_user_view, cmd_message_delete)
+}

@@ -10,6 +10,10 @@ from chatledger.plans.materialize import scratch_path
 from chatledger.plans.skew import find_hot, mark_hot
 
 
+# Events to a bucket, at most, if no chat is hot.
+ROWS_PER_BUCKET = 1 << 22
+
+
 def store_records(records: DataFrame, partitions: int | None = None, path: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A log's records as the stored events and the dead letters: redelivered records counted once, broken values out."""
     known, dead = read_events(records, partitions)
@@ -32,7 +36,9 @@ def store_events(events: DataFrame, path: str | None = None, *, buckets: int | N
         spread = mark_hot(rows, hot).repartitionByRange("chat_id", "log_seq")
         spread.sortWithinPartitions("chat_id", "log_seq").write.parquet(path)
         return spark.read.parquet(path)
-    count = buckets or int(spark.conf.get("spark.chatledger.buckets", str(spark.sparkContext.defaultParallelism)))
+    # One task reads and sorts a bucket, so their number follows the rows.
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_BUCKET))
+    count = buckets or int(spark.conf.get("spark.chatledger.buckets", str(wanted)))
     table = f"events_{uuid.uuid4().hex}"
     (
         rows.repartition(count, "chat_id").write.bucketBy(count, "chat_id").sortBy("chat_id", "log_seq")
