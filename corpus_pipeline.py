@@ -15,15 +15,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Of repeated rows that one
-    row stays, too; rows without doc_id stay unless they repeat the text of a row that has one."""
-    found = near.near_duplicates(docs, size=3, percent=85)
-    kept = found.where("kept").select(F.col("doc_id").alias("kept_")).distinct()
-    kept = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in docs.columns]))
-    named = kept.where("doc_id is not null")
-    return named.withColumn("r_", F.row_number().over(first)).where("r_ = 1").select(*docs.columns).unionByName(
-        kept.where("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest doc_id. Of several rows with that doc_id
+    one stays. Rows without doc_id stay: no decision names them."""
+    kept = near.near_duplicates(docs, size=3, percent=85).where("kept and doc_id is not null").select("doc_id").distinct()
+    # The texts are shuffled once, by doc_id, for the join and for the order within a doc_id.
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    named = docs.join(kept, "doc_id").withColumn("r_", F.row_number().over(first)).where("r_ = 1")
+    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
