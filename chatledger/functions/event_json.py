@@ -88,17 +88,24 @@ def is_event(value: str, name: str, parsed: str) -> Column:
         right[field] = (kind(field) == "VOID") | (kind(field) == "BIGINT") & small(field)
     for field in ("chatId", "participantId", "id", "messageId", "ownerId", "increaseOn"):
         right[field] = kind(field).isin("VOID", "BIGINT")
-    own = F.lit(True)
-    for event, fields in OWN_FIELDS.items():
-        fine = right["chatId"]
-        for field in fields:
-            fine = fine & right[field]
-        own = F.when(F.col(name) == event, fine).otherwise(own)
+
+    def sound(only: tuple[str, ...] | None = None) -> Column:
+        out = F.lit(True)
+        for event, fields in OWN_FIELDS.items():
+            fine = F.lit(True) if only else right["chatId"]
+            for field in fields:
+                if not only or field in only:
+                    fine = fine & right[field]
+            out = F.when(F.col(name) == event, fine).otherwise(out)
+        return out
+
     stamp = F.col(f"{parsed}.additionalData.createdAt")
     timed = stamp.isNull() | stamp.rlike(STAMP) & utc_clock(f"{parsed}.additionalData.createdAt").isNotNull()
     extra = kind("additionalData").startswith("OBJECT") | (kind("additionalData") == "VOID")
-    # Most values hold what they should: only those the typed parser stumbled over are looked at field by field.
-    fields = F.when(F.col(f"{parsed}.broken").isNull(), True).otherwise(own & extra)
+    # Most values hold what they should: only those the typed parser stumbled over are looked at field by field. It takes
+    # anything for text, though.
+    texts = sound(("title", "content"))
+    fields = F.when(F.col(f"{parsed}.broken").isNull(), texts).otherwise(sound() & extra)
     whole = F.schema_of_variant(value).startswith("OBJECT")
     return F.coalesce(whole, F.lit(False)) & fields & F.coalesce(timed, F.lit(False))
 

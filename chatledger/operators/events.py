@@ -25,8 +25,9 @@ def decode(records: DataFrame, partitions: int | None = None) -> DataFrame:
 
     def own(field: str, zero: object) -> Column:
         events = [name for name, fields in OWN_FIELDS.items() if field in fields]
-        return F.coalesce(e(field), F.when(F.col("name").isin(*events), F.lit(zero)))
+        return F.when(F.col("name").isin(*events), F.coalesce(e(field), F.lit(zero)))
 
+    lists = F.col("name").isin(*[name for name, fields in OWN_FIELDS.items() if "participantIds" in fields])
     number = lambda field, kind="bigint": own(field, 0).cast(kind)
     # The partition id keeps filters above the parsing, which they would repeat for every field they ask for.
     whole = F.when(F.spark_partition_id() >= 0, strict_json("value"))
@@ -35,7 +36,7 @@ def decode(records: DataFrame, partitions: int | None = None) -> DataFrame:
         log_position(partitions=partitions).alias("log_seq"), "partition", "offset",
         F.coalesce(e("chatId"), F.when(F.col("e_").isNotNull(), F.lit(0))).cast("bigint").alias("chat_id"), "name",
         utc_clock("e_.additionalData.createdAt").alias("created_at"),
-        F.transform(e("participantIds"), lambda i: F.coalesce(i, F.lit(0))).alias("participant_ids"),
+        F.when(lists, F.transform(e("participantIds"), lambda i: F.coalesce(i, F.lit(0)))).alias("participant_ids"),
         own("title", "").alias("title"), number("participantId").alias("participant_id"),
         own("pinned", False).alias("pinned"),
         F.coalesce(number("id"), number("messageId")).alias("message_id"),

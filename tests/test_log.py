@@ -51,6 +51,52 @@ def test_strict_import_stops_at_a_bad_line(spark, bad):
         L.import_log(lines).collect()
 
 
+@pytest.mark.parametrize("look", [lambda df: df.count(), lambda df: df.select("key").collect()])
+def test_strict_import_cannot_be_pruned_away(spark, look):
+    lines = spark.createDataFrame([(line(),), (line() + ', "end"] junk',)], "value string")
+    with pytest.raises(Exception, match="cannot import line"):
+        look(L.import_log(lines))
+
+
+def test_import_goes_on_where_the_log_ends(spark):
+    texts = [line(metadata={"partition": p}, key=f"k{i}", headers={"name": "n", "log_seq": str(i)}) for i, p in
+             enumerate([0, 1, 0, 0, 1])]
+    lines = spark.createDataFrame([("f", i + 1, t) for i, t in enumerate(texts)], "file string, line long, value string")
+    log = spark.createDataFrame([(0, o, "old", {"log_seq": str(o)}, "{}") for o in range(3)], S.RECORD)
+    added = L.import_append(lines, log).collect()
+    assert sorted((r.partition, r.offset, r.key, r.headers["log_seq"]) for r in added) == [
+        (0, 3, "k0", "3"), (0, 4, "k2", "5"), (0, 5, "k3", "6"), (1, 0, "k1", "4"), (1, 1, "k4", "7")]
+    alone = L.import_append(lines, log.limit(0)).collect()
+    assert sorted((r.partition, r.offset, r.key) for r in alone)[:2] == [(0, 0, "k0"), (0, 1, "k2")]
+
+
+VALUES = [
+    ("messageCreated", '{"chatId":1,"id":"abc"}', None), ("chatPinned", '{"chatId":1,"pinned":"yes"}', None),
+    ("chatPinned", '{"chatId":1} tail', None), ("chatPinned", '{"chatId":1}, "end"] tail', None), ("chatPinned", "[]", None),
+    ("chatPinned", '{"chatId":1.5}', None), ("chatDeleted", '{"chatId":1,"additionalData":{"createdAt":"soon"}}', None),
+    ("chatViewRefreshed", '{"chatId":1,"lastMessageAction":70000}', None),
+    ("chatPinned", '{"chatId":1,"participantId":2}', (1, 2, False, None, None)),
+    ("chatPinned", '{"chatId":null,"pinned":true,"content":5}', (0, 0, True, None, None)),
+    ("messageCreated", '{"chatId":1}', (1, None, None, 0, "")), ("messageCreated", '{"chatId":1,"id":-7,"x":[]}', (1, None, None, -7, "")),
+]
+
+
+def test_values_are_read_as_their_types(spark):
+    rows = [(0, i, "1", {"name": n, "log_seq": str(i)}, v) for i, (n, v, _) in enumerate(VALUES)]
+    twice = spark.createDataFrame(rows + rows, S.RECORD)
+    known, dead = E.read_events(twice)
+    got = {r.offset: (r.chat_id, r.participant_id, r.pinned, r.message_id, r.content) for r in known.collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(VALUES) if want}
+    assert sorted((r.offset, r.reason) for r in dead.collect()) == [
+        (i, E.BROKEN_VALUE) for i, (_, _, want) in enumerate(VALUES) if not want]
+
+
+def test_an_unstamped_log_has_positions(spark):
+    rows = [(p, o, "1", {"name": "chatDeleted"}, '{"chatId":1}') for p in range(3) for o in range(2)]
+    known, dead = E.read_events(spark.createDataFrame(rows, S.RECORD), partitions=3)
+    assert sorted(r.log_seq for r in known.collect()) == list(range(6)) and dead.count() == 0
+
+
 def test_round_trip_keeps_everything(spark, tmp_path):
     values = [json.dumps({"chatId": BIG}), json.dumps({"content": 'q"uo\n]te', "n": [1, None]}), "{}"]
     records = spark.createDataFrame(

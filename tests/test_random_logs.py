@@ -143,3 +143,15 @@ def test_lookups_against_brute_force(spark, skew):
     assert present == {
         (c, t, s.user_id) for c, t, _, _ in asked for s in stays if s.chat_id == c and s.from_seq <= t < s.to_seq
     }
+
+
+def test_counts_above_negative_markers(spark):
+    draw = random.Random(3)
+    lives = [(1, draw.randint(-5, 5), a, a + draw.randint(1, 9), False) for a in range(0, 60, 10) for _ in range(2)]
+    lives = list({(c, i, a): (c, i, a, b, h) for c, i, a, b, h in lives}.values())
+    marks = [(1, at, m, False) for at in range(0, 60, 7) for m in range(-6, 7, 3)]
+    got = H.count_after(
+        spark.createDataFrame(marks, "chat_id long, at long, marker long, hot boolean"),
+        spark.createDataFrame(lives, "chat_id long, id long, from_seq long, to_seq long, hot boolean")).collect()
+    assert {(r.at, r.marker): r.n for r in got} == {
+        (at, m): sum(i > m and a <= at < b for _, i, a, b, _ in lives) for _, at, m, _ in marks}
