@@ -89,23 +89,18 @@ def is_event(value: str, name: str, parsed: str) -> Column:
     for field in ("chatId", "participantId", "id", "messageId", "ownerId", "increaseOn"):
         right[field] = kind(field).isin("VOID", "BIGINT")
 
-    def sound(only: tuple[str, ...] | None = None) -> Column:
-        out = F.lit(True)
-        for event, fields in OWN_FIELDS.items():
-            fine = F.lit(True) if only else right["chatId"]
-            for field in fields:
-                if not only or field in only:
-                    fine = fine & right[field]
-            out = F.when(F.col(name) == event, fine).otherwise(out)
-        return out
+    def wrong(*fields: str) -> Column:
+        return F.array_compact(F.array(*[F.when(~right[f], F.lit(f)) for f in fields]))
 
+    owned = F.create_map(*[x for event, fields in OWN_FIELDS.items() for x in (
+        F.lit(event), F.array(F.lit("chatId"), *map(F.lit, fields)))])[F.col(name)]
     stamp = F.col(f"{parsed}.additionalData.createdAt")
     timed = stamp.isNull() | stamp.rlike(STAMP) & utc_clock(f"{parsed}.additionalData.createdAt").isNotNull()
     extra = kind("additionalData").startswith("OBJECT") | (kind("additionalData") == "VOID")
     # Most values hold what they should: only those the typed parser stumbled over are looked at field by field. It takes
     # anything for text, though.
-    texts = sound(("title", "content"))
-    fields = F.when(F.col(f"{parsed}.broken").isNull(), texts).otherwise(sound() & extra)
+    found = F.when(F.col(f"{parsed}.broken").isNull(), wrong("title", "content")).otherwise(wrong(*right))
+    fields = ~F.coalesce(F.arrays_overlap(found, owned), F.lit(False)) & (F.col(f"{parsed}.broken").isNull() | extra)
     whole = F.schema_of_variant(value).startswith("OBJECT")
     return F.coalesce(whole, F.lit(False)) & fields & F.coalesce(timed, F.lit(False))
 
