@@ -9,12 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, scratch_path
 
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
-__all__ = ["SPACES", "cut_lineage", "flat_text", "odd_bytes", "slices", "table", "words"]
+__all__ = ["SPACES", "cut_lineage", "flat_text", "odd_bytes", "slices", "stored", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read back: cuts the lineage as ``cut_lineage`` does, in about
+    half the space."""
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def words(text: str | Column) -> Column:
     """The words of a text as an array; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

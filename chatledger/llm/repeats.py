@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatledger.llm.common import cut_lineage, flat_text, slices
+from chatledger.llm.common import cut_lineage, flat_text, slices, stored
 from chatledger.llm.hashing import byte_codes, find_words, grams, run_hash, sums, word_codes
 
 #: An anchor with more distinct segments than this is not sent to a shard: its windows are counted one by one.
@@ -172,11 +172,11 @@ def repeated_spans(documents: DataFrame, kind: Kind, search: Search, *, per_shar
     twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("at") % 2).alias("m"))
     twice = cut_lineage(twice.where("c > 1 or m = 1").select("anchor"))
     # Copies of a text give equal rows; they are counted before anything else happens to them.
-    kept = cut_lineage(rows.join(twice, "anchor", "left_semi").groupBy("anchor", "seg", "t", "z", "at").agg(
-        F.count(F.lit(1)).alias("n")))
-    wanted = cut_lineage(kept.groupBy("anchor", "seg").agg(
+    kept = stored(rows.join(twice, "anchor", "left_semi").groupBy("anchor", "seg", "t", "z", "at").agg(
+        F.count(F.lit(1)).alias("n")), "segments")
+    wanted = stored(kept.groupBy("anchor", "seg").agg(
         F.sum("n").alias("n"), F.min(F.struct("t", "z", "at")).alias("r")
-    ).select("anchor", "seg", "n", "r.t", "r.z", "r.at"))
+    ).select("anchor", "seg", "n", "r.t", "r.z", "r.at"), "wanted")
     units = wanted.agg(F.sum(F.expr("(at & 4294967295) div 2"))).first()[0] or 0
     shards = max(1, -(-int(units) // per_shard))
     crowded = cut_lineage(wanted.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("anchor"))

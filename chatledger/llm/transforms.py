@@ -18,6 +18,8 @@ from chatledger.llm.repeats import Kind, remove, repeated_spans, sliding_min
 
 #: Bytes of segments to a shard, and parts of a shard whose transforms are merged.
 PER_SHARD, PARTS = 2_000_000, 4
+#: Segments of one anchor that still go to a shard: about as many as fill it.
+HOT = 8192
 #: Borders are the smallest of any ``WIDTH`` neighbouring hashes of ``GRAM`` bytes.
 GRAM, WIDTH = 4, 13
 #: A border is fixed by so many bytes before and after it.
@@ -148,7 +150,7 @@ def search(bodies: list[bytes], weights: np.ndarray, length: int) -> list[list[t
 
 
 def remove_repeats(documents: DataFrame, *, length: int = 200, gram: int = 50, per_shard: int = PER_SHARD,
-                   **settings: int) -> DataFrame:
+                   hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept for every row: each byte is removed that a string of
     ``length`` bytes covers which also starts elsewhere, in any document or the same one.
 
@@ -157,5 +159,5 @@ def remove_repeats(documents: DataFrame, *, length: int = 200, gram: int = 50, p
     doc_id and text are read.
     """
     kind = Kind(False, length, gram)
-    spans = repeated_spans(documents, kind, search, per_shard=per_shard, **settings)
+    spans = repeated_spans(documents, kind, search, per_shard=per_shard, hot=hot)
     return remove(documents, spans, kind).withColumnRenamed("n_units", "n_bytes")
