@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from chatledger.llm.common import cut_lineage
 
+#: Edges to a task, about, and the fewest tasks of a step.
+PER_TASK, FEW_TASKS = 50_000, 8
+
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component (its smallest node) for every node of ``edges`` (a, b: long).
@@ -18,14 +21,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def smallest(pairs: DataFrame) -> DataFrame:
         return pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
-    now = edges.where("a <> b").select("a", "b").distinct()
+    now = cut_lineage(edges.where("a <> b").select("a", "b").distinct())
+    # A task takes about so many edges: a small graph is not spread over as many tasks as the rows it came from.
+    tasks = max(FEW_TASKS, now.count() // PER_TASK)
+    now = now.coalesce(tasks)
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = both.join(smallest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.distinct().select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        down = large.coalesce(tasks).distinct().coalesce(tasks).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         joined = down.join(smallest(down), "a")
         small = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = cut_lineage(small.where("a <> b").distinct())
+        now = cut_lineage(small.where("a <> b").coalesce(tasks).distinct().coalesce(tasks))
         # Done when every node points to one other, and nothing points on from there.
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")),
                                             F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))).alias("e"))
