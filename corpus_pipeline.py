@@ -17,7 +17,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id. Of several rows with that doc_id
     one stays. Rows without doc_id stay: no decision names them."""
-    kept = near.near_duplicates(docs, size=3, percent=85).where("kept and doc_id is not null").select("doc_id").distinct()
+    kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
     # The texts are shuffled once, by doc_id, for the join and for the order within a doc_id.
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     named = docs.join(kept, "doc_id").withColumn("r_", F.row_number().over(first)).where("r_ = 1")

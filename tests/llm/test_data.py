@@ -227,3 +227,14 @@ def test_pipeline(spark, tmp_path, documents):
     near = spark.read.parquet(f"{tmp_path}/near")
     named = near.where("doc_id is not null")
     assert named.count() == named.select("doc_id").distinct().count()
+
+
+def test_pipeline_near_thresholds(spark):
+    """The stage decides on five words and 80 percent: a copy with a block of words more goes, one with words changed
+    all over stays."""
+    words = [f"a{i}" for i in range(200)]
+    other = [f"b{i}" for i in range(200)]
+    changed = [f"c{i}" if i % 40 == 20 else w for i, w in enumerate(other)]
+    texts = [words, words + [f"d{i}" for i in range(40)], other, changed]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {0, 2, 3}
