@@ -1,8 +1,11 @@
 """Packing documents into training sequences by lexical retrieval.
 
-Documents are dealt to shards of bounded size. A shard has a BM25 inverted index of its documents; how common a word is
-comes from all documents of the corpus. A window is opened by a seed document and filled with the seed's best unused
-neighbours, best first; what does not fit opens the next window, so only the last sequence of a shard is padded.
+Documents are dealt to shards of bounded size by lexical closeness over the whole corpus: each looks up the leaders, a
+sample of the corpus, that it is closest to by BM25 weights. Leaders that are close to each other have numbers close to
+each other, and a shard is a range of the order by the closest leader, then the second and the third; a crowd around
+the same leaders is split by hash. A shard has a BM25 inverted index of its documents; how common a word is comes from
+all documents of the corpus. A window is opened by a seed document and filled with the seed's best unused neighbours,
+best first; what does not fit opens the next window, so only the last sequence of a shard is padded.
 """
 
 from __future__ import annotations
@@ -26,6 +29,12 @@ TERMS = 1 << 17
 PER_SHARD = 8_000_000
 #: BM25's settings, and the query's terms: the seed's best by weight.
 K1, B, QUERY = 1.2, 0.75, 12
+#: Leaders to a shard, and in all (13 bits of the order, and one number for documents close to none).
+LEADERS, MOST_LEADERS = 8, 8191
+#: Terms by which a document is dealt and of a leader that it may meet: the best by weight that other documents have.
+DEALT_BY, LED_BY = 64, 256
+#: Documents to a shard whose place in the order decides where shards are cut.
+MARKS = 32
 
 
 def _terms(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -62,6 +71,119 @@ def statistics(documents: DataFrame) -> tuple[int, float, np.ndarray]:
     return docs, size / max(docs, 1), frequency
 
 
+def _idf(docs: int, frequency: np.ndarray) -> np.ndarray:
+    return np.log1p((docs - frequency + 0.5) / (frequency + 0.5))
+
+
+def _best(column: pa.Array, most: int, mean: float, frequency: np.ndarray, idf: np.ndarray) -> Iterator[tuple]:
+    """Per text, its ``most`` best terms that other documents have too, and their weights."""
+    for terms, often in _terms(column):
+        length, shared = often.sum(), frequency[terms] > 1
+        terms, tf = terms[shared], often[shared].astype(float)
+        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
+        best = np.argsort(-weight, kind="stable")[:most]
+        yield terms[best], weight[best]
+
+
+class Leaders:
+    """An inverted index of the leaders, numbered so that each is followed by the closest one not yet numbered."""
+
+    def __init__(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        self._index(terms, weights)
+        left, order, at = np.ones(len(terms), bool), [], 0
+        while len(order) < len(terms):
+            left[at] = False
+            order.append(at)
+            score = np.where(left, self.scores(terms[at], weights[at]), -1)
+            at = int(score.argmax())
+        self._index([terms[i] for i in order], [weights[i] for i in order])
+
+    def _index(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> None:
+        self.count = len(terms)
+        owner = np.repeat(np.arange(self.count), [len(t) for t in terms])
+        every = np.concatenate([*terms, np.zeros(0, np.int64)])
+        # Long leaders must not draw every document.
+        norms = [np.full(len(w), max(float(np.sqrt((w * w).sum())), 1e-9)) for w in weights]
+        impact = np.concatenate([*weights, np.zeros(0)]) / np.concatenate([*norms, np.zeros(0)])
+        order = np.argsort(every, kind="stable")
+        self.posted, self.impact = owner[order].astype(np.int32), impact[order]
+        self.heads = np.searchsorted(every[order], np.arange(TERMS + 1))
+
+    def scores(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The closeness of every leader to a document."""
+        first, size = self.heads[terms], self.heads[terms + 1] - self.heads[terms]
+        ends = np.cumsum(size)
+        if not len(ends) or not ends[-1]:
+            return np.zeros(self.count)
+        at = np.arange(ends[-1]) + np.repeat(first - ends + size, size)
+        return np.bincount(self.posted[at], self.impact[at] * np.repeat(weights, size), self.count)
+
+    def place(self, terms: np.ndarray, weights: np.ndarray) -> int:
+        """The document's place in the order: its three closest leaders, in 13 bits each (ties by number)."""
+        score, out = self.scores(terms, weights), 0
+        for _ in range(3):
+            best = int(score.argmax()) if self.count else 0
+            found = self.count and score[best] > 0
+            out = out << 13 | (best if found else MOST_LEADERS)
+            if found:
+                score[best] = 0
+        return out
+
+
+def lead(documents: DataFrame, count: int, docs: int, mean: float, frequency: np.ndarray) -> Leaders:
+    """About ``count`` distinct texts, chosen by hash, as leaders. Their best terms reach the driver, not the texts."""
+    idf = _idf(docs, frequency)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_best(batch.column("text"), LED_BY, mean, frequency, idf))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h"), pa.array([t for t, _ in found], pa.list_(pa.int64())),
+                 pa.array([w for _, w in found], pa.list_(pa.float64()))], ["h", "terms", "weights"])
+
+    hashed = documents.select("text", F.xxhash64("text").alias("h")).where("text is not null")
+    # Copies of one text leave fewer distinct ones, so more are drawn than needed.
+    drawn = hashed.where(F.pmod("h", F.lit(1 << 30)) < (1 << 30) * 4 * count // max(docs, 1))
+    rows = drawn.mapInArrow(best, "h long, terms array<long>, weights array<double>").where("size(terms) > 0")
+    got = rows.dropDuplicates(["h"]).orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(count).toArrow()
+    terms, weights = ([np.asarray(x.values) for x in got.column(c)] for c in ("terms", "weights"))
+    return Leaders(terms, weights)
+
+
+def deal(documents: DataFrame, shards: int, docs: int, mean: float, frequency: np.ndarray) -> DataFrame:
+    """doc_id and text with the ``shard`` of each document, of about equal bytes."""
+    hashed = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    if shards == 1:
+        return hashed.select("doc_id", "text", F.lit(0).cast("long").alias("shard"))
+    leaders, idf = lead(documents, min(LEADERS * shards, MOST_LEADERS), docs, mean, frequency), _idf(docs, frequency)
+
+    def places(batch: pa.RecordBatch) -> np.ndarray:
+        found = [leaders.place(*b) for b in _best(batch.column("text"), DEALT_BY, mean, frequency, idf)]
+        return np.array(found, np.int64) << 24 | batch.column("h").to_numpy() >> 40 & 0xFFFFFF
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(flat_text(batch.column("text"))[1])
+            yield pa.RecordBatch.from_arrays([pa.array(places(batch)), pa.array(sizes)], ["place", "bytes"])
+
+    some = F.pmod("h", F.lit(1 << 30)) < max(1, (1 << 30) * MARKS * shards // max(docs, 1))
+    marks = hashed.where(some).mapInArrow(mark, "place long, bytes long").toArrow()
+    at, sizes = (np.asarray(marks.column(c)) for c in ("place", "bytes"))
+    order = np.argsort(at, kind="stable")
+    upto = np.cumsum(sizes[order] + 1)
+    goals = np.arange(1, shards) * (upto[-1] / shards) if len(upto) else np.zeros(0)
+    cuts = at[order][np.minimum(np.searchsorted(upto, goals), len(upto) - 1)] if len(upto) else np.zeros(0, np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = np.searchsorted(cuts, places(batch), "left")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text"), pa.array(shard, pa.int64())], ["doc_id", "text", "shard"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return hashed.mapInArrow(cut, f"doc_id {kind}, text string, shard long")
+
+
 class Index:
     """The inverted index of a shard."""
 
@@ -72,7 +194,7 @@ class Index:
         self.terms, tf = np.concatenate(terms), np.concatenate(often).astype(float)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         length = np.array([o.sum() for o in often], float)[owner]
-        idf = np.log1p((docs - frequency + 0.5) / (frequency + 0.5))
+        idf = _idf(docs, frequency)
         self.weight = idf[self.terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1)))
         order = np.argsort(self.terms, kind="stable")
         self.posted, self.impact = owner[order], self.weight[order]
@@ -149,6 +271,4 @@ def pack(documents: DataFrame, *, window: int = WINDOW, per_shard: int = PER_SHA
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, " + ", ".join(f"{f} long" for f in fields[1:7]) + ", ids binary" * with_ids
-    dealt = documents.select("doc_id", "text").withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(fill, schema)
+    return deal(documents, shards, docs, mean, frequency).groupBy("shard").applyInArrow(fill, schema)

@@ -75,6 +75,26 @@ def test_packing_prefers_neighbours(spark):
     assert sum(a == b for a, b in zip(order, order[1:], strict=False)) > 0.8 * len(order)
 
 
+def test_packing_prefers_neighbours_of_all_shards(spark):
+    """The same where a shard holds far fewer documents than there are subjects; one subject is a third of the rows,
+    half of it copies of one text, and no shard gets much more than its bytes."""
+    draw = random.Random(4)
+    subject = [0 if i % 3 == 0 else 1 + i % 40 for i in range(2400)]
+    copied = " ".join(draw.choices([f"t0w{i}" for i in range(40)], k=30))
+    texts = [copied if t == 0 and i % 2 else " ".join(draw.choices([f"t{t}w{i}" for i in range(40)], k=30))
+             for i, t in enumerate(subject)]
+    size = sum(map(len, texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = packing.pack(docs, window=512, per_shard=size // 100).collect()
+    assert sorted({r.doc_id for r in got}) == list(range(2400))
+    order = [subject[r.doc_id] for r in sorted(got, key=lambda r: (r.sequence_id, r.offset))]
+    assert sum(a == b for a, b in zip(order, order[1:], strict=False)) > 0.8 * len(order)
+    held = Counter()
+    for r in got:
+        held[r.sequence_id >> 32] += len(texts[r.doc_id]) if r.start == 0 else 0
+    assert len(held) > 80 and max(held.values()) < 4 * size / 100
+
+
 def test_packing_nothing(empty):
     assert packing.pack(empty).count() == 0
 
