@@ -167,6 +167,19 @@ def test_personal_data_adds_spans(spark):
     assert sum("secret" in got[i] for i in range(300)) >= 295 and got[350].count(":") == 2
 
 
+def test_personal_data_rare_kinds(spark):
+    """A few secrets in many documents are found as well as many are."""
+    draw = random.Random(11)
+    hexes = lambda: "".join(draw.choices("0123456789abcdef", k=40))
+    texts = [f'word {i} token = "{hexes()}" more' if i % 1000 == 0 else f"call +1 (336) 555-{i:04d} now" for i in range(5000)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    model = pii.train(docs)
+    got = {r.doc_id: r.spans for r in pii.detect(docs, model).collect()}
+    assert [i for i in got if "secret" in got[i]] == [i for i in got if i % 1000 == 0]
+    clean = pii.redact(docs.where("doc_id % 1000 = 0"), model).collect()
+    assert all("<SECRET>" in r.text for r in clean)
+
+
 def test_boosting():
     draw = np.random.default_rng(4)
     x = draw.random((2000, 3))
