@@ -180,6 +180,22 @@ def test_personal_data_rare_kinds(spark):
     assert all("<SECRET>" in r.text for r in clean)
 
 
+def test_personal_data_wider_formats(spark):
+    """Every format that is proposed is taken where a word names it, and not where nothing speaks for it."""
+    wide = [("phone", "call", "(336) 555-3810"), ("phone", "phone:", "336-555-3810"),
+            ("email", "mail", "jo (at) mail (dot) org"), ("email", "contact", "jo[at]mail.org"),
+            ("email", "write to", "jo@müller.de"), ("ip", "host", "10,0,0,17"), ("ip", "IP address", "192_168_0_1"),
+            ("card", "card number", "4111.1111.1111.1111"), ("secret", "token =", "ab12cd34ef56ab78cd90ef12")]
+    texts = [f"please {word} {body} today" for _, word, body in wide] + ["host 10,0,0,999 x", "card 4111.1111.1111.1112 x"]
+    texts += [f"order 20-{i:06d} came, call +1 (336) 555-{i:04d} or x{i}@y.org" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.detect(docs, pii.train(docs)).collect()}
+    for i, (kind, _, body) in enumerate(wide):
+        start = texts[i].index(body)
+        assert got[i] == f"{kind}:{start}:{start + len(body)}"
+    assert got[9] == got[10] == "" and all(got[i].count(":") == 4 for i in range(11, 211))
+
+
 def test_boosting():
     draw = np.random.default_rng(4)
     x = draw.random((2000, 3))
