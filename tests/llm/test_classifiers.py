@@ -196,6 +196,16 @@ def test_personal_data_wider_formats(spark):
     assert got[9] == got[10] == "" and all(got[i].count(":") == 4 for i in range(11, 211))
 
 
+def test_personal_data_learns_from_distinct_proposals(spark, monkeypatch):
+    """Copies of one text do not fill the sample."""
+    seen = []
+    monkeypatch.setattr(pii, "boost", lambda x, y: seen.append(len(x)) or boost(x, y))
+    monkeypatch.setattr(pii, "thresholds", lambda kinds, *a: seen.append(len(kinds)) or dict.fromkeys(pii.KINDS, 2.0))
+    texts = ["call +1 (336) 555-3810 now"] * 300 + [f"order 20-{i:06d} came" for i in range(30)]
+    pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert sum(seen) == 31
+
+
 def test_boosting():
     draw = np.random.default_rng(4)
     x = draw.random((2000, 3))
