@@ -29,12 +29,12 @@ PER_DOMAIN = 5
 
 def place(documents: DataFrame) -> DataFrame:
     """Each document's place in the tree and its tokens (words). Null languages and sources are children named '';
-    sources without a number at their end are in domain ''."""
+    sources without a number at their end are in domain ''. A column ``row_`` is kept."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
     domain = F.when(number == "", "").otherwise(
         F.concat(F.lit("d"), F.floor(F.try_divide(number.try_cast("bigint"), F.lit(PER_DOMAIN))).cast("string")))
     return documents.select(
-        "doc_id", domain.alias("domain"), F.coalesce("lang", F.lit("")).alias("language"),
+        "doc_id", *["row_"] * ("row_" in documents.columns), domain.alias("domain"), F.coalesce("lang", F.lit("")).alias("language"),
         F.coalesce("source", F.lit("")).alias("source"), F.size(words("text")).cast("long").alias("tokens"))
 
 
@@ -96,27 +96,27 @@ def mix(
     ranges = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select(*LEVELS, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens").rowsBetween(
+    row = ["row_"] * ("row_" in docs.columns)
+    within = Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens", *row).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ended = keyed.join(starts, [*LEVELS, "range"]).withColumn("end", F.col("start") + F.sum("tokens").over(within))
     return ended.select(
-        "doc_id", *LEVELS, "tokens", "target",
+        "doc_id", *row, *LEVELS, "tokens", "target",
         (F.col("passes") + F.when(F.col("end") <= F.col("left_over"), 1).otherwise(0)).alias("copies"))
 
 
 def repeat(documents: DataFrame, **settings: object) -> DataFrame:
     """The mix itself: every document as often as ``mix`` says, with all columns of ``documents``.
 
-    Rows with the same doc_id (null included) that get different copies share the sum of theirs: it is dealt out
-    to each of them as evenly as it goes.
+    Rows are told apart by a hash of all columns, so null and reused doc_ids are no matter; of equal rows one is given
+    as often as all of them together.
     """
-    per_id = mix(documents, **settings).groupBy("doc_id").agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    per_id = per_id.select(F.col("doc_id").alias("id_"), F.ceil(F.col("copies") / F.col("rows")).cast("int").alias("n_"))
     columns = documents.columns
-    picked = documents.join(per_id, F.col("doc_id").eqNullSafe(F.col("id_")))
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("n_")))
-    return picked.where("n_ > 0").select(*[picked[c] for c in columns], copies.alias("copy_")).select(*columns)
+    keyed = documents.withColumn("row_", F.xxhash64(*columns))
+    per_row = mix(keyed, **settings).groupBy(F.col("row_").alias("id_")).agg(F.sum("copies").cast("int").alias("n_"))
+    picked = keyed.join(per_row.where("n_ > 0"), F.col("row_") == F.col("id_")).withColumn(
+        "r_", F.row_number().over(Window.partitionBy("row_").orderBy("id_"))).where("r_ = 1")
+    return picked.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("n_"))).alias("copy_")).select(*columns)
 
 
 def oracle(share: int = 80, most_epochs: int = 4, seed: int = 1) -> str:

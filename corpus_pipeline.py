@@ -15,13 +15,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Of several rows with that doc_id
-    one stays. Rows without doc_id stay: no decision names them."""
-    kept = near.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    # The texts are shuffled once, by doc_id, for the join and for the order within a doc_id.
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    named = docs.join(kept, "doc_id").withColumn("r_", F.row_number().over(first)).where("r_ = 1")
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One document of each group of near duplicates: the one with the smallest doc_id, if any has one. Rows are told apart
+    by a hash of all columns, so null and reused doc_ids are no matter; of equal rows one stays."""
+    columns = docs.columns
+    keyed = docs.withColumn("row_", F.xxhash64(*columns))
+    decided = near.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("row_"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
+    kept = decided.join(keyed.select("row_", "doc_id"), "row_").groupBy("component_id").agg(first.alias("first"))
+    # The texts are shuffled once, by row_, for the join and for the choice among equal rows.
+    one = keyed.join(kept.select(F.col("first.row_").alias("row_")), "row_").withColumn(
+        "r_", F.row_number().over(Window.partitionBy("row_").orderBy("row_")))
+    return one.where("r_ = 1").select(*columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -258,3 +258,22 @@ def test_pipeline_near_thresholds(spark):
     texts = [words, words + [f"d{i}" for i in range(40)], other, changed]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id for r in corpus_pipeline.one_of_each(spark, docs, "").collect()} == {0, 2, 3}
+
+
+def test_pipeline_rows_without_own_id(spark):
+    """Null and reused ids: one row of each group of copies stays, and no clean one goes."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(None, text("a"), s) for s in ("x", "x", "y")] + [(7, text("b"), "x"), (7, text("c"), "x")]
+    rows += [(9, text("d"), "x"), (8, text("d"), "y"), (None, text("d"), "z"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r.doc_id, (r.text or " ")[0]) for r in corpus_pipeline.one_of_each(spark, docs, "").collect())
+    assert got == Counter([(None, "a"), (7, "b"), (7, "c"), (8, "d"), (None, " ")])
+
+
+def test_mixing_repeats_rows_without_id(spark):
+    """Rows without id, or equal, are given as often as the mix says, and no leaf exceeds its target."""
+    rows = [(None, f"w{i} x y z", "en", "src1") for i in range(100)] + [(5, "a b", "en", "src1")] * 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    copies = mixing.mix(docs).agg({"copies": "sum"}).first()[0]
+    got = mixing.repeat(docs).collect()
+    assert 0 < copies < 120 and len(got) == copies
