@@ -4,7 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatledger.llm import automaton, chat, language, mixing, near, neighbours, packing, pii, quality, transforms
+from chatledger.llm import (
+    automaton,
+    chat,
+    collocations,
+    language,
+    lines,
+    mixing,
+    near,
+    neighbours,
+    packing,
+    periods,
+    pii,
+    quality,
+    transforms,
+)
 from chatledger.llm.common import table
 
 
@@ -51,6 +65,18 @@ def op10_boosted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents, pii.train(documents))
 
 
+def op11_sorted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.remove_shared(table(spark, sf_dir, "documents"))
+
+
+def op12_weighted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_internal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.runs(table(spark, sf_dir, "documents"))
+
+
 REGISTERED = {
     "op1_suffix_automata": op1_suffix_automata,
     "op2_retrieval_packing": op2_retrieval_packing,
@@ -62,6 +88,13 @@ REGISTERED = {
     "op8_merged_transforms": op8_merged_transforms,
     "op9_weak_supervision": op9_weak_supervision,
     "op10_boosted_spans": op10_boosted_spans,
+    "op11_sorted_lines": op11_sorted_lines,
+    "op12_weighted_graph": op12_weighted_graph,
+    "op13_internal_matches": op13_internal_matches,
 }
 
-ORACLE = {"op5_hierarchical_budget": mixing.oracle()}
+ORACLE = {
+    "op5_hierarchical_budget": mixing.oracle(),
+    "op11_sorted_lines": lines.oracle(),
+    "op12_weighted_graph": collocations.oracle(),
+}
