@@ -38,7 +38,7 @@ LONGEST = 4
 BITS = 27
 
 #: Bytes of text handled at a time; a longer text is handled by itself.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -128,7 +128,7 @@ def _admitted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _grams(bitmap):
-    """lang, gram, words, n: the longest admitted gram from every word on, counted within a slice."""
+    """lang, gram, n: the longest admitted gram from every word on, counted within a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, langs, hashes in _slices(batches):
             one, two = words.pairs(hashes)
@@ -155,7 +155,7 @@ def _grams(bitmap):
             gram = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string()), null_handling="skip")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(langs, pa.string()).take(pa.array(lang[first])), gram.cast(pa.string()),
-                 pa.array(length[keep].astype(np.int32)), pa.array(n)], ["lang", "gram", "words", "n"])
+                 pa.array(n)], ["lang", "gram", "n"])
 
     return run
 
@@ -167,9 +167,10 @@ def edges(documents: DataFrame, *, min_count: int) -> tuple[DataFrame, DataFrame
     counted = texts.mapInArrow(_count_hashes, "h long, lang string, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted.where((F.col("n") >= min_count) | F.col("lang").isNotNull()))
     bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(counted, min_count))
-    grams = texts.mapInArrow(_grams(bitmap), "lang string, gram string, words int, n long")
-    grams = grams.groupBy("lang", "gram", "words").agg(F.sum("n").alias("n"))
-    return stored(grams, "grams"), counted.where("lang is not null and n > 0").select("lang", "n")
+    grams = texts.mapInArrow(_grams(bitmap), "lang string, gram string, n long")
+    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    words = F.char_length("gram") - F.char_length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
+    return stored(grams.withColumn("words", words), "grams"), counted.where("lang is not null and n > 0").select("lang", "n")
 
 
 def first_words(phrase: str | Column, k: int) -> Column:
@@ -190,9 +191,8 @@ def flows(grams: DataFrame, *, min_count: int) -> DataFrame:
     return cut_lineage(out.where(F.col("a") >= min_count).select("lang", "phrase", "words", "a"))
 
 
-def score_cuts(counts: DataFrame) -> DataFrame:
-    """lang, phrase, words, a, l, r, score of every phrase of two words or more: of its lowest-scoring cut."""
-    candidates = counts.where("words > 1")
+def score_cuts(candidates: DataFrame, counts: DataFrame) -> DataFrame:
+    """lang, phrase, words, a, l, r, score of every candidate: of its lowest-scoring cut."""
     cut = F.explode(F.sequence(F.lit(1), F.col("words") - 1))
     cuts = candidates.withColumn("k", cut).withColumns({
         "first": F.expr("substring_index(phrase, ' ', k)"), "rest": F.expr("substring_index(phrase, ' ', k - words)")})
@@ -250,10 +250,11 @@ def collocations(documents: DataFrame, *, min_count: int = 30, inside_percent: i
     left out if that one occurs ``inside_percent`` of its times or more."""
     grams, totals = edges(documents, min_count=min_count)
     counts = flows(grams, min_count=min_count)
-    scored = score_cuts(counts).join(outer_phrases(counts), ["lang", "phrase"], "left")
     outer = F.expr(f"cast(longest as decimal(20, 0)) * 100 >= cast(a as decimal(20, 0)) * {inside_percent}")
+    candidates = counts.where("words > 1").join(outer_phrases(counts), ["lang", "phrase"], "left")
+    candidates = candidates.where(F.col("longest").isNull() | ~outer).drop("longest")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = scored.where(F.col("longest").isNull() | ~outer).withColumn("rank", F.row_number().over(best))
+    ranked = score_cuts(candidates, counts).withColumn("rank", F.row_number().over(best))
     return ranked.where(F.col("rank") <= top).join(F.broadcast(totals), "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
