@@ -6,10 +6,11 @@ first three to the node of its last three, and shorter grams are the corrections
 a node of three words occurs is the sum of the edges that leave it and its own piece ends; two words and one follow in
 the same way from three and two. Nothing but the longest grams is ever counted in the texts.
 
-Most grams are too rare to matter. A pass before counts word pairs by 64-bit hash, with which a bitmap of fixed size
-(16 MB, broadcast) says of a pair whether it may be frequent. A gram is cut before a pair that can't be: that is one more
-kind of piece end, so the sums stay exact for everything whose pairs the bitmap admits, and hash collisions only admit
-more. On vocabularies that fill the bitmap it admits more pairs; the result is the same, only the shuffle grows.
+Most grams are too rare to matter. Two passes before count word pairs, then triples of such pairs, by 64-bit hash, with
+which bitmaps of fixed size (16 MB each, broadcast) say of a pair or triple whether it may be frequent. A gram is cut
+before one that can't be: that is one more kind of piece end, so the sums stay exact for everything the bitmaps admit, and
+hash collisions only admit more. Vocabularies that fill a bitmap get more admitted; the result is the same, only the
+shuffle grows.
 
 Nodes through which all that enters leaves by one edge are compacted: ``paths`` joins frequent edges to phrases of any
 length by pointer doubling.
@@ -34,7 +35,7 @@ from chatledger.llm.hashing import lower, mix, word_codes
 #: Words of the longest gram.
 LONGEST = 4
 
-#: The bitmap of pairs has 2**BITS bits: 16 MB at every size of the corpus.
+#: A bitmap has 2**BITS bits: 16 MB at every size of the corpus.
 BITS = 27
 
 #: Bytes of text handled at a time; a longer text is handled by itself.
@@ -74,11 +75,12 @@ class Words:
         first = np.flatnonzero(new)
         self.left = np.repeat(np.append(first[1:], len(starts)), np.diff(np.append(first, len(starts)))) - np.arange(len(starts))
 
-    def pairs(self, lang_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A hash of each word, and of each word with the next one (of no meaning at the end of a piece)."""
+    def hashes_from(self, lang_hashes: np.ndarray) -> list[np.ndarray]:
+        """Hashes of each word, of it with the next one, and of it with the next two (where its piece has them)."""
         one = mix(self.hashes[self.ids] + lang_hashes[self.langs])
-        following = np.append(self.hashes[self.ids[1:]], np.uint64(0))[: len(one)]
-        return one, mix(one * _PAIR + following)
+        later = np.concatenate([self.hashes[self.ids], np.zeros(2, np.uint64)])
+        two = mix(one * _PAIR + later[1 : len(one) + 1])
+        return [one, two, mix(two * _PAIR + later[2 : len(one) + 2])]
 
 
 def _texts(documents: DataFrame) -> DataFrame:
@@ -97,10 +99,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, list[str
             yield Words(part, offsets[first : last + 1] - offsets[first], codes[first:last]), langs, hashes
 
 
-def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, n: counts of words and pairs by hash; and lang, n: the words of a language."""
     for words, langs, hashes in _slices(batches):
-        one, two = words.pairs(hashes)
+        one, two, _ = words.hashes_from(hashes)
         h, n = np.unique(np.concatenate([one, two[words.left > 1]]), return_counts=True)
         yield pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.nulls(len(h), pa.string()), pa.array(n)], ["h", "lang", "n"])
@@ -109,6 +111,18 @@ def _count_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             [pa.nulls(len(langs), pa.int64()), pa.array(langs, pa.string()), pa.array(total)], ["h", "lang", "n"])
 
 
+def _count_triples(pairs):
+    """h, n: counts by hash of triples both of whose pairs are admitted."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, _, hashes in _slices(batches):
+            _, two, three = words.hashes_from(hashes)
+            follows = (words.left > 1) & _admitted(pairs.value, two)
+            h, n = np.unique(three[: len(two) - 1][follows[:-1] & follows[1:] & (words.left[:-1] > 2)], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    return run
+
+
 def _bitmap(counted: DataFrame, min_count: int) -> np.ndarray:
     """One bit for every top of a hash that a frequent word or pair has. At most 2**BITS bits come to the driver, in
     blocks of 4 KB."""
@@ -127,18 +141,21 @@ def _admitted(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
 
 
-def _grams(bitmap):
+def _grams(pairs, triples):
     """lang, gram, n: the longest admitted gram from every word on, counted within a slice."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, langs, hashes in _slices(batches):
-            one, two = words.pairs(hashes)
+            one, two, three = words.hashes_from(hashes)
             size = len(one)
-            follows = (words.left > 1) & _admitted(bitmap.value, two)
+            # May the word after the next so many follow? A pair for the first step, then triples.
+            steps = [(words.left > 1) & _admitted(pairs.value, two), (words.left > 2) & _admitted(triples.value, three)]
             length = np.ones(size, np.int64)
-            for k in range(1, LONGEST):  # one word more where the pair at its end is admitted
+            for k in range(1, LONGEST):
                 more = np.flatnonzero(length == k)
-                length[more[follows[np.minimum(more + k - 1, size - 1)]]] += 1
-            at = np.flatnonzero((length > 1) | _admitted(bitmap.value, one))
+                if k > 1:  # the triple's own pairs are admitted, too
+                    more = more[steps[0][more + k - 1]]
+                length[more[steps[min(k, 2) - 1][more + max(k - 2, 0)]]] += 1
+            at = np.flatnonzero((length > 1) | _admitted(pairs.value, one))
             length, ids = length[at], words.ids.astype(np.int64) + 1
             word = [np.where(length > k, ids[np.minimum(at + k, size - 1)], 0) for k in range(LONGEST)]
             front, back = word[0] << 32 | word[1], word[2] << 32 | word[3]
@@ -163,11 +180,13 @@ def _grams(bitmap):
 def edges(documents: DataFrame, *, min_count: int) -> tuple[DataFrame, DataFrame]:
     """lang, gram, words, n of all grams; and lang, n: the words of each language. Counts of phrases follow from the
     grams exactly for all phrases that occur ``min_count`` times or more."""
-    texts = _texts(documents)
-    counted = texts.mapInArrow(_count_hashes, "h long, lang string, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
+    texts, context = _texts(documents), documents.sparkSession.sparkContext
+    counted = texts.mapInArrow(_count_pairs, "h long, lang string, n long").groupBy("h", "lang").agg(F.sum("n").alias("n"))
     counted = cut_lineage(counted.where((F.col("n") >= min_count) | F.col("lang").isNotNull()))
-    bitmap = documents.sparkSession.sparkContext.broadcast(_bitmap(counted, min_count))
-    grams = texts.mapInArrow(_grams(bitmap), "lang string, gram string, n long")
+    pairs = context.broadcast(_bitmap(counted, min_count))
+    threes = texts.mapInArrow(_count_triples(pairs), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    triples = context.broadcast(_bitmap(threes, min_count))
+    grams = texts.mapInArrow(_grams(pairs, triples), "lang string, gram string, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     words = F.char_length("gram") - F.char_length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
     return stored(grams.withColumn("words", words), "grams"), counted.where("lang is not null and n > 0").select("lang", "n")
