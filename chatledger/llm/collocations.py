@@ -39,7 +39,7 @@ LONGEST = 4
 BITS = 27
 
 #: Bytes of text handled at a time; a longer text is handled by itself.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".,;:!?"] + [10, 11, 12, 13]] = True
@@ -189,7 +189,10 @@ def edges(documents: DataFrame, *, min_count: int) -> tuple[DataFrame, DataFrame
     grams = texts.mapInArrow(_grams(pairs, triples), "lang string, gram string, n long")
     grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     words = F.char_length("gram") - F.char_length(F.replace("gram", F.lit(" "), F.lit(""))) + 1
-    return stored(grams.withColumn("words", words), "grams"), counted.where("lang is not null and n > 0").select("lang", "n")
+    grams = stored(grams.withColumn("words", words), "grams")
+    for bitmap in (pairs, triples):  # the grams are written; nothing asks for the bitmaps again
+        bitmap.destroy()
+    return grams, counted.where("lang is not null and n > 0").select("lang", "n")
 
 
 def first_words(phrase: str | Column, k: int) -> Column:
