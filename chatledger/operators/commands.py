@@ -75,7 +75,8 @@ def member_pages(positions: DataFrame, members: DataFrame, page: int = PAGE) ->
     )
 
 
-def _emit(rows: DataFrame, slot: int, name: str, page: Column | None = None, **fields: Column) -> DataFrame:
+def emit(rows: DataFrame, slot: int, name: str, page: Column | None = None, **fields: Column) -> DataFrame:
+    """One event for every row, in place ``slot`` of its command; fields that are not given are null."""
     filled = {k: F.lit(None).cast(S.EVENT[k].dataType) for k in PAYLOAD}
     filled.update({k: v.cast(S.EVENT[k].dataType) for k, v in fields.items()})
     return rows.select(
@@ -86,7 +87,7 @@ def _emit(rows: DataFrame, slot: int, name: str, page: Column | None = None, **f
 
 def _refresh(rows: DataFrame, slot: int, unread: int = 0, message: int = 0, common: int = 0, **fields) -> DataFrame:
     given = {"title": F.lit(""), "increase_on": F.lit(0), "owner_id": F.lit(0), **fields}
-    return _emit(
+    return emit(
         rows, slot, S.CHAT_VIEW_REFRESHED, F.col("page"), participant_ids=F.col("members"),
         unread_action=F.lit(unread), last_message_action=F.lit(message), chat_common_action=F.lit(common), **given,
     )
@@ -97,32 +98,34 @@ def _with_members(rows: DataFrame, events: DataFrame, page: int) -> DataFrame:
     return rows.join(member_pages(rows, members, page), ["chat_id", "at"])
 
 
+def with_caller() -> Column:
+    """The given users, and the caller if not among them."""
+    listed = F.coalesce("participant_ids", F.array().cast("array<bigint>"))
+    return F.when(F.array_contains(listed, F.col("user_id")), listed).otherwise(F.array_append(listed, F.col("user_id")))
+
+
 def create_chats(rows: DataFrame, events: DataFrame, base: int | DataFrame | None = None) -> DataFrame:
     """New chats with the next ids; the caller joins the list when missing. ``base`` is the last chat id
     used, by default the largest the log ever created."""
     if base is None:
         base = events.where(F.col("name") == S.CHAT_CREATED).agg(F.coalesce(F.max("chat_id"), F.lit(0)).alias("mark"))
     rows = assign_ids(rows.drop("chat_id"), base).withColumnRenamed("new_id", "chat_id")
-    listed = F.coalesce("participant_ids", F.array().cast("array<bigint>"))
-    joined = F.when(F.array_contains(listed, F.col("user_id")), listed).otherwise(
-        F.array_append(listed, F.col("user_id"))
-    )
-    return _emit(rows, 0, S.CHAT_CREATED, title=F.col("title")).unionByName(
-        _emit(rows, 1, S.PARTICIPANTS_ADDED, participant_ids=joined)
+    return emit(rows, 0, S.CHAT_CREATED, title=F.col("title")).unionByName(
+        emit(rows, 1, S.PARTICIPANTS_ADDED, participant_ids=with_caller())
     )
 
 
 def edit_chats(rows: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """New title, new members if any are given, and a refresh for the members before the command."""
     adding = rows.where(F.coalesce(F.size("participant_ids"), F.lit(0)) > 0)
-    return _emit(rows, 0, S.CHAT_EDITED, title=F.col("title")).unionByName(
-        _emit(adding, 1, S.PARTICIPANTS_ADDED, participant_ids=F.col("participant_ids"))
+    return emit(rows, 0, S.CHAT_EDITED, title=F.col("title")).unionByName(
+        emit(adding, 1, S.PARTICIPANTS_ADDED, participant_ids=F.col("participant_ids"))
     ).unionByName(_refresh(_with_members(rows, events, page), 2, common=S.CHAT_COMMON_REFRESH, title=F.col("title")))
 
 
 def delete_chats(rows: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The deletion and the removal of all members."""
-    return _emit(rows, 0, S.CHAT_DELETED).unionByName(_emit(
+    return emit(rows, 0, S.CHAT_DELETED).unionByName(emit(
         _with_members(rows, events, page), 1, S.PARTICIPANT_DELETED, F.col("page"), participant_ids=F.col("members")
     ))
 
@@ -130,14 +133,14 @@ def delete_chats(rows: DataFrame, events: DataFrame, page: int = PAGE) -> DataFr
 def change_participants(rows: DataFrame) -> DataFrame:
     """Adds and removals as they are, unchecked."""
     ids = F.col("participant_ids")
-    return _emit(rows.where(F.col("kind") == "participant_add"), 0, S.PARTICIPANTS_ADDED, participant_ids=ids).unionByName(
-        _emit(rows.where(F.col("kind") == "participant_delete"), 0, S.PARTICIPANT_DELETED, participant_ids=ids)
+    return emit(rows.where(F.col("kind") == "participant_add"), 0, S.PARTICIPANTS_ADDED, participant_ids=ids).unionByName(
+        emit(rows.where(F.col("kind") == "participant_delete"), 0, S.PARTICIPANT_DELETED, participant_ids=ids)
     )
 
 
 def pin_chats(rows: DataFrame) -> DataFrame:
     """The caller's flag; a text that is no boolean means false."""
-    return _emit(rows, 0, S.CHAT_PINNED, participant_id=F.col("user_id"), pinned=to_flag(F.col("pin_text")))
+    return emit(rows, 0, S.CHAT_PINNED, participant_id=F.col("user_id"), pinned=to_flag(F.col("pin_text")))
 
 
 def judge_posts(rows: DataFrame, events: DataFrame) -> DataFrame:
@@ -179,7 +182,7 @@ def judge_changes(rows: DataFrame, events: DataFrame) -> DataFrame:
 def post_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The message, and for all members a counter increase and a refreshed last message."""
     rows = judged.where("reason is null")
-    return _emit(
+    return emit(
         rows, 0, S.MESSAGE_CREATED, message_id=F.col("message_id"), owner_id=F.col("user_id"), content=F.col("content")
     ).unionByName(_refresh(
         _with_members(rows, events, page), 1, unread=S.UNREAD_INCREASE, message=S.LAST_MESSAGE_REFRESH,
@@ -190,7 +193,7 @@ def post_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> Dat
 def edit_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The new content, and a refreshed last message if it is the newest."""
     rows = judged.where("reason is null")
-    return _emit(
+    return emit(
         rows, 0, S.MESSAGE_EDITED, message_id=F.col("message_id"), content=F.col("content")
     ).unionByName(_refresh(
         _with_members(rows.where("newest = message_id"), events, page), 1, message=S.LAST_MESSAGE_REFRESH
@@ -200,7 +203,7 @@ def edit_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> Dat
 def delete_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
     """The deletion, and for all members a recount and a refreshed last message."""
     rows = judged.where("reason is null")
-    return _emit(rows, 0, S.MESSAGE_DELETED, message_id=F.col("message_id")).unionByName(_refresh(
+    return emit(rows, 0, S.MESSAGE_DELETED, message_id=F.col("message_id")).unionByName(_refresh(
         _with_members(rows, events, page), 1, unread=S.UNREAD_REFRESH, message=S.LAST_MESSAGE_REFRESH,
         owner_id=F.col("user_id"),
     ))
@@ -224,7 +227,7 @@ def admit_reads(rows: DataFrame, events: DataFrame) -> DataFrame:
 
 def read_messages(judged: DataFrame) -> DataFrame:
     """Events of the accepted reads."""
-    return _emit(
+    return emit(
         judged.where(F.col("decision") == ACCEPT), 0, S.MESSAGE_READED,
         participant_id=F.col("user_id"), message_id=F.col("clamped"),
     )

@@ -112,15 +112,19 @@ def settle(nodes: DataFrame, lives: DataFrame) -> DataFrame:
     ).where("gone < limit_").select(*NODE, "hot", "gone", "limit_")
     checks = nodes.where(~F.col("fixed")).select(*ROW, "hot", F.col("log_seq").alias("jump"))
     edges = as_of(doomed, checks, ROW, "gone", "jump", ["jump"], reverse=True).where("jump < limit_")
-    edges = cut_lineage(edges.groupBy(*NODE).agg(F.min("jump").alias("jump")))
-    reached = cut_lineage(nodes.where("fixed").select(*NODE))
+    return nodes.join(walk(nodes.where("fixed").select(*NODE), edges.groupBy(*NODE).agg(F.min("jump").alias("jump"))), NODE)
+
+
+def walk(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The nodes that are reached from ``roots`` over ``edges``, at most one from each node to the position ``jump``."""
+    edges, reached = cut_lineage(edges), cut_lineage(roots)
     # Round k adds all nodes up to 2^k jumps away and doubles the length of the jumps.
     while not edges.isEmpty():
         landed = reached.join(edges, NODE).select(*ROW, F.col("jump").alias("log_seq"))
         reached = cut_lineage(reached.union(landed).distinct())
         onward = edges.select(*ROW, F.col("log_seq").alias("jump"), F.col("jump").alias("further"))
         edges = cut_lineage(edges.join(onward, [*ROW, "jump"]).select(*NODE, F.col("further").alias("jump")))
-    return nodes.join(reached, NODE)
+    return reached
 
 
 def marker_history(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:

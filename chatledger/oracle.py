@@ -330,6 +330,89 @@ spoiled AS (
 )"""
 
 
+def _fill(users: str, fallback: str, ids: str = "ids") -> str:
+    """The markers after a fill of ``users``: kept if their message lives, else the fallback; new ones are 0."""
+    one = "list_filter(marks, lambda y: y.u = x)[1].m"
+    return (f"list_concat(list_filter(marks, lambda y: NOT list_contains({users}, y.u)), list_transform({users}, lambda x: "
+            f"{{'u': x, 'm': CASE WHEN {one} > 0 AND NOT list_contains({ids}, {one}) THEN {fallback} "
+            f"ELSE greatest(coalesce({one}, 0), 0) END, 'n': 0}}))")
+
+
+def _counted(marks: str, users: str, ids: str) -> str:
+    """The markers with the counters of ``users`` taken anew."""
+    return (f"list_transform({marks}, lambda z: CASE WHEN list_contains({users}, z.u) THEN {{'u': z.u, 'm': z.m, 'n': "
+            f"len(list_filter({ids}, lambda w: w > z.m))}} ELSE z END)")
+
+
+# All commands as a batch that starts from nothing, taken one after the other in every chat.
+_BULK = """,
+places AS (SELECT chat_id, row_number() OVER (ORDER BY chat_id) AS place FROM (SELECT DISTINCT chat_id FROM acts)),
+batch AS (
+  SELECT place AS cmd_seq, place AS chat, 'create' AS act, (chat_id - 1) // 4 * 5 AS u, CAST(NULL AS BIGINT) AS given,
+         [(chat_id - 1) // 4 * 5, (chat_id - 1) // 4 * 5 + 1] AS listed FROM places
+  UNION ALL
+  SELECT event_id * 4 + (SELECT count(*) + 1 FROM places),
+         CASE WHEN act = 'create' THEN (SELECT count(*) FROM places) + row_number() OVER (PARTITION BY act ORDER BY event_id)
+              ELSE place END,
+         act, user_id,
+         CASE act WHEN 'medit' THEN greatest(0, mx - s % 3) WHEN 'mdel' THEN greatest(0, mx - s % 4)
+                  WHEN 'read' THEN greatest(0, mx - s % 3) + k % 2 END,
+         CASE WHEN act = 'create' THEN CASE WHEN user_id IN (block * 5, block * 5 + 1) THEN [block * 5, block * 5 + 1]
+                                            ELSE [block * 5, block * 5 + 1, user_id] END
+              WHEN act IN ('add', 'leave') OR act = 'edit' AND k % 2 = 0 THEN [user_id] ELSE [] END
+  FROM acts JOIN places USING (chat_id)
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY chat ORDER BY cmd_seq) AS i FROM batch),
+steps AS (
+  SELECT chat, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS cmd_seq, '' AS act, false AS alive, CAST([] AS BIGINT[]) AS members,
+         CAST(0 AS BIGINT) AS cnt, CAST([] AS BIGINT[]) AS ids, CAST([] AS BIGINT[]) AS owners,
+         CAST([] AS STRUCT(u BIGINT, m BIGINT, n BIGINT)[]) AS marks, CAST(NULL AS BIGINT) AS message_id,
+         CAST(NULL AS BIGINT[]) AS told, 0 AS n_events, CAST(NULL AS VARCHAR) AS reason
+  FROM (SELECT DISTINCT chat FROM batch)
+  UNION ALL
+  SELECT chat, i, cmd_seq, act,
+    CASE act WHEN 'create' THEN true WHEN 'cdel' THEN false ELSE alive END,
+    CASE WHEN act = 'cdel' THEN [] WHEN act = 'leave' THEN list_filter(members, lambda x: NOT list_contains(listed, x))
+         WHEN joins THEN list_distinct(list_concat(members, listed)) ELSE members END,
+    CASE WHEN act = 'msg' AND alive THEN cnt + 1 ELSE cnt END,
+    new_ids,
+    CASE WHEN act = 'msg' AND alive THEN list_append(owners, u) ELSE owners END,
+    CASE WHEN joins THEN """ + _counted(_fill("listed", "0"), "listed", "ids") + """
+         WHEN act = 'msg' AND alive THEN list_transform(marks, lambda z: CASE WHEN NOT list_contains(members, z.u) THEN z
+              WHEN z.u = u THEN {'u': z.u, 'm': cnt + 1, 'n': z.n} ELSE {'u': z.u, 'm': z.m, 'n': z.n + 1} END)
+         WHEN act = 'mdel' AND reason IS NULL THEN """ + _counted(
+             _fill("members", "coalesce(list_max(new_ids), 0)", "new_ids"), "members", "new_ids") + """
+         WHEN moves THEN """ + _counted(
+             "list_transform(marks, lambda z: CASE WHEN z.u = u THEN {'u': z.u, 'm': CASE WHEN list_contains(ids, clamped) "
+             "THEN clamped ELSE list_max(ids) END, 'n': z.n} ELSE z END)", "[u]", "ids") + """
+         ELSE marks END,
+    CASE WHEN act = 'msg' AND alive THEN cnt + 1 WHEN act IN ('medit', 'mdel') AND reason IS NULL THEN given
+         WHEN moves THEN clamped END,
+    CASE WHEN act IN ('edit', 'cdel') OR act = 'msg' AND alive OR act = 'mdel' AND reason IS NULL
+              OR act = 'medit' AND reason IS NULL AND given = list_max(ids) THEN members END,
+    CASE WHEN reason IS NOT NULL THEN 0 WHEN act = 'edit' THEN 2 + len(listed) WHEN act IN ('create', 'cdel', 'msg', 'mdel') THEN 2
+         WHEN act = 'medit' THEN CASE WHEN given = list_max(ids) THEN 2 ELSE 1 END
+         WHEN act = 'read' THEN CASE WHEN moves THEN 1 ELSE 0 END ELSE 1 END,
+    reason
+  FROM (
+    SELECT s.* EXCLUDE (i, cmd_seq, act, reason), r.i, r.cmd_seq, r.act, r.u, r.given, r.listed,
+      r.act = 'create' OR r.act IN ('add', 'edit') AND s.alive AND len(r.listed) > 0 AS joins,
+      least(r.given, list_max(s.ids)) AS clamped,
+      CASE WHEN r.act = 'msg' AND NOT s.alive THEN 'no such chat'
+           WHEN r.act IN ('medit', 'mdel') AND NOT list_contains(s.ids, r.given) THEN 'no such message'
+           WHEN r.act IN ('medit', 'mdel') AND s.owners[r.given] <> r.u THEN 'not the owner'
+           WHEN r.act = 'read' AND (len(s.ids) = 0 OR len(list_filter(s.marks, lambda z: z.u = r.u)) = 0) THEN 'no read state'
+      END AS reason,
+      CASE WHEN r.act = 'msg' AND s.alive THEN list_append(s.ids, s.cnt + 1)
+           WHEN r.act = 'mdel' AND list_contains(s.ids, r.given) AND s.owners[r.given] = r.u
+           THEN list_filter(s.ids, lambda x: x <> r.given) ELSE s.ids END AS new_ids,
+      coalesce(r.act = 'read' AND len(s.ids) > 0 AND len(list_filter(s.marks, lambda z: z.u = r.u AND CASE
+        WHEN list_contains(s.ids, z.m) THEN least(r.given, list_max(s.ids)) > z.m ELSE z.m = 0 END)) > 0, false) AS moves
+    FROM steps s JOIN ranked r ON r.chat = s.chat AND r.i = s.i + 1
+  )
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL per registered query."""
     log = _LOG
@@ -540,6 +623,18 @@ def oracle_sql() -> dict[str, str]:
                         THEN CASE WHEN least(given, newest) > marker THEN 'accept' ELSE 'ignore' END
                    WHEN marker = 0 THEN 'accept' ELSE 'ignore' END AS decision
             FROM judged j"""),
+        "bulk_load": _sql(_SOURCE + _BULK, """
+            SELECT s.cmd_seq, CASE s.act WHEN 'msg' THEN 'message_create' WHEN 'medit' THEN 'message_edit'
+                WHEN 'mdel' THEN 'message_delete' WHEN 'read' THEN 'message_read' WHEN 'pin' THEN 'chat_pin'
+                WHEN 'add' THEN 'participant_add' WHEN 'leave' THEN 'participant_delete' WHEN 'edit' THEN 'chat_edit'
+                WHEN 'create' THEN 'chat_create' ELSE 'chat_delete' END AS kind,
+              CASE WHEN n_events > 0 THEN chat END AS chat_id, message_id,
+              array_to_string(list_sort(told), ',') AS users, CAST(n_events AS BIGINT) AS n_events,
+              CASE WHEN reason IS NOT NULL THEN 'reject' WHEN n_events = 0 THEN 'ignore' ELSE 'accept' END AS decision, reason
+            FROM steps s WHERE i > 0"""),
+        "bulk_replay": _sql(_SOURCE + _BULK, """
+            SELECT z.u AS user_id, chat AS chat_id, z.n AS unread_messages, z.m AS last_message_id
+            FROM (SELECT chat, unnest(marks) AS z FROM steps QUALIFY row_number() OVER (PARTITION BY chat ORDER BY i DESC) = 1)"""),
         "participants_asof": _sql(log + _MEMBER_LIFE, """
             SELECT l.log_seq, l.chat_id, m.user_id FROM log l JOIN member_life m
               ON m.chat_id = l.chat_id AND m.from_seq <= l.log_seq AND l.log_seq < m.to_seq

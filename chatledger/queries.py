@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from chatledger import schemas as S
 from chatledger.functions.text import joined_ids
+from chatledger.operators import bulk as B
 from chatledger.operators import commands as C
 from chatledger.operators import events as E
 from chatledger.operators import history as H
@@ -20,7 +21,7 @@ from chatledger.operators import reads as R
 from chatledger.operators import unread as U
 from chatledger.plans.materialize import cut_lineage, scratch_path
 from chatledger.plans.ordered import numbered
-from chatledger.plans.skew import hot_rows, inherit_hot, span_width
+from chatledger.plans.skew import flag_hot, hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
 from chatledger.sources.tables import store_records
@@ -457,6 +458,44 @@ def read_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("cmd_seq", "user_id", "chat_id", F.col("message_id").alias("given"), "clamped", "decision")
 
 
+def _batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commands as a batch that starts from nothing: a create for every chat they name, in order of the chats, and
+    then the commands with the chats' new ids."""
+    acts = store(spark, sf_dir).acts
+    chats = cut_lineage(numbered(acts.select("chat_id").distinct(), [], [F.col("chat_id")], "place"))
+    block = F.expr("(chat_id - 1) div 4 * 5")
+    begun = chats.select(
+        F.col("place").alias("cmd_seq"), F.lit("chat_create").alias("kind"), block.cast("string").alias("user_text"),
+        F.concat(F.lit("chat "), F.col("place").cast("string")).alias("title"),
+        F.array(block, block + 1).alias("participant_ids"), F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("created_at"))
+    places = chats.select(F.col("chat_id").cast("string").alias("chat_text"), F.col("place").cast("string").alias("new_text"))
+    rest = commands(acts).join(places, "chat_text", "left").withColumns({
+        "chat_text": F.col("new_text"), "cmd_seq": F.col("cmd_seq") + chats.agg(F.count(F.lit(1)) + 1).scalar()}).drop("new_text")
+    return cut_lineage(rest.unionByName(begun, allowMissingColumns=True))
+
+
+def bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every command of a batch that builds on itself does: decision, message id, and the members it addresses."""
+    batch = _batch(spark, sf_dir)
+    expanded, refused = B.expand_batch(batch)
+    listed = F.col("name").isin(S.CHAT_VIEW_REFRESHED, S.PARTICIPANT_DELETED) & (F.col("slot") > 0)
+    done = expanded.groupBy("cmd_seq").agg(
+        F.max("chat_id").alias("chat_id"), F.max(F.when(F.col("slot") == 0, F.col("message_id"))).alias("message_id"),
+        F.max(F.when(listed, joined_ids(F.col("participant_ids")))).alias("users"), F.count(F.lit(1)).alias("n_events"))
+    decision = F.when(F.col("reason").isNotNull(), "reject").when(F.col("n_events").isNull(), C.IGNORE).otherwise(C.ACCEPT)
+    return batch.select("cmd_seq", "kind").join(done, "cmd_seq", "left").join(refused.drop("kind"), "cmd_seq", "left").select(
+        "cmd_seq", "kind", "chat_id", "message_id", "users", F.coalesce("n_events", F.lit(0)).alias("n_events"),
+        decision.alias("decision"), "reason")
+
+
+def bulk_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters and markers after the batch's events have been numbered, appended to an empty log, and replayed."""
+    none = spark.createDataFrame([], S.EVENT)
+    events = C.number_events(B.expand_batch(_batch(spark, sf_dir))[0], none)
+    log = flag_hot(cut_lineage(L.append_log(events, PARTITIONS, partitioner=L.remainder_partition).select(*S.EVENT_COLUMNS)))
+    return U.unread(log).select("user_id", "chat_id", "unread_messages", "last_message_id")
+
+
 def participants_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of the chat as every view refresh found them."""
     events = _events(spark, sf_dir)
@@ -552,7 +591,7 @@ REGISTERED: dict[str, Query] = {f.__name__: f for f in (
     chats_for_user, chat_list_all, messages_of_chat, participants_of_chat, participants_all, chat_title_for_user,
     message_owner, read_state, last_message_id, chat_ids,
     cmd_chat_create, cmd_chat_edit, cmd_chat_delete, cmd_participants, cmd_chat_pin,
-    cmd_message_create, cmd_message_edit, cmd_message_delete, cmd_rejects, read_admission, participants_asof,
+    cmd_message_create, cmd_message_edit, cmd_message_delete, cmd_rejects, read_admission, bulk_load, bulk_replay, participants_asof,
     assign_chat_ids, assign_message_ids, chat_id_high_water, message_id_high_water,
     consumer_lag, is_caught_up, replay_incremental,
 )} | {"replay_full": replay_full_tables} | {
