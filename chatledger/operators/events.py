@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
-from chatledger.functions.event_json import OWN_FIELDS, decode_value, is_event, strict_json, utc_clock
+from chatledger.functions.event_json import OWN_FIELDS, decode_value, is_event, is_plain, strict_json, utc_clock
 from chatledger.operators.history import message_lives, newest_at
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.ordered import following, previous, running, total
@@ -30,8 +30,9 @@ def decode(records: DataFrame, partitions: int | None = None) -> DataFrame:
     lists = F.col("name").isin(*[name for name, fields in OWN_FIELDS.items() if "participantIds" in fields])
     number = lambda field, kind="bigint": own(field, 0).cast(kind)
     # The partition id keeps filters above the parsing, which they would repeat for every field they ask for.
-    whole = F.when(F.spark_partition_id() >= 0, strict_json("value"))
-    parsed = parsed.withColumn("v_", whole).withColumn("broken", ~is_event("v_", "name", "e_"))
+    parsed = parsed.withColumn("plain_", is_plain("value", "e_") & (F.spark_partition_id() >= 0))
+    parsed = parsed.withColumn("v_", F.when(~F.col("plain_"), strict_json("value")))
+    parsed = parsed.withColumn("broken", ~is_event(F.col("plain_"), "v_", "name", "e_"))
     decoded = parsed.select(
         log_position(partitions=partitions).alias("log_seq"), "partition", "offset",
         F.coalesce(e("chatId"), F.when(F.col("e_").isNotNull(), F.lit(0))).cast("bigint").alias("chat_id"), "name",

@@ -43,14 +43,15 @@ RECORD = T.StructType([
     T.StructField("value", T.StringType()),
 ])
 
-# The union of the fields of all events, as they are spelled in JSON.
-EVENT_JSON = """
-    additionalData struct<createdAt: string>, chatId bigint, title string,
-    participantIds array<bigint>, participantId bigint, pinned boolean,
-    id bigint, messageId bigint, ownerId bigint, content string,
-    unreadMessagesAction smallint, lastMessageAction smallint, chatCommonAction smallint,
-    increaseOn bigint, broken string
-"""
+# The own fields of all events, as they are spelled in JSON.
+EVENT_FIELDS = {
+    "chatId": "bigint", "title": "string", "participantIds": "array<bigint>", "participantId": "bigint",
+    "pinned": "boolean", "id": "bigint", "messageId": "bigint", "ownerId": "bigint", "content": "string",
+    "unreadMessagesAction": "smallint", "lastMessageAction": "smallint", "chatCommonAction": "smallint",
+    "increaseOn": "bigint",
+}
+EVENT_JSON = ", ".join([
+    "additionalData struct<createdAt: string>", *[f"{name} {kind}" for name, kind in EVENT_FIELDS.items()], "broken string"])
 
 # The decoded ("silver") log: one wide row per event.
 EVENT = T.StructType([

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
-from chatledger.functions.event_json import strict_json
+from chatledger.functions.event_json import strict_box, strict_json
 from chatledger.plans.ordered import numbered, running, total
 
 KAFKA_HEADERS = "array<struct<key: string, value: binary>>"
@@ -156,13 +156,13 @@ def validate_lines(lines: DataFrame) -> DataFrame:
 
     The checks run in a fixed order; the first that fails names the reason.
     """
-    parsed = lines.withColumn("doc_", strict_json("value"))
-    headers = F.expr("try_variant_get(doc_, '$.headers', 'map<string, variant>')")
+    parsed = lines.withColumn("doc_", strict_box("value"))
+    headers = F.expr("try_variant_get(doc_, '$[0].headers', 'map<string, variant>')")
     parsed = parsed.withColumn("headers_", headers)
     is_text = lambda v: F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
-    key = F.expr("try_variant_get(doc_, '$.key', 'variant')")
-    partition = F.expr("try_variant_get(doc_, '$.metadata.partition', 'variant')")
-    number = F.expr("try_variant_get(doc_, '$.metadata.partition', 'string')")
+    key = F.expr("try_variant_get(doc_, '$[0].key', 'variant')")
+    partition = F.expr("try_variant_get(doc_, '$[0].metadata.partition', 'variant')")
+    number = F.expr("try_variant_get(doc_, '$[0].metadata.partition', 'string')")
     bad_header = F.exists(F.map_values("headers_"), lambda v: ~is_text(v))
     integer = F.coalesce(F.schema_of_variant(partition) == "BIGINT", F.lit(False)) & number.try_cast("int").isNotNull()
     reason = (
@@ -175,10 +175,10 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         *lines.columns,
         reason.isNull().alias("ok"), reason.alias("reason"),
         number.try_cast("int").alias("partition_"),
-        F.expr("try_variant_get(doc_, '$.metadata.offset', 'bigint')").alias("offset_"),
-        F.expr("try_variant_get(doc_, '$.key', 'string')").alias("key_"),
+        F.expr("try_variant_get(doc_, '$[0].metadata.offset', 'bigint')").alias("offset_"),
+        F.expr("try_variant_get(doc_, '$[0].key', 'string')").alias("key_"),
         F.transform_values("headers_", lambda _, v: F.try_variant_get(v, "$", "string")).alias("headers_"),
-        F.expr("to_json(try_variant_get(doc_, '$.value', 'variant'))").alias("value_"),
+        F.expr("to_json(try_variant_get(doc_, '$[0].value', 'variant'))").alias("value_"),
     )
 
 
