@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from chatledger.llm import language, pii, quality
-from chatledger.llm.boosting import boost
+from chatledger.llm.boosting import Boosted, boost
 
 
 def test_languages(spark):
@@ -213,3 +215,30 @@ def test_boosting():
     model = boost(x[:1500], y[:1500])
     assert (((model.chance(x[1500:]) > 0.5) == y[1500:]).mean()) > 0.95
     assert boost(x[:0], y[:0]).chance(x[:3]).tolist() == [0.5] * 3
+
+
+@pytest.mark.parametrize("text", [
+    "aB3/x9kQ+" * 110_000, "1" * 1_000_000, "a@" * 50_000, "x[at]" * 100_000, "a.b-" * 250_000, "1." * 100_000,
+    "jo@ex.org 10.0.0.256 call (336) 555-3810 " * 5_000,
+])
+def test_long_texts_without_blanks(text):
+    """The work follows the length: quadratic patterns would take hours."""
+    model = pii.Model(Boosted(0.0, []), dict.fromkeys(pii.KINDS, 2.0))
+    start = time.time()
+    found, every = pii.spans(text, model)
+    pii.known(text, ("email", 0, 9), pii.Taken(found))
+    assert time.time() - start < 20 and set(found) <= set(every)
+
+
+def test_addresses_as_the_plain_patterns_say():
+    draw = random.Random(3)
+    parts = [*"ab@.[](-) 12_+,", "[at]", "(AT)", " (dot) ", "@x.org", "foo"]
+    plain = [re.compile(r"[^\s@]+@[^\s@]+"), re.compile(
+        r"[\w.+-]+ ?[\[(]at[\])] ?[\w-]+(?: ?(?:[\[(]dot[\])]|\.) ?[\w-]+)+", re.I)]
+    for _ in range(4000):
+        text = "".join(draw.choice(parts) for _ in range(draw.randint(1, 30)))
+        want = [("email", *m.span()) for p in plain for m in p.finditer(text)]
+        assert sorted(pii.addresses(text)) == sorted(want), text
+        spans = [("ip", i, i + draw.randint(1, 5)) for i in sorted(draw.sample(range(60), 8))]
+        taken, probe = pii.Taken(spans), sorted(draw.sample(range(70), 2))
+        assert taken.meets(*probe) == any(probe[0] < e and s < probe[1] for _, s, e in spans)
