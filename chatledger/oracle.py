@@ -522,6 +522,7 @@ def oracle_sql() -> dict[str, str]:
                AND m.message_id > u.last_message_id) AS n
             FROM unread u"""),
         "unread_view": _sql(log + _UNREAD, "SELECT user_id, chat_id, unread_messages, last_message_id FROM unread"),
+        "refresh_batches": _sql(log + _UNREAD, "SELECT user_id, chat_id, unread_messages, last_message_id FROM unread"),
         "chats_for_user": _sql(log + _LIST, """
             SELECT * FROM chat_list WHERE user_id = (SELECT min(user_id) FROM user_view)"""),
         "chat_list_all": _sql(log + _LIST, "SELECT * FROM chat_list"),

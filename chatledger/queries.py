@@ -25,7 +25,7 @@ from chatledger.plans.skew import flag_hot, hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
 from chatledger.sources.tables import store_records
-from chatledger.streaming.refresh import read_table, refresh_available
+from chatledger.streaming.refresh import apply_batch, read_table, refresh_available
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored, summary
 
 
@@ -562,6 +562,18 @@ def replay_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(stored(replay_full(s.events)), fresh)
 
 
+def refresh_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters and markers after four batches, each of which brings some records of the batches before once more."""
+    s = store(spark, sf_dir)
+    root = scratch_path(spark, "batches")
+    quarter = s.events.agg(F.expr("max(log_seq) div 4 + 1").alias("quarter")).scalar()
+    for number in range(4):
+        part = L.log_position()
+        again = (part < quarter * number) & (part % 10 == number)
+        apply_batch(s.records.where((F.floor(part / quarter) == number) | again), number, root, buckets=8)
+    return read_table(spark, root, "unread_messages_user_view")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -593,7 +605,7 @@ REGISTERED: dict[str, Query] = {f.__name__: f for f in (
     cmd_chat_create, cmd_chat_edit, cmd_chat_delete, cmd_participants, cmd_chat_pin,
     cmd_message_create, cmd_message_edit, cmd_message_delete, cmd_rejects, read_admission, bulk_load, bulk_replay, participants_asof,
     assign_chat_ids, assign_message_ids, chat_id_high_water, message_id_high_water,
-    consumer_lag, is_caught_up, replay_incremental,
+    consumer_lag, is_caught_up, replay_incremental, refresh_batches,
 )} | {"replay_full": replay_full_tables} | {
     f"{q.__name__}_hot": _forced_hot(q) for q in (unread_view, chat_user_view, cmd_message_delete)
 }

@@ -2,17 +2,17 @@
 
 The result of every batch equals a full replay of what has arrived. State lives in files of the shared folder:
 
-* ``log/batch=…/bucket=…``: decoded events as they arrived
+* ``log/batch=…/bucket=…``: decoded events as they arrived, each record once
 * ``dead/batch=…``: records that cannot be applied, with the reason
-* ``<table>/version=…/bucket=…``: the derived tables; a batch writes new versions of the buckets it touches
+* ``applied/version=…``: the offsets that have been applied, as intervals per partition
+* ``<table>/version=…/bucket=…``: the derived tables (see ``sources.versions``)
 
-A batch writes only folders of its own number, so running it again after a failure replaces its output, and
-readers see the last version of every bucket that a finished batch left.
+A batch writes only folders of its own number, so running it again after a failure replaces its output, and readers see
+what the last finished batch left.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,8 @@ from chatledger.operators.events import read_events
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.log import dedup, scan_log
+from chatledger.sources.offsets import merge_offsets, without_applied
+from chatledger.sources.versions import Versions
 from chatledger.streaming.replay import TABLES, replay_full
 
 BUCKETS = 256
@@ -37,39 +39,39 @@ def _chat_column(table: str) -> str:
     return "id" if table in ("chat_common", "chat_user_view") else "chat_id"
 
 
+def tables_at(spark: SparkSession, root: str) -> Versions:
+    """The versioned tables below ``root``."""
+    return Versions(spark, root, {name: _chat_column(name) for name in TABLES})
+
+
 def apply_batch(
     batch: DataFrame, batch_id: int, root: str, buckets: int = BUCKETS, partitions: int | None = None
 ) -> None:
     """Store a batch of raw records and bring the tables of the chats in it up to date. ``partitions`` is
-    the partition count of a log whose producers stamp no position."""
-    spark = batch.sparkSession
-    known, dead = read_events(batch, partitions)
+    the partition count of a log whose producers stamp no position. Records that an earlier batch applied are left out
+    by their offsets, without a look at what was stored."""
+    spark, versions = batch.sparkSession, tables_at(batch.sparkSession, root)
+    before = versions.applied(batch_id - 1)
+    fresh = cut_lineage(without_applied(dedup(batch), before))
+    known, dead = read_events(fresh, partitions)
     stored = f"{root}/log/batch={batch_id}"
     known.withColumn("bucket", bucket_of(F.col("chat_id"), buckets)).write.mode("overwrite").partitionBy(
         "bucket"
     ).parquet(stored)
     dead.write.mode("overwrite").parquet(f"{root}/dead/batch={batch_id}")
+    merge_offsets(before, fresh).write.mode("overwrite").parquet(f"{root}/applied/version={batch_id}")
 
     log = read_log(spark, root)
     chats = cut_lineage(log.where(F.col("batch") == batch_id).select("chat_id", "bucket").distinct())
     # At most one row per bucket comes to the driver.
     touched = [row.bucket for row in chats.select("bucket").distinct().collect()]
+    tables = {}
     if touched:
-        chats = chats.select("chat_id")
-        log = log.where(F.col("batch") <= batch_id).where(F.col("bucket").isin(touched)).join(chats, "chat_id", "left_semi")
-        marks = spark.createDataFrame([(b,) for b in touched], "bucket int")
-        for name, fresh in replay_full(flag_hot(dedup(log.select(*S.EVENT_COLUMNS)))).items():
-            chat = _chat_column(name)
-            rows = fresh.withColumn("bucket", bucket_of(F.col(chat), buckets))
-            old = _versions(spark, root, name, batch_id - 1)
-            if old is not None:
-                old = old.where(F.col("bucket").isin(touched)).where(F.col(chat).isNotNull())
-                rows = rows.unionByName(old.join(chats.select(F.col("chat_id").alias(chat)), chat, "left_anti"))
-            # A row without a key marks every touched bucket, so a bucket that became empty is replaced too.
-            rows.unionByName(marks, allowMissingColumns=True).write.mode("overwrite").partitionBy("bucket").parquet(
-                f"{root}/{name}/version={batch_id}"
-            )
-    spark.createDataFrame([(batch_id,)], "batch bigint").write.mode("overwrite").parquet(f"{root}/done/part={batch_id}")
+        log = log.where(F.col("batch") <= batch_id).where(F.col("bucket").isin(touched)).join(
+            chats.select("chat_id"), "chat_id", "left_semi")
+        tables = replay_full(flag_hot(log.select(*S.EVENT_COLUMNS)))
+    versions.commit(batch_id, chats, {
+        name: rows.withColumn("bucket", bucket_of(F.col(_chat_column(name)), buckets)) for name, rows in tables.items()})
 
 
 def read_log(spark: SparkSession, root: str) -> DataFrame:
@@ -78,39 +80,19 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(layout).parquet(f"{root}/log")
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    """A folder that may not have been written yet."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-
-
-def _finished(spark: SparkSession, root: str) -> int:
-    """The last batch that was written completely, -1 before the first."""
-    done = _read(spark, f"{root}/done")
-    return -1 if done is None else done.agg(F.max("batch")).first()[0]
-
-
-def _versions(spark: SparkSession, root: str, name: str, upto: int) -> DataFrame | None:
-    """The rows of a table in the latest version of every bucket, as left by batch ``upto``."""
-    rows = _read(spark, f"{root}/{name}")
-    if rows is None:
-        return None
-    rows = rows.where(F.col("version") <= upto)
-    latest = rows.groupBy("bucket").agg(F.max("version").alias("version"))
-    return rows.join(F.broadcast(latest), ["bucket", "version"]).drop("version")  # one row per bucket
-
-
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A derived table as of the last finished batch."""
-    rows = _versions(spark, root, name, _finished(spark, root))
+def read_table(spark: SparkSession, root: str, name: str, version: int | None = None) -> DataFrame:
+    """A derived table as of the last finished batch, or as of an earlier one that is still kept."""
+    rows = tables_at(spark, root).read(name, version)
     if rows is None:  # no batch has left a table yet
         none = spark.createDataFrame([], S.EVENT).withColumn("hot", F.lit(False))
         return replay_full(none)[name].limit(0)
-    return rows.where(F.col(TABLES[name][0]).isNotNull()).drop("bucket")
+    return rows
+
+
+def reset(spark: SparkSession, root: str) -> None:
+    """Forget everything below ``root``: tables, stored log and the stream's progress. The next refresh starts from the
+    oldest record. No refresh may be running."""
+    tables_at(spark, root).remove("")
 
 
 def start_refresh(

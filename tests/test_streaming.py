@@ -7,7 +7,7 @@ from chatledger.operators.events import decode, split_known
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.chat_activity import as_records
 from chatledger.sources.log import append_log, dedup
-from chatledger.streaming.refresh import apply_batch, read_table, refresh_available
+from chatledger.streaming.refresh import apply_batch, read_log, read_table, refresh_available, reset
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored
 from tests.fold import event, frame
 from tests.test_random_logs import random_log
@@ -52,3 +52,9 @@ def test_refresh_equals_replay(spark, tmp_path):
     # The second batch again, as after a failure: nothing changes.
     apply_batch(second, 1, root, buckets=5)
     assert differences(spark, root, records) == SAME
+    # No record is stored twice, and the version before is still there.
+    assert read_log(spark, root).count() == records.count() - 1
+    assert read_table(spark, root, "message", 0).count() == replay_full(
+        flag_hot(split_known(decode(dedup(first)))[0]))["message"].count()
+    reset(spark, root)
+    assert read_table(spark, root, "message").isEmpty()
