@@ -40,6 +40,7 @@ def test_refresh_equals_replay(spark, tmp_path):
     first.write.parquet(source)
     refresh_available(spark, source, root, buckets=5)
     assert differences(spark, root, first) == SAME
+    early_messages = read_table(spark, root, "message").count()
 
     # The second part brings some records of the first once more.
     second = placed.where("log_seq >= 120 or log_seq % 10 = 0").select(*records.columns)
@@ -54,7 +55,6 @@ def test_refresh_equals_replay(spark, tmp_path):
     assert differences(spark, root, records) == SAME
     # No record is stored twice, and the version before is still there.
     assert read_log(spark, root).count() == records.count() - 1
-    assert read_table(spark, root, "message", 0).count() == replay_full(
-        flag_hot(split_known(decode(dedup(first)))[0]))["message"].count()
+    assert read_table(spark, root, "message", 0).count() == early_messages
     reset(spark, root)
     assert read_table(spark, root, "message").isEmpty()
