@@ -14,7 +14,7 @@ from chatledger.plans.materialize import cut_lineage, scratch_path
 #: Word separators: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
 
-__all__ = ["SPACES", "cut_lineage", "flat_text", "odd_bytes", "slices", "stored", "table", "words"]
+__all__ = ["SPACES", "cut_lineage", "flat_text", "free_name", "odd_bytes", "row_key", "slices", "stored", "table", "words"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,21 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called so (letters of either case are the same)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_key(rows: DataFrame) -> Column:
+    """128 bits that tell rows apart: two hashes of all columns, maps by their sorted entries."""
+    parts = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
+             for f in rows.schema.fields]
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
+
+
 def words(text: str | Column) -> Column:
     """The words of a text as an array; a null text has none."""
     text = F.col(text) if isinstance(text, str) else text

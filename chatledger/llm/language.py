@@ -15,7 +15,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,8 +130,7 @@ def train(documents: DataFrame) -> Model:
     return Model(names, code, weights, expected / expected.mean(1, keepdims=True))
 
 
-def _predicted(batch: pa.RecordBatch, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
-    texts = batch.column("text")
+def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     rows = len(texts)
     languages, scores, close = [UNKNOWN] * rows, np.zeros(rows), np.zeros(rows, bool)
     letters = [t is not None and any(map(str.isalpha, t)) for t in texts.to_pylist()]
@@ -164,7 +162,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     """
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores, close = _predicted(batch, model)
+            languages, scores, close = _predicted(batch.column("text"), model)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(languages, pa.string()),
                  pa.array(scores), pa.array(close)],
@@ -177,11 +175,10 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 def reject(documents: DataFrame, model: Model, *, least: float = 0.5) -> DataFrame:
     """The documents whose language is known, with all their columns: neither ``und`` nor ambiguous with a score
-    under ``least``."""
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            languages, scores, close = _predicted(batch, model)
-            known = [x != UNKNOWN and not (c and s < least) for x, s, c in zip(languages, scores, close, strict=True)]
-            yield pa.RecordBatch.from_struct_array(pc.filter(batch.to_struct_array(), pa.array(known, pa.bool_())))
+    under ``least``. Only texts go through Python, and only verdicts come back. An empty table gives an empty one."""
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        languages, scores, close = _predicted(texts, model)
+        return pa.array([x != UNKNOWN and not (c and s < least) for x, s, c in zip(languages, scores, close, strict=True)])
 
-    return documents.mapInArrow(keep, documents.schema)
+    return documents.where(known("text"))

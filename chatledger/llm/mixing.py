@@ -16,7 +16,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatledger.llm.common import cut_lineage, words
+from chatledger.llm.common import cut_lineage, free_name, row_key, words
 
 #: The levels of the tree, from the root's children to the leaves.
 LEVELS = ("domain", "language", "source")
@@ -27,15 +27,15 @@ OTHER = 1
 PER_DOMAIN = 5
 
 
-def place(documents: DataFrame) -> DataFrame:
+def place(documents: DataFrame, row: str | None = None) -> DataFrame:
     """Each document's place in the tree and its tokens (words). Null languages and sources are children named '';
-    sources without a number at their end are in domain ''. A column ``row_`` is kept."""
+    sources without a number at their end are in domain ''. The column ``row`` is kept."""
     number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]{1,9})$", 1)
     domain = F.when(number == "", "").otherwise(
         F.concat(F.lit("d"), F.floor(F.try_divide(number.try_cast("bigint"), F.lit(PER_DOMAIN))).cast("string")))
     return documents.select(
-        "doc_id", *["row_"] * ("row_" in documents.columns), domain.alias("domain"), F.coalesce("lang", F.lit("")).alias("language"),
-        F.coalesce("source", F.lit("")).alias("source"), F.size(words("text")).cast("long").alias("tokens"))
+        "doc_id", *[row] * (row is not None), domain.alias("domain"),
+        F.coalesce("lang", F.lit("")).alias("language"), F.coalesce("source", F.lit("")).alias("source"), F.size(words("text")).cast("long").alias("tokens"))
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -74,7 +74,7 @@ def budget(leaves: DataFrame, tokens: int, most_epochs: int, weights: Mapping[st
 
 def mix(
     documents: DataFrame, *, share: int = 80, most_epochs: int = 4, seed: int = 1,
-    weights: Mapping[str, Mapping[str, int]] = WEIGHTS, digits: int = 3,
+    weights: Mapping[str, Mapping[str, int]] = WEIGHTS, digits: int = 3, row: str | None = None,
 ) -> DataFrame:
     """``copies`` of every document in a mix of ``share`` percent of all tokens.
 
@@ -82,9 +82,10 @@ def mix(
     and cut after the last document that still fits. The order is summed in two steps, per range of the hash's first
     ``digits`` digits and within a range, so no task orders a whole leaf. Repeated rows count each for itself,
     ordered among themselves by size; documents without words take no tokens and ride along with each pass.
-    An empty table gives an empty result; columns other than doc_id, text, lang and source are not read.
+    An empty table gives an empty result; columns other than doc_id, text, lang and source are not read, but for ``row``,
+    which names one that tells rows with equal doc_ids apart and is handed on.
     """
-    docs = cut_lineage(place(documents))
+    docs = cut_lineage(place(documents, row))
     leaves = docs.groupBy(*LEVELS).agg(F.sum("tokens").alias("size"))
     total = docs.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     targets = budget(leaves, total * share // 100, most_epochs, weights).select(
@@ -96,27 +97,30 @@ def mix(
     ranges = keyed.groupBy(*LEVELS, "range").agg(F.sum("tokens").alias("n"))
     before = Window.partitionBy(*LEVELS).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select(*LEVELS, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    row = ["row_"] * ("row_" in docs.columns)
-    within = Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens", *row).rowsBetween(
+    own = [row] * (row is not None)
+    within = Window.partitionBy(*LEVELS, "range").orderBy("key", "tokens", *own).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     ended = keyed.join(starts, [*LEVELS, "range"]).withColumn("end", F.col("start") + F.sum("tokens").over(within))
     return ended.select(
-        "doc_id", *row, *LEVELS, "tokens", "target",
+        "doc_id", *own, *LEVELS, "tokens", "target",
         (F.col("passes") + F.when(F.col("end") <= F.col("left_over"), 1).otherwise(0)).alias("copies"))
 
 
 def repeat(documents: DataFrame, **settings: object) -> DataFrame:
     """The mix itself: every document as often as ``mix`` says, with all columns of ``documents``.
 
-    Rows are told apart by a hash of all columns, so null and reused doc_ids are no matter; of equal rows one is given
-    as often as all of them together.
+    Rows are told apart by 128 bits over all columns, so null and reused doc_ids are no matter; of equal rows one is
+    given as often as all of them together. Columns may have any names.
     """
     columns = documents.columns
-    keyed = documents.withColumn("row_", F.xxhash64(*columns))
-    per_row = mix(keyed, **settings).groupBy(F.col("row_").alias("id_")).agg(F.sum("copies").cast("int").alias("n_"))
-    picked = keyed.join(per_row.where("n_ > 0"), F.col("row_") == F.col("id_")).withColumn(
-        "r_", F.row_number().over(Window.partitionBy("row_").orderBy("id_"))).where("r_ = 1")
-    return picked.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("n_"))).alias("copy_")).select(*columns)
+    row, wanted, place_, copy = (free_name(columns, c) for c in ("row_", "id_", "place_", "copy_"))
+    count = free_name(columns, "n_")
+    keyed = documents.withColumn(row, row_key(documents))
+    per_row = mix(keyed, row=row, **settings).groupBy(F.col(row).alias(wanted)).agg(
+        F.sum("copies").cast("int").alias(count))
+    picked = keyed.join(per_row.where(F.col(count) > 0), F.col(row) == F.col(wanted)).withColumn(
+        place_, F.row_number().over(Window.partitionBy(row).orderBy(wanted))).where(F.col(place_) == 1)
+    return picked.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col(count))).alias(copy)).select(*columns)
 
 
 def oracle(share: int = 80, most_epochs: int = 4, seed: int = 1) -> str:

@@ -13,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from chatledger.llm import chat, mixing, neighbours, packing
+from chatledger.llm import chat, language, mixing, neighbours, packing, pii
 from chatledger.llm.queries import ORACLE, REGISTERED
 from chatledger.llm.tokens import Encoder
 from tests.compare import connect, mismatch
@@ -277,3 +277,46 @@ def test_mixing_repeats_rows_without_id(spark):
     copies = mixing.mix(docs).agg({"copies": "sum"}).first()[0]
     got = mixing.repeat(docs).collect()
     assert 0 < copies < 120 and len(got) == copies
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Input columns called like the stages' own, and maps, come out unchanged; rows that differ in a map alone differ."""
+    schema = ("doc_id long, text string, lang string, source string, row_ long, place_ string, id_ string, n_ int, "
+              "copy_ int, tags map<string,int>")
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a"), "en", "src1", 7, "p", "i", 3, 4, {"x": 1, "y": 2}),
+            (1, text("a"), "en", "src1", 7, "p", "i", 3, 4, {"y": 2, "x": 1}),
+            (2, text("b"), "en", "src1", 8, "q", "j", 5, 6, {"x": 1}), (3, text("c"), "de", "src2", 9, "r", "k", 7, 8, None)]
+    docs = spark.createDataFrame(rows, schema)
+    seen = lambda frame: sorted((r.doc_id, r.text, r.row_, r.place_, r.id_, r.n_, r.copy_) for r in frame.collect())
+    wanted = [(r[0], r[1], *r[4:9]) for r in rows[1:]]
+    one = corpus_pipeline.one_of_each(spark, docs, "")
+    assert one.columns == docs.columns and seen(one) == wanted
+    mixed = mixing.repeat(docs, share=100)
+    assert mixed.columns == docs.columns and set(seen(mixed)) <= set(wanted) and mixed.count() > 0
+
+
+def test_reject_and_redact_brute_force(spark, documents):
+    """The two filtering stages, row by row: what is left out, and what a text becomes."""
+    model = language.train(documents)
+    texts = documents.select("doc_id", "text").where("doc_id is not null").distinct()
+    said = {r.text: (r.lang_pred, r.score, r.ambiguous)
+            for r in language.identify(texts, model).join(texts, "doc_id").collect()}
+    kept = Counter(r.text for r in language.reject(documents, model).collect())
+    every = Counter(r.text for r in documents.collect())
+    for text, (lang, score, ambiguous) in said.items():
+        good = lang != "und" and not (ambiguous and score < 0.5)
+        assert kept[text] == (every[text] if good else 0)
+    texts = ["write to jo@mail.com or +44 20 7946 0958 now", "", None, "nothing here", "x" * 50_000]
+    frame = spark.createDataFrame(
+        [(i, t, len(t or ""), "z") for i, t in enumerate(texts)], "doc_id long, text string, n_chars long, extra string")
+    trained = pii.train(frame)
+    for row in pii.redact(frame, trained).collect():
+        text = texts[row.doc_id]
+        want, at = "", 0
+        for kind, start, end in pii.spans(text, trained)[1] if text else []:
+            if start >= at:
+                want += f"{text[at:start]}<{kind.upper()}>"
+            at = max(at, end)
+        assert row.text == (None if text is None else want + text[at:]) and row.extra == "z"
+        assert row.n_chars == (None if text is None else len(row.text))
