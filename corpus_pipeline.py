@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatledger.llm import language, mixing, near, packing, pii
+from chatledger.llm.common import free_name, row_key
 from chatledger.plans.materialize import scratch_path
 
 
@@ -16,17 +17,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id, if any has one. Rows are told apart
-    by a hash of all columns, so null and reused doc_ids are no matter; of equal rows one stays."""
+    by 128 bits over all columns, so null and reused doc_ids are no matter; of equal rows one stays. Different rows that
+    share the half which names them to ``near_duplicates`` stay or go together. Columns may have any names."""
     columns = docs.columns
-    keyed = docs.withColumn("row_", F.xxhash64(*columns))
-    decided = near.near_duplicates(keyed.select(F.col("row_").alias("doc_id"), "text")).select(
-        F.col("doc_id").alias("row_"), "component_id").distinct()
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_"))
-    kept = decided.join(keyed.select("row_", "doc_id"), "row_").groupBy("component_id").agg(first.alias("first"))
-    # The texts are shuffled once, by row_, for the join and for the choice among equal rows.
-    one = keyed.join(kept.select(F.col("first.row_").alias("row_")), "row_").withColumn(
-        "r_", F.row_number().over(Window.partitionBy("row_").orderBy("row_")))
-    return one.where("r_ = 1").select(*columns)
+    row, place = free_name(columns, "row_"), free_name(columns, "place_")
+    keyed = docs.withColumn(row, row_key(docs))
+    named = keyed.select(F.col(row)["a"].alias("node"), "doc_id", "text")
+    decided = near.near_duplicates(named.select(F.col("node").alias("doc_id"), "text")).select(
+        F.col("doc_id").alias("node"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    kept = decided.join(named.select("node", "doc_id"), "node").groupBy("component_id").agg(first.alias("first"))
+    kept = kept.select(F.col("first.node").alias("node"))
+    # The texts are shuffled once, by the naming half, for the join and for the choice among equal rows.
+    one = keyed.join(kept, F.col(row)["a"] == kept["node"], "left_semi").withColumn(
+        place, F.row_number().over(Window.partitionBy(F.col(row)["a"], F.col(row)["b"]).orderBy(F.lit(0))))
+    return one.where(F.col(place) == 1).select(*columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
