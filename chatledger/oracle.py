@@ -301,16 +301,34 @@ SELECT j.cmd_seq, CASE WHEN j.reason IS NULL THEN 'accept' ELSE 'reject' END AS
 FROM {judged} j LEFT JOIN ({events}) e ON e.cmd_seq = j.cmd_seq AND j.reason IS NULL
 """
 
-_SUMMARY = """
+
+
+def _digest(columns: str) -> str:
+    """The sum of the rows' MD5s as four numbers of 32 bits, in hex; a row is its columns by name, with their lengths."""
+    text = ", ".join(
+        f"CASE WHEN {c} IS NULL THEN 'n' ELSE length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR) END"
+        for c in sorted(columns.split()))
+    parts = [f"format('{{:08x}}', CAST(coalesce(sum(CAST('0x' || substr(md5(concat({text})), {8 * i + 1}, 8) AS BIGINT)), 0)"
+             " % 4294967296 AS BIGINT))" for i in range(4)]
+    return " || ".join(parts) + " AS digest"
+
+
+_SUMMARY = f"""
 SELECT 'chat_common' AS table_name, count(*) AS rows,
-  CAST(coalesce(sum(id + coalesce((SELECT max(m.id) FROM messages m WHERE m.chat_id = chats.id), 0)), 0) AS BIGINT)
-  AS checksum FROM chats
-UNION ALL SELECT 'chat_participant', count(*), CAST(sum(user_id * 31 + chat_id) AS BIGINT) FROM members
-UNION ALL SELECT 'message', count(*), CAST(sum(id * 31 + owner_id + length(content)) AS BIGINT) FROM messages
+  CAST(coalesce(sum(id + last_generated_message_id), 0) AS BIGINT) AS checksum,
+  {_digest("id title last_generated_message_id created_timestamp")}
+FROM (SELECT id, title, created_timestamp, coalesce((SELECT max(m.id) FROM messages m WHERE m.chat_id = chats.id), 0)
+  AS last_generated_message_id FROM chats) c
+UNION ALL SELECT 'chat_participant', count(*), CAST(sum(user_id * 31 + chat_id) AS BIGINT),
+  {_digest("user_id chat_id")} FROM members
+UNION ALL SELECT 'message', count(*), CAST(sum(id * 31 + owner_id + length(content)) AS BIGINT),
+  {_digest("id chat_id owner_id content created_timestamp updated_timestamp")} FROM messages
 UNION ALL SELECT 'chat_user_view', count(*),
-  CAST(sum(user_id + coalesce(last_message_id, 0) * 31 + length(title)) AS BIGINT) FROM user_view
+  CAST(sum(user_id + coalesce(last_message_id, 0) * 31 + length(title)) AS BIGINT),
+  {_digest("id title pinned user_id updated_timestamp last_message_id last_message_content last_message_owner_id")} FROM user_view
 UNION ALL SELECT 'unread_messages_user_view', count(*),
-  CAST(sum(unread_messages * 31 + last_message_id) AS BIGINT) FROM unread
+  CAST(sum(unread_messages * 31 + last_message_id) AS BIGINT),
+  {_digest("user_id chat_id unread_messages last_message_id")} FROM unread
 """
 
 _NO_DIFF = """

@@ -10,6 +10,7 @@ from chatledger.operators.ids import message_id_high_water
 from chatledger.operators.projections import chat_common, members, messages, user_view
 from chatledger.operators.unread import unread
 from chatledger.plans.materialize import cut_lineage
+from chatledger.streaming.digests import changed, table_digest
 
 # The derived tables and the columns that identify a row.
 TABLES = {
@@ -45,25 +46,26 @@ def stored(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def diff(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
-    """Per table, the rows only the left and only the right side has."""
+    """Per table, the rows only the left and only the right side has. The tables should be stored ones: they are read
+    once a level of digests, and again only if they differ; their rows are never shuffled."""
     out = None
     for name, table in left.items():
-        columns = table.columns
-        tagged = table.select(F.struct(*columns).alias("row"), F.lit(1).alias("side")).unionByName(
-            right[name].select(F.struct(*columns).alias("row"), F.lit(-1).alias("side"))
-        )
-        # Both sides meet in one grouping; equal rows cancel out.
-        rest = tagged.groupBy(F.to_json("row").alias("row")).agg(F.sum("side").alias("n"))
-        counts = rest.agg(
-            F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("missing"),
-            F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("extra"),
-        ).select(F.lit(name).alias("table_name"), "missing", "extra")
+        other = right[name].select(*[F.col(f.name).cast(f.dataType) for f in table.schema.fields])
+        rest = changed(table, other, TABLES.get(name, table.columns))
+        if rest is None:
+            counts = table.sparkSession.range(1).select(
+                F.lit(name).alias("table_name"), F.lit(0).cast("long").alias("missing"), F.lit(0).cast("long").alias("extra"))
+        else:
+            counts = rest.agg(
+                F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))), F.lit(0)).alias("missing"),
+                F.coalesce(F.sum(F.when(F.col("n") < 0, -F.col("n"))), F.lit(0)).alias("extra"),
+            ).select(F.lit(name).alias("table_name"), "missing", "extra")
         out = counts if out is None else out.unionByName(counts)
     return out
 
 
 def summary(tables: dict[str, DataFrame]) -> DataFrame:
-    """Per table, its rows and a sum over its numbers, to compare replays at a glance."""
+    """Per table, its rows, a sum over its numbers and the digest of all its columns, to compare replays at a glance."""
     numbers = {
         "chat_common": F.col("id") + F.col("last_generated_message_id"),
         "chat_participant": F.col("user_id") * 31 + F.col("chat_id"),
@@ -73,8 +75,7 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     }
     out = None
     for name, table in tables.items():
-        row = table.agg(
-            F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(numbers[name]), F.lit(0)).alias("checksum")
-        ).select(F.lit(name).alias("table_name"), "rows", "checksum")
+        row = table_digest(table, checksum=numbers[name]).select(
+            F.lit(name).alias("table_name"), "rows", "checksum", "digest")
         out = row if out is None else out.unionByName(row)
     return out
