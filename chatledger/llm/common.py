@@ -39,8 +39,10 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 def row_key(rows: DataFrame) -> Column:
-    """128 bits that tell rows apart: two hashes of all columns, maps by their sorted entries."""
-    parts = [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
+    """128 bits that tell rows apart: two hashes of all columns and of which of them are null (hashes pass nulls over),
+    maps by their sorted entries."""
+    parts = [F.col(f.name).isNull() for f in rows.schema.fields]
+    parts += [F.array_sort(F.map_entries(f.name)) if f.dataType.typeName() == "map" else F.col(f.name)
              for f in rows.schema.fields]
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from chatledger.llm import chat, language, mixing, neighbours, packing, pii
+from chatledger.llm.common import row_key
 from chatledger.llm.queries import ORACLE, REGISTERED
 from chatledger.llm.tokens import Encoder
 from tests.compare import connect, mismatch
@@ -320,3 +321,9 @@ def test_reject_and_redact_brute_force(spark, documents):
             at = max(at, end)
         assert row.text == (None if text is None else want + text[at:]) and row.extra == "z"
         assert row.n_chars == (None if text is None else len(row.text))
+
+
+def test_row_key_tells_nulls_apart(spark):
+    rows = [("a", None), (None, "a"), (None, None), ("a", "a"), ("a", None)]
+    frame = spark.createDataFrame(rows, "lang string, source string")
+    assert frame.select(row_key(frame).alias("k")).distinct().count() == 4
