@@ -249,6 +249,10 @@ chat_list AS (
   FROM user_view v JOIN unread u ON u.user_id = v.user_id AND u.chat_id = v.id
 )"""
 
+_WIDEST_USER = """(
+  SELECT user_id FROM (SELECT DISTINCT chat_id, unnest(participant_ids) AS user_id FROM log WHERE name = 'participantsAdded')
+  GROUP BY user_id ORDER BY count(*) DESC, user_id LIMIT 1)"""
+
 _COMMANDS = """,
 cmds AS (
   SELECT event_id * 4 AS cmd_seq, act, user_id, chat_id, ts, k, value, event_id, block,
@@ -543,6 +547,9 @@ def oracle_sql() -> dict[str, str]:
         "refresh_batches": _sql(log + _UNREAD, "SELECT user_id, chat_id, unread_messages, last_message_id FROM unread"),
         "chats_for_user": _sql(log + _LIST, """
             SELECT * FROM chat_list WHERE user_id = (SELECT min(user_id) FROM user_view)"""),
+        "chats_for_user_indexed": _sql(log + _LIST, f"SELECT * FROM chat_list WHERE user_id = {_WIDEST_USER}"),
+        "chats_for_user_page": _sql(log + _LIST, f"""
+            SELECT * EXCLUDE (pos) FROM chat_list WHERE user_id = {_WIDEST_USER} AND pos BETWEEN 4 AND 6"""),
         "chat_list_all": _sql(log + _LIST, "SELECT * FROM chat_list"),
         "messages_of_chat": _sql(log + _MESSAGES, """
             SELECT row_number() OVER (ORDER BY id DESC) AS pos, id, owner_id, content FROM messages WHERE chat_id = 1"""),

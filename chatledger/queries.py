@@ -25,6 +25,7 @@ from chatledger.plans.skew import flag_hot, hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
 from chatledger.sources.tables import store_records
+from chatledger.sources.user_index import events_for_user, write_user_index
 from chatledger.streaming.refresh import apply_batch, read_table, refresh_available
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored, summary
 
@@ -323,6 +324,32 @@ def chats_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(rows, ["user_id"], R.list_order()).select("user_id", "pos", *R.LIST_COLUMNS)
 
 
+def _indexed_list(spark: SparkSession, sf_dir: str) -> tuple[int, DataFrame, DataFrame]:
+    """The user who was added to the most chats, with view and counters folded from those chats alone."""
+    events = _events(spark, sf_dir)
+    index = write_user_index(events)
+    most = index.groupBy("user_id").count().agg(F.max_by("user_id", F.struct("count", -F.col("user_id"))).alias("u"))
+    user = most.first().u
+    own = events_for_user(events, index, user)
+    lives = cut_lineage(H.message_lives(own), own)
+    return user, cut_lineage(P.user_view(own, lives)), cut_lineage(U.unread(own, lives))
+
+
+def chats_for_user_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One user's list through the index of users: only their chats' events are read."""
+    user, view, counters = _indexed_list(spark, sf_dir)
+    rows = R.chat_list(view.where(F.col("user_id") == user), counters.where(F.col("user_id") == user))
+    return numbered(rows, ["user_id"], R.list_order()).select("user_id", "pos", *R.LIST_COLUMNS)
+
+
+def chats_for_user_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of three chats of that list, continued after the last row of the first."""
+    user, view, counters = _indexed_list(spark, sf_dir)
+    first = R.chats_for_user(view, counters, user, limit=3).collect()
+    after = (first[-1].pinned, first[-1].updated_timestamp, first[-1].id) if first else None
+    return R.chats_for_user(view, counters, user, after=after, limit=3).select("user_id", *R.LIST_COLUMNS)
+
+
 def chat_list_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir)
     lives = cut_lineage(H.message_lives(events), events)
@@ -600,7 +627,7 @@ REGISTERED: dict[str, Query] = {f.__name__: f for f in (
     chat_lifetimes, chat_common, adds_skipped, chat_participant, membership_intervals, pinned_chats, chat_user_view,
     last_message_view, message_lifetimes, message_versions, message_table,
     fanout_users, marker_status, read_normalized, unread_counts, unread_view,
-    chats_for_user, chat_list_all, messages_of_chat, participants_of_chat, participants_all, chat_title_for_user,
+    chats_for_user, chats_for_user_indexed, chats_for_user_page, chat_list_all, messages_of_chat, participants_of_chat, participants_all, chat_title_for_user,
     message_owner, read_state, last_message_id, chat_ids,
     cmd_chat_create, cmd_chat_edit, cmd_chat_delete, cmd_participants, cmd_chat_pin,
     cmd_message_create, cmd_message_edit, cmd_message_delete, cmd_rejects, read_admission, bulk_load, bulk_replay, participants_asof,
