@@ -23,7 +23,7 @@ def listed(events, user):
 
 
 @pytest.mark.parametrize("most", [0, 2_000])
-def test_list_equals_whole_fold(spark, skew, most):
+def test_list_equals_whole_fold(spark, most):
     """By list of ids and by join; a user that no event names has no events."""
     events = store_events(frame(spark, random_log(5, chats=6, length=30)))
     index = X.write_user_index(events)
