@@ -24,7 +24,7 @@ from chatledger.plans.ordered import numbered
 from chatledger.plans.skew import flag_hot, hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
-from chatledger.sources.tables import store_records
+from chatledger.sources.tables import Folded, Parts, store_records
 from chatledger.sources.user_index import events_for_user, write_user_index
 from chatledger.streaming.refresh import apply_batch, read_table, refresh_available
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored, summary
@@ -36,9 +36,13 @@ class Store:
 
     path: str
     records: DataFrame
-    events: DataFrame
+    parts: Parts
     acts: DataFrame
 
+    @property
+    def events(self) -> DataFrame:
+        return self.parts.events()
+
 
 _stores: dict[tuple, Store] = {}
 
@@ -50,8 +54,7 @@ def store(spark: SparkSession, sf_dir: str) -> Store:
         path = scratch_path(spark, "log")
         chat_log(spark, sf_dir).write.parquet(path)
         records = L.scan_log(spark, path)
-        events = store_records(records)[0]
-        _stores[key] = Store(path, records, events, actions(spark, sf_dir))
+        _stores[key] = Store(path, records, store_records(records)[0], actions(spark, sf_dir))
     return _stores[key]
 
 
@@ -59,6 +62,11 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store(spark, sf_dir).events
 
 
+def _per_chat(spark: SparkSession, sf_dir: str, fold: Callable[[DataFrame], Folded]) -> Folded:
+    """A fold that works chat by chat, over ordinary and hot chats apart."""
+    return store(spark, sf_dir).parts.per_chat(fold)
+
+
 def _named(records: DataFrame) -> DataFrame:
     return records.select(
         L.log_position().alias("log_seq"), "partition", "offset", "key", F.col("headers")["name"].alias("name")
@@ -150,8 +158,8 @@ def import_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = store_records(_imported(spark, sf_dir))[0]
-    return diff(stored(replay_full(_events(spark, sf_dir))), stored(replay_full(events)))
+    again = store_records(_imported(spark, sf_dir))[0]
+    return diff(stored(_per_chat(spark, sf_dir, replay_full)), stored(again.per_chat(replay_full)))
 
 
 # Decode, route, order
@@ -183,7 +191,7 @@ def unread_after_redelivery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters of a log in which every third record was delivered twice."""
     records = store(spark, sf_dir).records
     twice = records.unionByName(records.where("offset % 3 = 0"))
-    return U.unread(store_records(twice)[0])
+    return store_records(twice)[0].per_chat(U.unread)
 
 
 def events_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,64 +245,67 @@ def poison_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Log to tables
 
 def chat_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.chat_lives(_events(spark, sf_dir)).drop("hot")
+    return _per_chat(spark, sf_dir, H.chat_lives).drop("hot")
 
 
 def chat_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.chat_common(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.chat_common)
 
 
 def adds_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.skipped_adds(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, H.skipped_adds)
 
 
 def chat_participant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.members(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.members)
 
 
 def membership_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.member_intervals(_events(spark, sf_dir)).drop("hot")
+    return _per_chat(spark, sf_dir, H.member_intervals).drop("hot")
 
 
 def pinned_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pinned_chats(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.pinned_chats)
 
 
 def chat_user_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.user_view(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.user_view)
 
 
 def last_message_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.last_messages(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.last_messages)
 
 
 def message_lifetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.message_lives(_events(spark, sf_dir)).drop("hot")
+    return _per_chat(spark, sf_dir, H.message_lives).drop("hot")
 
 
 def message_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.message_versions(_events(spark, sf_dir)).drop("hot")
+    return _per_chat(spark, sf_dir, H.message_versions).drop("hot")
 
 
 def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.messages(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, P.messages)
 
 
 # Unread counters
 
 def fanout_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.fan_out(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, H.fan_out)
 
 
 def marker_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    lives = cut_lineage(H.message_lives(events), events)
-    return U.marker_status(U.unread(events, lives), lives)
+    def fold(events: DataFrame) -> DataFrame:
+        lives = cut_lineage(H.message_lives(events), events)
+        return U.marker_status(U.unread(events, lives), lives)
+
+    return _per_chat(spark, sf_dir, fold)
 
 
 def read_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    return U.normalize_reads(events, cut_lineage(H.message_lives(events), events)).drop("hot")
+    return _per_chat(
+        spark, sf_dir, lambda events: U.normalize_reads(events, cut_lineage(H.message_lives(events), events))
+    ).drop("hot")
 
 
 def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,7 +321,7 @@ def unread_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.unread(_events(spark, sf_dir))
+    return _per_chat(spark, sf_dir, U.unread)
 
 
 # Read queries
@@ -573,7 +584,7 @@ def is_caught_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replay_full_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return summary(stored(replay_full(_events(spark, sf_dir))))
+    return summary(stored(_per_chat(spark, sf_dir, replay_full)))
 
 
 def replay_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -586,7 +597,7 @@ def replay_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
         s.records.where(part).write.mode("append").parquet(f"{root}/source")
         refresh_available(spark, f"{root}/source", root, buckets=8)
     fresh = {name: read_table(spark, root, name) for name in TABLES}
-    return diff(stored(replay_full(s.events)), fresh)
+    return diff(stored(s.parts.per_chat(replay_full)), fresh)
 
 
 def refresh_batches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,8 @@ from chatledger.plans.ordered import (
 )
 from chatledger.plans.skew import flag_hot, hot_chats
 from chatledger.queries import store
-from chatledger.sources.tables import store_events
+from chatledger.sources.tables import store_events, store_parts
+from chatledger.streaming.replay import TABLES, replay_full
 from tests.fold import frame
 from tests.test_random_logs import random_log
 
@@ -116,3 +117,47 @@ def test_scans_are_pruned_and_filtered(spark):
     text = plan(H.chat_lives(store(spark, SF).events))
     assert re.search(r"PushedFilters: \[In\(name", text)
     assert "content" not in re.search(r"ReadSchema: (\S+)", text).group(1)
+
+
+def sides(df) -> list[str]:
+    """The plans below the topmost union."""
+    node = df._jdf.queryExecution().executedPlan()
+    while node.nodeName() != "Union":
+        node = node.initialPlan() if node.nodeName() == "AdaptiveSparkPlan" else node.children().head()
+    return [node.children().apply(i).toString() for i in range(node.children().size())]
+
+
+def test_one_hot_chat_leaves_the_others_their_buckets(spark):
+    rows = frame(spark, random_log(9, chats=6, length=60))
+    crowd = rows.where("chat_id = 2")
+    spark.conf.set("spark.chatledger.hotRows", str(crowd.count() * 40))
+    spark.conf.set("spark.chatledger.spanWidth", "37")
+    try:
+        # Chat 2 comes forty times over, in other positions; only it is hot.
+        more = [crowd.withColumn("log_seq", F.col("log_seq") + 10_000 * i) for i in range(1, 40)]
+        for part in more:
+            rows = rows.unionByName(part)
+        rows = cut_lineage(rows)
+        parts = store_parts(rows)
+        assert {r.chat_id for r in parts.hot.select("chat_id").distinct().collect()} == {2}
+        assert parts.cold.where("chat_id = 2").isEmpty() and parts.events().count() == rows.count()
+        for fold in (H.message_lives, H.message_versions, H.chat_lives):
+            cold, hot = sides(parts.per_chat(fold))
+            assert "Exchange" not in cold and "_kept" not in cold, fold.__name__
+            assert "span_" in hot, fold.__name__
+        plain = flag_hot(rows)
+        apart, whole = parts.per_chat(replay_full), replay_full(plain)
+        for name in TABLES:
+            table = whole[name]
+            assert apart[name].columns == table.columns
+            assert table.exceptAll(apart[name]).isEmpty() and apart[name].exceptAll(table).isEmpty(), name
+    finally:
+        spark.conf.unset("spark.chatledger.hotRows")
+        spark.conf.unset("spark.chatledger.spanWidth")
+
+
+def test_parts_of_logs_without_hot_chats(spark):
+    empty = store_parts(frame(spark, random_log(9, chats=2, length=5)).limit(0))
+    assert empty.hot is None and empty.events().isEmpty() and empty.per_chat(P.messages).isEmpty()
+    nobody = frame(spark, random_log(9, chats=2, length=5)).withColumn("chat_id", F.lit(None).cast("long"))
+    assert store_parts(nobody).events().where("chat_id is null").count() == nobody.count()
