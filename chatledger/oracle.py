@@ -445,6 +445,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT partition, count(*) AS rows, max("offset") + 1 AS end_offset
             FROM log l WHERE "offset" < (SELECT count(*) // 2 FROM log x WHERE x.partition = l.partition)
             GROUP BY partition"""),
+        "log_stream_resumed": _sql(log, """
+            SELECT partition, count(*) AS end_offset, count(*) // 2 AS committed, count(*) - count(*) // 2 AS lag,
+                   count(*) AS rows, CAST(sum("offset") AS BIGINT) AS offsets
+            FROM log GROUP BY partition"""),
         "log_append": _sql(log, 'SELECT partition, "offset", CAST(chat_id AS VARCHAR) AS key, chat_id FROM log'),
         "log_export": _sql(log, 'SELECT partition, "offset", CAST(chat_id AS VARCHAR) AS key, name, chat_id FROM log'),
         "import_validation": _sql(log, """

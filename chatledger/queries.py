@@ -24,6 +24,7 @@ from chatledger.plans.ordered import numbered
 from chatledger.plans.skew import flag_hot, hot_rows, inherit_hot, span_width
 from chatledger.sources import log as L
 from chatledger.sources.chat_activity import PARTITIONS, actions, chat_log, commands
+from chatledger.sources.log_stream import as_offsets, committed_offsets, scan_partitioned, write_partitioned
 from chatledger.sources.tables import Folded, Parts, store_records
 from chatledger.sources.user_index import events_for_user, write_user_index
 from chatledger.streaming.refresh import apply_batch, read_table, refresh_available
@@ -88,6 +89,29 @@ def log_bounded_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def log_stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log streamed by offsets up to the middle of every partition, stopped, and gone on with from the checkpoint:
+    what was committed and left at the stop, and what has arrived in the end."""
+    records = store(spark, sf_dir).records
+    path, out = scratch_path(spark, "partitioned"), scratch_path(spark, "streamed")
+    write_partitioned(records, path)
+    ends = L.end_offsets(records)
+    half = as_offsets(ends.withColumn("end_offset", F.expr("end_offset div 2")))
+
+    def run(ending: dict[int, int] | None) -> DataFrame:
+        rows = scan_partitioned(spark, path, stream=True, ending=ending).select("partition", "offset")
+        query = rows.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").trigger(
+            availableNow=True).start(out)
+        query.awaitTermination()
+        return committed_offsets(spark, query)
+
+    lag = G.consumer_lag(ends, run(half))
+    run(None)
+    arrived = spark.read.schema("partition int, offset bigint").parquet(out).groupBy("partition").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("offset").alias("offsets"))
+    return lag.join(arrived, "partition")
+
+
 def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).drop("partition", "offset")
     placed = L.append_log(events, PARTITIONS, partitioner=L.remainder_partition)
@@ -632,7 +656,7 @@ def _forced_hot(query: Query) -> Query:
 
 
 REGISTERED: dict[str, Query] = {f.__name__: f for f in (
-    log_scan, log_bounded_scan, log_append, log_export, log_import, import_validation, import_rejects, import_append,
+    log_scan, log_bounded_scan, log_stream_resumed, log_append, log_export, log_import, import_validation, import_rejects, import_append,
     roundtrip_diff, decode_damaged, unread_after_redelivery,
     events_decode, events_by_type, events_unknown, partition_balance, events_ordered, log_dedup, poison_events,
     chat_lifetimes, chat_common, adds_skipped, chat_participant, membership_intervals, pinned_chats, chat_user_view,

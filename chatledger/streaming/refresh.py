@@ -23,6 +23,7 @@ from chatledger.operators.events import read_events
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.log import dedup, scan_log
+from chatledger.sources.log_stream import applied_ends, scan_partitioned
 from chatledger.sources.offsets import merge_offsets, without_applied
 from chatledger.sources.versions import Versions
 from chatledger.streaming.replay import TABLES, replay_full
@@ -114,6 +115,22 @@ def refresh_available(
     query.awaitTermination()
 
 
+def refresh_partitioned(
+    spark: SparkSession, log_path: str, root: str, *, ending: dict[int, int] | None = None, buckets: int = BUCKETS,
+    partitions: int | None = None,
+) -> None:
+    """Process a partitioned log by offsets, from where the last run stopped up to ``ending`` (or to what there is), and
+    wait until it is done. The tables below ``root`` keep to one kind of source, as the stream's progress does."""
+    records = scan_partitioned(spark, log_path, stream=True, ending=ending)
+    start_refresh(records, root, buckets=buckets, once=True, partitions=partitions).awaitTermination()
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """``partition`` and ``committed`` (the next offset) of what the tables below ``root`` hold, running or not."""
+    versions = tables_at(spark, root)
+    return applied_ends(versions.applied(versions.finished()))
+
+
 def wait_until_caught_up(query: StreamingQuery) -> None:
     """Block until a running refresh has processed all records there are."""
     query.processAllAvailable()
