@@ -6,8 +6,8 @@ A stream's position is the next offset of each partition. Spark keeps it in the
 stopped goes on where it was, and a batch that runs again reads the same offsets.
 
 A partition reaches as far as its offsets follow on each other. The files of one append become visible one by one, and
-a later one must not carry the position past an earlier one, so a gap holds a partition until it is filled. For a log
-that does have holes, ``gaps="skip"`` takes what there is.
+a later one must not carry the position past an earlier one, so a gap holds a partition until it is filled. A
+partition must begin at its starting offset. For a log that does have holes, ``gaps="skip"`` takes what there is.
 """
 
 from __future__ import annotations
@@ -144,6 +144,10 @@ class LogReader:
         for partition, groups in sorted(self.files.look().items()):
             start = self.starting.get(partition, 0)
             if self.ending is None or partition in self.ending:
+                if groups[0][1].first > start and not self.files.skip:
+                    # Said here, before the stream notes a position that lies behind its own.
+                    raise ValueError(f"partition {partition} begins at {groups[0][1].first}, not at {start}: name its "
+                                     "starting offset where old files were removed, or run again if files are still to come")
                 reach = self.files.reach(groups, start)
                 out[str(partition)] = reach if self.ending is None else max(start, min(reach, self.ending[partition]))
         return self.first() | out
@@ -230,7 +234,9 @@ def scan_partitioned(
     spark: SparkSession, path: str, *, stream: bool = False, starting: dict[int, int] | None = None,
     ending: dict[int, int] | None = None, gaps: str = "hold",
 ) -> DataFrame:
-    """Raw records of a partitioned log, as a batch or a stream.
+    """Raw records of a partitioned log, as a batch or a stream. Give a stream that goes on no earlier ends than before,
+    and name all partitions it has read: where it must step back, it reads records once more later (none is lost;
+    ``dedup`` and the refresh tell them by their offsets).
 
     ``starting`` gives the first offset of partitions that don't begin at 0, ``ending`` one past the last offset of each
     partition; partitions it doesn't name are left out then. A stream with ``ending`` stops getting records there. A

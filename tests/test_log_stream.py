@@ -105,6 +105,26 @@ def test_lost_files_and_bad_layouts_stop_the_reader(spark, tmp_path):
         scan_partitioned(spark, f"{path}-null").collect()
 
 
+def test_stream_with_earlier_ends_loses_nothing(spark, tmp_path):
+    path, out = f"{tmp_path}/log", f"{tmp_path}/out"
+    write_partitioned(records(spark, 0, 0, 20).unionByName(records(spark, 1, 0, 5)), path)
+    run(spark, path, out, ending={0: 15, 1: 5})
+    run(spark, path, out, ending={0: 12})
+    assert seen(spark, out) == expected(p0=15, p1=5)
+    run(spark, path, out)
+    again = seen(spark, out)
+    assert sorted(set(again)) == expected(p0=20, p1=5) and len(again) == 25 + 3 + 5
+
+
+def test_removed_files_are_told(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    write_partitioned(records(spark, 0, 10, 20), path)
+    with pytest.raises(ValueError, match="begins at 10, not at 0"):
+        LogReader({"path": path}).newest()
+    kept = LogReader({"path": path, "starting": '{"0": 10}'})
+    assert [(s.start, s.end) for s in kept.slices({"0": 15}, kept.newest())] == [(15, 20)]
+
+
 def test_slices_follow_row_groups(spark, tmp_path, monkeypatch):
     path = f"{tmp_path}/log"
     records(spark, 2, 0, 4000).repartitionByRange(1, "offset").sortWithinPartitions("offset").write.option(
