@@ -18,7 +18,7 @@ from chatledger.operators.history import (
 )
 from chatledger.operators.ids import assign_ids
 from chatledger.operators.unread import marker_history
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, growing
 from chatledger.plans.ordered import as_of, highest, last, numbered, running, total
 from chatledger.plans.skew import align_hot
 
@@ -69,7 +69,7 @@ def member_pages(positions: DataFrame, members: DataFrame, page: int = PAGE) ->
     lists = ranked.groupBy("chat_id", F.col("at").alias("change"), F.expr(f"(rank_ - 1) div {page}").alias("page")).agg(
         F.sort_array(F.collect_list("user_id")).alias("members")
     )
-    return seen.join(lists, ["chat_id", "change"], "left").select(
+    return seen.join(growing(lists), ["chat_id", "change"], "left").select(
         "chat_id", "at", F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce("members", F.array().cast("array<bigint>")).alias("members"),
     )
@@ -95,7 +95,7 @@ def _refresh(rows: DataFrame, slot: int, unread: int = 0, message: int = 0, comm
 
 def _with_members(rows: DataFrame, events: DataFrame, page: int) -> DataFrame:
     members = cut_lineage(member_intervals(events), events)
-    return rows.join(member_pages(rows, members, page), ["chat_id", "at"])
+    return rows.join(growing(member_pages(rows, members, page)), ["chat_id", "at"])
 
 
 def with_caller() -> Column:
@@ -159,7 +159,7 @@ def judge_posts(rows: DataFrame, events: DataFrame) -> DataFrame:
     counted = running(counted, ["chat_id"], order, then=last(F.when(~F.col("asked"), F.coalesce("so_far", F.lit(0)))))
     number = F.coalesce("mark", F.lit(0)) + F.col("so_far") - F.coalesce("then", F.lit(0))
     ids = counted.where("asked").select("cmd_seq", number.cast("long").alias("message_id"))
-    return known.drop("message_id").join(ids, "cmd_seq").withColumn(
+    return known.drop("message_id").join(growing(ids), "cmd_seq").withColumn(
         "message_id", F.when(F.col("reason").isNull(), F.col("message_id")))
 
 
@@ -176,7 +176,7 @@ def judge_changes(rows: DataFrame, events: DataFrame) -> DataFrame:
         .when(F.col("true_owner") != F.col("user_id"), F.lit(NOT_OWNER))
     )
     lives = cut_lineage(message_lives(events), events)
-    return judged.join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"])
+    return judged.join(growing(newest_at(rows, lives).drop("hot")), ["chat_id", "at"])
 
 
 def post_messages(judged: DataFrame, events: DataFrame, page: int = PAGE) -> DataFrame:
@@ -216,7 +216,7 @@ def admit_reads(rows: DataFrame, events: DataFrame) -> DataFrame:
     marks = as_of(rows, marker_history(events, lives), ["user_id", "chat_id"], "at", "log_seq", ["value"])
     keys = marks.select("cmd_seq", "chat_id", "at", "hot", F.coalesce("value", F.lit(0)).alias("id"))
     known = existing_at(keys, lives, "marker_exists").select("cmd_seq", "marker_exists")
-    judged = marks.join(known, "cmd_seq").join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"])
+    judged = marks.join(growing(known), "cmd_seq").join(growing(newest_at(rows, lives).drop("hot")), ["chat_id", "at"])
     clamped = F.when(F.col("newest").isNotNull(), F.least("message_id", "newest"))
     judged = judged.withColumn("clamped", clamped)
     moves = F.when(F.col("marker_exists"), F.col("clamped") > F.col("value")).otherwise(F.col("value") == 0)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from chatledger import schemas as S
 from chatledger.functions.dyadic import cover, levels, ones, path, zeros
+from chatledger.plans.materialize import growing
 from chatledger.plans.ordered import as_of, following, highest, last, previous, running, total
 
 
@@ -140,7 +141,7 @@ def members_at(positions: DataFrame, members: DataFrame) -> DataFrame:
     points = positions.select("chat_id", "at").distinct().withColumn("top_", top).select(
         "chat_id", "at", F.explode(path("at", "top_")).alias("b")
     ).select("chat_id", "at", "b.level", "b.node")
-    return points.join(blocks, ["chat_id", "level", "node"]).select("chat_id", "at", "user_id")
+    return points.join(growing(blocks), ["chat_id", "level", "node"]).select("chat_id", "at", "user_id")
 
 
 def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
@@ -166,8 +167,8 @@ def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
     top = lives.where(F.col("to_seq") < S.OPEN).agg(F.max(levels("from_seq", "to_seq"))).scalar()
     met = asked.withColumn("top_", top).select("chat_id", "at", F.explode(path("at", "top_")).alias("b")).select(
         "chat_id", "at", "b.level", "b.node"
-    ).join(blocks, ["chat_id", "level", "node"]).groupBy("chat_id", "at").agg(F.max("passing").alias("passing"))
-    return asked.join(met, ["chat_id", "at"], "left").select(
+    ).join(growing(blocks), ["chat_id", "level", "node"]).groupBy("chat_id", "at").agg(F.max("passing").alias("passing"))
+    return asked.join(growing(met), ["chat_id", "at"], "left").select(
         "chat_id", "at", "hot", F.greatest("stays", "passing").alias("newest")
     )
 
@@ -192,7 +193,7 @@ def count_after(marks: DataFrame, lives: DataFrame) -> DataFrame:
     limits = marks.groupBy("chat_id").agg(
         F.min("marker").alias("low_"), F.min("at").alias("first_"), F.max("at").alias("last_")
     )
-    lives = lives.join(limits, "chat_id").where("id > low_ and from_seq <= last_ and to_seq > first_")
+    lives = lives.join(growing(limits), "chat_id").where("id > low_ and from_seq <= last_ and to_seq > first_")
     # Bits are those of the distance from the smallest number, 0 unless some are negative.
     base = marks.agg(F.least(F.min("marker"), F.lit(0)).alias("base")).scalar()
     lives = lives.withColumn("id", F.col("id") - base)
@@ -209,4 +210,4 @@ def count_after(marks: DataFrame, lives: DataFrame) -> DataFrame:
     ).select("chat_id", "at", "hot", "step", "marker", "asked", "b.level", "b.node")
     line = running(line, ["chat_id", "level", "node"], ["at", "asked"], so_far=total(F.col("step")))
     counted = line.where("asked").groupBy("chat_id", "at", "marker").agg(F.sum("so_far").alias("n"))
-    return marks.join(counted, ["chat_id", "at", "marker"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return marks.join(growing(counted), ["chat_id", "at", "marker"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -39,6 +39,12 @@ def cut_lineage(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     return kept
 
 
+def growing(rows: DataFrame) -> DataFrame:
+    """A side of a join that grows with the log, which is never sent whole through the driver. The optimizer would take
+    it for a small one where its guess is too low: sizes start from compressed files, and what explode adds is not seen."""
+    return rows.hint("merge")
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder for a table the job writes and reads back."""
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, growing
 from chatledger.plans.skew import span_of
 
 
@@ -144,4 +144,4 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
         *keys, "block_", "first_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)).alias("before_")
     )
     number = F.col("place_") - F.col("first_") + F.col("before_") + 1
-    return placed.join(starts, [*keys, "block_"]).select(*df.columns, number.alias(name))
+    return placed.join(growing(starts) if keys else starts, [*keys, "block_"]).select(*df.columns, number.alias(name))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from chatledger.operators import commands as C
 from chatledger.operators import history as H
 from chatledger.operators import projections as P
 from chatledger.operators import unread as U
@@ -161,3 +162,15 @@ def test_parts_of_logs_without_hot_chats(spark):
     assert empty.hot is None and empty.events().isEmpty() and empty.per_chat(P.messages).isEmpty()
     nobody = frame(spark, random_log(9, chats=2, length=5)).withColumn("chat_id", F.lit(None).cast("long"))
     assert store_parts(nobody).events().where("chat_id is null").count() == nobody.count()
+
+
+def test_sides_that_grow_are_not_broadcast(spark):
+    """Whatever the optimizer guesses: it takes exploded blocks for as small as the rows they come from."""
+    events = store(spark, SF).events
+    members, lives = cut_lineage(H.member_intervals(events), events), cut_lineage(H.message_lives(events), events)
+    asked = events.select("chat_id", F.col("log_seq").alias("at"), "hot")
+    posts = asked.withColumns({"cmd_seq": F.col("at") + 1, "message_id": F.lit(None).cast("long")})
+    marks = asked.withColumn("marker", F.lit(0).cast("long"))
+    for df in (H.members_at(asked, members), H.newest_at(asked, lives), H.count_after(marks, lives),
+               C.judge_posts(posts, events), C.member_pages(asked, members)):
+        assert "Broadcast" not in plan(df)
