@@ -28,7 +28,7 @@ from chatledger.operators import commands as C
 from chatledger.operators.history import existing_at, message_lives, newest_at, users_of, valid_adds
 from chatledger.operators.ids import assign_ids
 from chatledger.operators.unread import NODE, ROW, fills, posts, walk
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, growing
 from chatledger.plans.ordered import as_of, previous, running
 from chatledger.plans.skew import find_hot, mark_hot
 
@@ -43,7 +43,7 @@ def _typed(commands: DataFrame, base: int) -> tuple[DataFrame, DataFrame | None]
     typed, _ = C.parse(commands.withColumn("cmd_seq", F.col("cmd_seq") * SLOTS), none)
     typed = cut_lineage(typed.drop("hot"))
     fresh = assign_ids(typed.where("kind = 'chat_create' and reason is null").select("cmd_seq"), base)
-    typed = typed.join(fresh, "cmd_seq", "left").withColumn("chat_id", F.coalesce("new_id", "chat_id")).drop("new_id")
+    typed = typed.join(growing(fresh), "cmd_seq", "left").withColumn("chat_id", F.coalesce("new_id", "chat_id")).drop("new_id")
     typed = cut_lineage(typed)
     hot = find_hot(typed)
     return mark_hot(typed, hot), hot
@@ -78,7 +78,7 @@ def first_owner_deletes(posted: DataFrame, deletes: DataFrame) -> DataFrame:
     """The deletions that take effect: of each accepted post, the first one by its owner after it."""
     post = posted.where("reason is null").select(
         "chat_id", "message_id", "user_id", F.col("cmd_seq").alias("born"))
-    later = deletes.join(post, ["chat_id", "message_id", "user_id"]).where("cmd_seq > born")
+    later = deletes.join(growing(post), ["chat_id", "message_id", "user_id"]).where("cmd_seq > born")
     return later.groupBy("chat_id", "message_id").agg(F.min("cmd_seq").alias("cmd_seq"))
 
 
@@ -94,7 +94,7 @@ def admit_chain(rows: DataFrame, log: DataFrame, lives: DataFrame) -> DataFrame:
     """
     filled = cut_lineage(fills(log), log)
     first = cut_lineage(filled.groupBy(*ROW).agg(F.min("log_seq").alias("first")))
-    judged = rows.join(newest_at(rows, lives).drop("hot"), ["chat_id", "at"]).join(first, ROW, "left")
+    judged = rows.join(growing(newest_at(rows, lives).drop("hot")), ["chat_id", "at"]).join(growing(first), ROW, "left")
     judged = judged.withColumn("clamped", F.when(F.col("newest").isNotNull(), F.least("message_id", "newest")))
     able = F.col("newest").isNotNull() & F.coalesce(F.col("first") < F.col("cmd_seq"), F.lit(False))
     judged = cut_lineage(judged.withColumn("able", able), log)
@@ -104,17 +104,17 @@ def admit_chain(rows: DataFrame, log: DataFrame, lives: DataFrame) -> DataFrame:
         F.when(F.col("exists"), F.col("id")).otherwise(F.col("newest")).alias("value"))
     tries = cut_lineage(tries, log)
 
-    posted = posts(log).join(first, ROW).where("log_seq > first").drop("first")
-    again = filled.join(first, ROW).where("log_seq > first").drop("first")
+    posted = posts(log).join(growing(first), ROW).where("log_seq > first").drop("first")
+    again = filled.join(growing(first), ROW).where("log_seq > first").drop("first")
     tops = newest_at(
         posted.unionByName(again.where("refill").select(*posted.columns)).withColumnRenamed("log_seq", "at"), lives
     ).select("chat_id", F.col("at").alias("log_seq"), F.coalesce("newest", F.lit(0)).alias("top"))
     tops = cut_lineage(tops)
-    begun = filled.join(first, ROW).where("log_seq = first").select(
+    begun = filled.join(growing(first), ROW).where("log_seq = first").select(
         *NODE, "hot", F.lit(0).cast("long").alias("value"), F.lit(True).alias("fixed"))
-    moved = posted.join(tops, ["chat_id", "log_seq"]).select(
+    moved = posted.join(growing(tops), ["chat_id", "log_seq"]).select(
         *NODE, "hot", F.col("top").alias("value"), F.lit(True).alias("fixed"))
-    refilled = again.join(tops, ["chat_id", "log_seq"], "left").select(
+    refilled = again.join(growing(tops), ["chat_id", "log_seq"], "left").select(
         *NODE, "hot", F.when(F.col("refill"), F.col("top")).otherwise(F.lit(0)).cast("long").alias("value"),
         F.lit(False).alias("fixed"))
     nodes = begun.unionByName(moved).unionByName(refilled).unionByName(
@@ -123,7 +123,7 @@ def admit_chain(rows: DataFrame, log: DataFrame, lives: DataFrame) -> DataFrame:
         "chat_id", F.col("id").alias("value"), F.col("to_seq").alias("gone"))
     nodes = running(nodes, ROW, ["log_seq"], reverse=True,
                     next_fixed=previous(F.when(F.col("fixed"), F.col("log_seq"))))
-    nodes = cut_lineage(nodes.join(deaths, ["chat_id", "value"], "left"), log)
+    nodes = cut_lineage(nodes.join(growing(deaths), ["chat_id", "value"], "left"), log)
 
     fill_at = again.select(*ROW, "hot", F.col("log_seq").alias("fill"))
     fallen = as_of(nodes.where("gone is not null").select(*NODE, "hot", "gone"), fill_at, ROW, "gone", "fill", ["fill"],
@@ -139,11 +139,11 @@ def admit_chain(rows: DataFrame, log: DataFrame, lives: DataFrame) -> DataFrame:
     above = above.groupBy(*NODE, "gone").agg(F.min("read").alias("read")).where("read < coalesce(gone, read + 1)")
     jumps = fallen.unionByName(any_read.select(*NODE, F.col("read").alias("jump"))).unionByName(
         above.select(*NODE, F.col("read").alias("jump"))).where("jump is not null")
-    edges = jumps.groupBy(*NODE).agg(F.min("jump").alias("jump")).join(nodes.select(*NODE, "next_fixed"), NODE)
+    edges = jumps.groupBy(*NODE).agg(F.min("jump").alias("jump")).join(growing(nodes.select(*NODE, "next_fixed")), NODE)
     edges = edges.where("next_fixed is null or jump < next_fixed").drop("next_fixed")
     reached = walk(nodes.where("fixed").select(*NODE), edges)
     admitted = reached.withColumnRenamed("log_seq", "cmd_seq").withColumn("admitted", F.lit(True))
-    decided = judged.join(admitted, [*ROW, "cmd_seq"], "left")
+    decided = judged.join(growing(admitted), [*ROW, "cmd_seq"], "left")
     decision = F.when(~F.col("able"), C.ERROR).when(F.col("admitted"), C.ACCEPT).otherwise(C.IGNORE)
     return decided.withColumn("decision", decision).withColumn(
         "reason", F.when(F.col("decision") == C.ERROR, F.lit(C.NO_STATE))).drop("able", "admitted", "first")
@@ -174,7 +174,7 @@ def expand_batch(commands: DataFrame, *, base: int = 0, page: int = C.PAGE) -> t
     messages = [
         emit(posted.where("reason is null"), 0, S.MESSAGE_CREATED, message_id=F.col("message_id"),
              owner_id=F.col("user_id"), content=F.col("content")),
-        emit(of("message_delete").join(deaths, ["cmd_seq", "chat_id", "message_id"], "left_semi"), 0, S.MESSAGE_DELETED,
+        emit(of("message_delete").join(growing(deaths), ["cmd_seq", "chat_id", "message_id"], "left_semi"), 0, S.MESSAGE_DELETED,
              message_id=F.col("message_id")),
     ]
     skeleton = cut_lineage(chats.unionByName(_placed(messages, hot)), typed)

@@ -25,7 +25,7 @@ from chatledger import schemas as S
 from chatledger.operators.history import (
     count_after, existing_at, message_lives, newest_at, users_of, valid_adds,
 )
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, growing
 from chatledger.plans.ordered import as_of, following, previous, running
 from chatledger.plans.skew import span_of
 
@@ -68,13 +68,13 @@ def bumps_since(bumped: DataFrame, counted: DataFrame) -> DataFrame:
     are summed per span before they meet ``at``; only the span that holds ``at`` is looked at bump by bump."""
     seq, amount = F.col("log_seq"), F.col("increase_on")
     marks = counted.select(*ROW, "at", "hot")
-    few = bumped.where("not hot").drop("hot").join(marks.where("not hot").drop("hot"), ROW).where(
+    few = bumped.where("not hot").drop("hot").join(growing(marks.where("not hot").drop("hot")), ROW).where(
         seq > F.col("at")
     ).groupBy(*ROW).agg(F.sum(amount).alias("bumped"))
     spans = bumped.where("hot").withColumn("span", span_of(bumped.sparkSession, "log_seq"))
     limits = marks.where("hot").withColumn("limit_", span_of(bumped.sparkSession, "at")).drop("hot")
-    later = spans.groupBy(*ROW, "span").agg(F.sum(amount).alias("amount")).join(limits, ROW).where("span > limit_")
-    here = spans.withColumnRenamed("span", "limit_").join(limits, [*ROW, "limit_"]).where(seq > F.col("at"))
+    later = spans.groupBy(*ROW, "span").agg(F.sum(amount).alias("amount")).join(growing(limits), ROW).where("span > limit_")
+    here = spans.withColumnRenamed("span", "limit_").join(growing(limits), [*ROW, "limit_"]).where(seq > F.col("at"))
     many = later.select(*ROW, "amount").unionByName(here.select(*ROW, amount.alias("amount"))).groupBy(*ROW).agg(
         F.sum("amount").alias("bumped")
     )
@@ -85,7 +85,7 @@ def normalize_reads(events: DataFrame, lives: DataFrame) -> DataFrame:
     """Each read's message, replaced by the newest one (or 0) when it does not exist at that position."""
     asked = reads(events).withColumnsRenamed({"log_seq": "at", "given": "id"})
     judged = existing_at(asked, lives)
-    return judged.join(newest_at(asked, lives).drop("hot"), ["chat_id", "at"]).select(
+    return judged.join(growing(newest_at(asked, lives).drop("hot")), ["chat_id", "at"]).select(
         F.col("at").alias("log_seq"), "user_id", "chat_id", F.col("id").alias("given"),
         F.when(F.col("exists"), F.col("id")).otherwise(F.coalesce("newest", F.lit(0))).alias("normalized"), "hot",
     )
@@ -107,12 +107,12 @@ def settle(nodes: DataFrame, lives: DataFrame) -> DataFrame:
         "chat_id", F.col("id").alias("value"), F.col("to_seq").alias("gone"),
         F.coalesce("revived", F.lit(S.OPEN)).alias("back"),
     )
-    doomed = known.where("value > 0").join(gaps, ["chat_id", "value"]).where("gone > log_seq").withColumn(
+    doomed = known.where("value > 0").join(growing(gaps), ["chat_id", "value"]).where("gone > log_seq").withColumn(
         "limit_", F.least("back", "next_fixed")
     ).where("gone < limit_").select(*NODE, "hot", "gone", "limit_")
     checks = nodes.where(~F.col("fixed")).select(*ROW, "hot", F.col("log_seq").alias("jump"))
     edges = as_of(doomed, checks, ROW, "gone", "jump", ["jump"], reverse=True).where("jump < limit_")
-    return nodes.join(walk(nodes.where("fixed").select(*NODE), edges.groupBy(*NODE).agg(F.min("jump").alias("jump"))), NODE)
+    return nodes.join(growing(walk(nodes.where("fixed").select(*NODE), edges.groupBy(*NODE).agg(F.min("jump").alias("jump")))), NODE)
 
 
 def walk(roots: DataFrame, edges: DataFrame) -> DataFrame:
@@ -136,13 +136,13 @@ def marker_history(events: DataFrame, lives: DataFrame | None = None) -> DataFra
     given = cut_lineage(given, events)
     first = filled.select(*NODE).unionByName(given.select(*NODE)).groupBy(*ROW).agg(F.min("log_seq").alias("first"))
     first = cut_lineage(first)
-    posted = posts(events).join(first, ROW).where("log_seq > first").drop("first")
+    posted = posts(events).join(growing(first), ROW).where("log_seq > first").drop("first")
     tops = newest_at(
         posted.unionByName(filled.where("refill").select(*posted.columns)).withColumnRenamed("log_seq", "at"), lives
     ).select("chat_id", F.col("at").alias("log_seq"), F.coalesce("newest", F.lit(0)).alias("top"))
     tops = cut_lineage(tops)
-    posted = posted.join(tops, ["chat_id", "log_seq"]).withColumnRenamed("top", "value")
-    checked = filled.join(first, ROW).join(tops, ["chat_id", "log_seq"], "left").select(
+    posted = posted.join(growing(tops), ["chat_id", "log_seq"]).withColumnRenamed("top", "value")
+    checked = filled.join(growing(first), ROW).join(growing(tops), ["chat_id", "log_seq"], "left").select(
         *NODE, "hot", (F.col("log_seq") == F.col("first")).alias("fixed"),
         F.when(F.col("refill") & (F.col("log_seq") > F.col("first")), F.col("top"))
         .otherwise(F.lit(0).cast("long")).alias("value"),
@@ -169,12 +169,12 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     found = as_of(base, moves.withColumn("start", seq), ROW, "base", "log_seq", ["start", "given"])
     latest = posted.groupBy(*ROW).agg(F.max("log_seq").alias("post"))
     void = F.col("start") < F.col("first")
-    marks = cut_lineage(found.join(latest, ROW, "left").select(
+    marks = cut_lineage(found.join(growing(latest), ROW, "left").select(
         *ROW, "hot", "base", F.when(~void, F.col("start")).alias("start"), "given",
         F.when(F.col("post") > F.col("base"), F.col("post")).alias("post"),
     ), events)
     starts = marks.where("start is not null")
-    checked = cut_lineage(filled.join(starts.select(*ROW, "start", "base"), ROW).where(
+    checked = cut_lineage(filled.join(growing(starts.select(*ROW, "start", "base")), ROW).where(
         (seq > F.col("start")) & (seq <= F.col("base"))
     ).select(*NODE, "hot", "refill"), events)
 
@@ -183,26 +183,26 @@ def unread(events: DataFrame, lives: DataFrame | None = None) -> DataFrame:
     ).unionByName(checked.where("refill").select("chat_id", seq.alias("at"), "hot"))
     tops = cut_lineage(newest_at(asked, lives).select("chat_id", "at", F.coalesce("newest", F.lit(0)).alias("top")))
     begun = starts.select(*ROW, "hot", F.col("start").alias("at"), F.col("given").alias("id"))
-    begun = existing_at(begun, lives).join(tops, ["chat_id", "at"]).select(
+    begun = existing_at(begun, lives).join(growing(tops), ["chat_id", "at"]).select(
         *ROW, F.col("at").alias("log_seq"), "hot", F.lit(True).alias("fixed"),
         F.when(F.col("exists"), F.col("id")).otherwise(F.col("top")).alias("value"),
     )
-    possible = checked.join(tops.withColumnRenamed("at", "log_seq"), ["chat_id", "log_seq"], "left").select(
+    possible = checked.join(growing(tops.withColumnRenamed("at", "log_seq")), ["chat_id", "log_seq"], "left").select(
         *NODE, "hot", F.lit(False).alias("fixed"),
         F.when(F.col("refill"), F.col("top")).otherwise(F.lit(0).cast("long")).alias("value"),
     )
     markers = settle(begun.unionByName(possible), lives).groupBy(*ROW).agg(F.max_by("value", "log_seq").alias("marker"))
-    counted = cut_lineage(base.join(markers, ROW, "left").select(
+    counted = cut_lineage(base.join(growing(markers), ROW, "left").select(
         *ROW, "hot", F.col("base").alias("at"), F.coalesce("marker", F.lit(0)).alias("marker")
     ), events)
 
     above = count_after(counted, lives).drop("hot")
     since = bumps_since(bumps(events), counted)
     moved = marks.where("post is not null").select(*ROW, F.col("post").alias("at")).join(
-        tops, ["chat_id", "at"]
+        growing(tops), ["chat_id", "at"]
     ).select(*ROW, F.col("top").alias("posted"))
     return (
-        counted.join(above, ["chat_id", "at", "marker"]).join(since, ROW, "left").join(moved, ROW, "left")
+        counted.join(growing(above), ["chat_id", "at", "marker"]).join(growing(since), ROW, "left").join(growing(moved), ROW, "left")
         .select(
             *ROW, (F.col("n") + F.coalesce("bumped", F.lit(0))).alias("unread_messages"),
             F.coalesce("posted", "marker").alias("last_message_id"),
