@@ -1,9 +1,9 @@
 """Personal data: fixed patterns, and spans that boosted trees add to them.
 
 Generous generators propose overlapping spans. Boosted trees judge each by its format and its surroundings; they learn
-from a bounded sample of the proposals of each kind, over all documents, which are what the fixed patterns or a naming
+from all distinct proposals of all documents, which are what the fixed patterns or a naming
 word ("token = ...") confirm, without seeing those checks. A proposal is taken when a naming word confirms it, or when
-its chance is over a threshold that a held-out part of the sample shows to be precise enough. Spans of the fixed patterns
+its chance is over a threshold that a held-out part of them shows to be precise enough. Spans of the fixed patterns
 always stay.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatledger.llm.boosting import Boosted, boost
+from chatledger.llm.boosting import Boosted, Stored, boost
 from chatledger.llm.common import cut_lineage
 
 #: Kinds in their order; the last one is proposed by the trees only.
@@ -61,6 +61,9 @@ NAMED = {
     "secret": re.compile(r"(?:token|secret|password|passwd|api[_ -]?key)\s*[=:]\s*[\"']?$", re.I),
 }
 
+#: Chances are told apart by this many steps where thresholds are set.
+STEPS = 10_000
+
 Span = tuple[str, int, int]
 
 
@@ -154,7 +157,7 @@ def features(text: str, span: Span) -> list[float]:
     parts = [len(g) for g in groups] or [0]
     left, right = text[max(0, start - 24) : start], text[end : end + 24]
     edge = lambda c: 0 if not c else 1 if c.isspace() else 2 if c.isalpha() else 3 if c.isdigit() else 4
-    return [
+    values = [
         KINDS.index(kind), size, digits, digits / size, letters / size, len(groups), max(parts), min(parts),
         len(set(body)) / size, sum(c in "abcdefABCDEF0123456789" for c in body) / size, body.count("."),
         body.count("-"), body.count(" "), body.count("("), int(groups[0][0]) if groups else -1, sum(map(str.isupper, body)) / size,
@@ -162,6 +165,8 @@ def features(text: str, span: Span) -> list[float]:
         edge(left[-1:]), edge(right[:1]), sum(map(str.isdigit, left)), sum(map(str.isdigit, right)),
         "=" in left or ":" in left, '"' in left[-1:],
     ]
+    # Three digits each, so that a feature has few distinct values.
+    return [float(f"{v:.3g}") if v % 1 or v > 999 else float(v) for v in values]
 
 
 def named(text: str, span: Span) -> bool:
@@ -221,36 +226,37 @@ class Model:
     least: dict[str, float]
 
 
-def thresholds(kinds: np.ndarray, chance: np.ndarray, y: np.ndarray, precision: float, enough: int) -> dict[str, float]:
-    """Per kind, the smallest chance from which on at least ``precision`` of the held-out proposals are right; with fewer
-    than ``enough`` of them, ``precision``."""
+def thresholds(held: Stored, trees: Boosted, precision: float, enough: int) -> dict[str, float]:
+    """Per kind, the smallest chance, of the multiples of 1 / ``STEPS``, from which on at least ``precision`` of the held-out
+    proposals are right; with fewer than ``enough`` of them, ``precision``."""
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("x").to_pylist()).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1))
+            step = (trees.chance(x) * STEPS).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[:, 0].astype(np.int64)), pa.array(step), batch.column("y")], ["kind", "step", "y"])
+
+    judged = held.rows.select("x", "y").mapInArrow(judge, "kind long, step long, y boolean")
+    counts = judged.groupBy("kind", "step").agg(F.count(F.lit(1)).alias("n"), F.count_if("y").alias("right")).collect()
     out = {}
     for k, kind in enumerate(KINDS):
-        own = kinds == k
-        order = np.argsort(-chance[own], kind="stable")
-        right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        good = np.flatnonzero(right >= precision)
-        if own.sum() < enough:
+        own = sorted((r for r in counts if r.kind == k), key=lambda r: -r.step)
+        n, right = np.cumsum([r.n for r in own]), np.cumsum([r.right for r in own])
+        if not own or n[-1] < enough:
             out[kind] = precision
         else:
-            out[kind] = float(chance[own][order][good[-1]]) if len(good) else 2.0
+            good = np.flatnonzero(right >= precision * n)
+            out[kind] = own[good[-1]].step / STEPS if len(good) else 2.0
     return out
 
 
-def train(documents: DataFrame, *, most_rows: int = 4_000, precision: float = 0.98, enough: int = 20) -> Model:
-    """Fit on the proposals of all documents: of each kind, ``most_rows`` distinct ones at most, chosen by hash. A quarter
-    is held out to set the thresholds. A kind with fewer than ``enough`` rows there, too few to show a precision, is
-    taken where its chance is at least ``precision`` itself."""
+def train(documents: DataFrame, *, precision: float = 0.98, enough: int = 20) -> Model:
+    """Fit on all distinct proposals of all documents. A quarter, chosen by hash, is held out to set the thresholds. A kind
+    with fewer than ``enough`` rows there, too few to show a precision, is taken where its chance is at least
+    ``precision`` itself."""
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[str, dict[str, tuple]] = {kind: {} for kind in KINDS}
-        bound = dict.fromkeys(KINDS, "g")
-
-        def cut(kind: str) -> None:
-            keys = sorted(best[kind])[:most_rows]
-            best[kind] = {k: best[kind][k] for k in keys}
-            bound[kind] = keys[-1]
-
         for batch in batches:
+            seen: dict[bytes, tuple] = {}
             for text in batch.column("text").to_pylist():
                 if not text or not ANY.search(text):
                     continue
@@ -258,34 +264,20 @@ def train(documents: DataFrame, *, most_rows: int = 4_000, precision: float = 0.
                 for span in proposals(text):
                     kind, start, end = span
                     body = f"{kind}:{text[start:end]}:{text[max(0, start - 30):end + 30]}"
-                    key = hashlib.md5(body.encode()).hexdigest()
-                    if key >= bound[kind] or key in best[kind]:
-                        continue
                     found = Taken(base(text)) if found is None else found
-                    best[kind][key] = known(text, span, found), [float(v) for v in features(text, span)]
-                    if len(best[kind]) >= 2 * most_rows:
-                        cut(kind)
-        for kind, own in best.items():
-            if len(own) > most_rows:
-                cut(kind)
-            keys = list(best[kind])
+                    y, key = known(text, span, found), hashlib.md5(body.encode()).digest()
+                    if key not in seen or y > seen[key][0]:
+                        seen[key] = y, features(text, span)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.string()),
-                 pa.array([best[kind][k][0] for k in keys], pa.bool_()),
-                 pa.array([best[kind][k][1] for k in keys], pa.list_(pa.float64()))], ["kind", "key", "y", "x"])
+                [pa.array(list(seen), pa.binary()), pa.array([y for y, _ in seen.values()], pa.bool_()),
+                 pa.array([x for _, x in seen.values()], pa.list_(pa.float64()))], ["key", "y", "x"])
 
-    # A task gives so many rows of a kind at most; of those of all tasks the first keys stay.
-    given = cut_lineage(documents.select("text").mapInArrow(propose, "kind string, key string, y boolean, x array<double>"))
+    given = documents.select("text").mapInArrow(propose, "key binary, y boolean, x array<double>")
     # Places with one key can differ in what lies further off: a confirmed one stays.
-    distinct = given.groupBy("kind", "key").agg(F.max(F.struct("y", "x")).alias("v"))
-    first = [distinct.where(F.col("kind") == kind).orderBy("key").limit(most_rows) for kind in KINDS]
-    rows = [r for got in first for r in got.select("key", "v.y", "v.x").collect()]
-    if not rows:
-        return Model(Boosted(-30.0, []), dict.fromkeys(KINDS, 2.0))
-    x, y = np.array([r.x for r in rows]), np.array([r.y for r in rows], float)
-    held = np.array([int(r.key[-1], 16) % 4 == 0 for r in rows])
-    trees = boost(x[~held], y[~held])
-    return Model(trees, thresholds(x[held][:, 0], trees.chance(x[held]), y[held], precision, enough))
+    distinct = given.groupBy("key").agg(F.max(F.struct("y", "x")).alias("v"))
+    rows = cut_lineage(distinct.select("v.y", "v.x", (F.conv(F.substring(F.hex("key"), -1, 1), 16, 10) % 4 == 0).alias("held")))
+    trees = boost(Stored(rows.where("not held")), None)
+    return Model(trees, thresholds(Stored(rows.where("held")), trees, precision, enough))
 
 
 def spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:

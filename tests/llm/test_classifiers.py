@@ -12,7 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from chatledger.llm import language, pii, quality
+from chatledger.llm import boosting, language, pii, quality
 from chatledger.llm.boosting import Boosted, boost
 
 
@@ -208,6 +208,28 @@ def test_personal_data_learns_from_distinct_proposals(spark, monkeypatch):
     assert sum(seen) == 31
 
 
+def test_personal_data_learns_from_all_proposals(spark, monkeypatch):
+    """No proposal is left out, however many there are."""
+    seen = []
+    monkeypatch.setattr(pii, "boost", lambda x, y: seen.append(len(x)) or Boosted(0.0, []))
+    monkeypatch.setattr(pii, "thresholds", lambda held, *a: seen.append(len(held)) or dict.fromkeys(pii.KINDS, 2.0))
+    texts = [f"call +1 (336) 555-{i:05d} now" for i in range(6000)]
+    pii.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4))
+    assert sum(seen) == 6000
+
+
+def test_boosting_in_tasks(spark, monkeypatch):
+    """Tasks, the driver and arrays add up to the same trees."""
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 40, (600, 3)).astype(float)
+    y = (x[:, 0] > 20) ^ (x[:, 1] > 9)
+    rows = spark.createDataFrame([(a.tolist(), bool(b)) for a, b in zip(x, y)], "x array<double>, y boolean").repartition(3)
+    want = boost(x, y.astype(float), trees=2).chance(x).tolist()
+    for most in (0, 1 << 16):
+        monkeypatch.setattr(boosting, "HERE", most)
+        assert boost(boosting.Stored(rows), None, trees=2).chance(x).tolist() == want
+
+
 def test_boosting():
     draw = np.random.default_rng(4)
     x = draw.random((2000, 3))
