@@ -58,7 +58,7 @@ def end_offsets(records: DataFrame) -> DataFrame:
 def bounded(records: DataFrame, ends: DataFrame) -> DataFrame:
     """Records before the snapshot of end offsets; a partition whose end is 0 has none."""
     ends = ends.where("end_offset > 0")
-    return records.join(ends, "partition").where("offset < end_offset").drop("end_offset")
+    return records.join(F.broadcast(ends), "partition").where("offset < end_offset").drop("end_offset")
 
 
 def log_position(headers: str = "headers", partitions: int | None = None) -> Column:
@@ -94,7 +94,7 @@ def append_log(
     numbered = running(placed, ["partition"], ["log_seq"], place=total(F.lit(1)))
     start = F.lit(0)
     if first_offsets is not None:
-        numbered = numbered.join(first_offsets, "partition", "left")
+        numbered = numbered.join(F.broadcast(first_offsets), "partition", "left")
         start = F.coalesce("end_offset", F.lit(0))
     return numbered.withColumn("offset", F.col("place") - 1 + start).drop("place", "hot", "end_offset")
 
@@ -204,7 +204,7 @@ def import_append(lines: DataFrame, log: DataFrame, *, strict: bool = True) -> D
     ends, in order of file and line, whatever offsets the lines name. Stamped positions move behind the log's."""
     records = import_log(lines, strict=strict)
     placed = numbered(records, ["partition"], [F.col("file"), F.col("line")], "place_")
-    placed = placed.join(end_offsets(log), "partition", "left")
+    placed = placed.join(F.broadcast(end_offsets(log)), "partition", "left")
     last = log.agg(F.coalesce(F.max(log_position()), F.lit(-1)).alias("last")).scalar()
     stamp = log_position()
     moved = F.map_concat(

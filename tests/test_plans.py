@@ -18,6 +18,7 @@ from chatledger.plans.ordered import (
 )
 from chatledger.plans.skew import flag_hot, hot_chats
 from chatledger.queries import store
+from chatledger.sources import log as L
 from chatledger.sources.tables import store_events, store_parts
 from chatledger.streaming.replay import TABLES, replay_full
 from tests.fold import frame
@@ -172,5 +173,21 @@ def test_sides_that_grow_are_not_broadcast(spark):
     posts = asked.withColumns({"cmd_seq": F.col("at") + 1, "message_id": F.lit(None).cast("long")})
     marks = asked.withColumn("marker", F.lit(0).cast("long"))
     for df in (H.members_at(asked, members), H.newest_at(asked, lives), H.count_after(marks, lives),
-               C.judge_posts(posts, events), C.member_pages(asked, members)):
+               C.judge_posts(posts, events)):
         assert "Broadcast" not in plan(df)
+
+
+def test_partitions_of_the_log_are_not_gathered(spark, tmp_path):
+    """The ends of a log are sent to its records, not a whole partition to one task."""
+    records = store(spark, SF).records
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        added = L.import_append(L.read_lines(spark, export_of(records, str(tmp_path / "export"))), records)
+        assert not re.search(r"SortMergeJoin \[partition#\d+L?\]", plan(added))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def export_of(records, path: str) -> str:
+    L.write_export(records, path)
+    return path
