@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatledger import schemas as S
@@ -161,19 +161,23 @@ def import_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "damaged")
     lines = numbered(L.export_log(records), [], [F.col("partition"), F.col("offset")])
     spoiled = lines.withColumn("value", F.when(F.col("pos") % 7 == 0, F.expr("substring(value, 2)")).otherwise(F.col("value")))
-    # One file per partition of the log, so that line numbers have a meaning of their own.
-    spoiled.repartition("partition").sortWithinPartitions("partition", "offset").select("partition", "value").write.partitionBy(
+    # A folder per partition of the log; its files follow each other by name, so that its lines have numbers of their own.
+    spoiled.repartitionByRange("partition", "offset").sortWithinPartitions("partition", "offset").select("partition", "value").write.partitionBy(
         "partition").text(path)
-    rejected = L.rejected_lines(L.read_lines(spark, path))
-    return rejected.select(
-        F.regexp_extract("file", "partition=([0-9]+)", 1).cast("int").alias("partition"), "line", "reason")
+    lines = cut_lineage(L.read_lines(spark, path)).withColumn(
+        "partition", F.regexp_extract("file", "partition=([0-9]+)", 1).cast("int"))
+    before = Window.partitionBy("partition").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = lines.groupBy("partition", "file").agg(F.max("line").alias("lines")).select(
+        "file", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    rejected = L.rejected_lines(lines).join(F.broadcast(files), "file")  # one row per file
+    return rejected.select("partition", (F.col("before") + F.col("line")).alias("line"), "reason")
 
 
 def import_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export of the log's second half imported into a log that holds the first half of every partition."""
     records = store(spark, sf_dir).records
     halves = L.end_offsets(records).select("partition", F.expr("end_offset div 2").alias("half"))
-    cut = records.join(halves, "partition")
+    cut = records.join(F.broadcast(halves), "partition")  # one row per partition
     first = cut.where("offset < half").drop("half")
     path = scratch_path(spark, "second-half")
     L.write_export(cut.where("offset >= half").drop("half"), path)
