@@ -149,23 +149,30 @@ def newest_at(positions: DataFrame, lives: DataFrame) -> DataFrame:
     when there is none. ``positions`` has ``chat_id``, ``at`` and ``hot``; the result is distinct.
 
     Messages that are never deleted give a running maximum. Deleted ones matter only if they were above
-    it when they appeared; these are cut into blocks, reduced to the maximum per block, and met by equality.
+    it when they appeared; these are cut into blocks, reduced to the maximum per block, and met by equality. Positions
+    at which no such message exists, by a running count, meet none.
     """
     positions = positions.select("chat_id", "at", "hot").distinct()
+    passes = F.col("to_seq") < S.OPEN
     line = lives.select(
-        "chat_id", F.col("from_seq").alias("at"), "hot", "id", "to_seq", F.lit(False).alias("asked")
+        "chat_id", F.col("from_seq").alias("at"), "hot", "id", "to_seq", F.lit(False).alias("asked"),
+        passes.cast("int").alias("step"),
+    ).unionByName(
+        lives.where(passes).select("chat_id", F.col("to_seq").alias("at"), "hot", F.lit(False).alias("asked"), F.lit(-1).alias("step")),
+        allowMissingColumns=True,
     ).unionByName(positions.withColumn("asked", F.lit(True)), allowMissingColumns=True)
     line = running(
-        line, ["chat_id"], ["at", "asked"], stays=highest(F.when(F.col("to_seq") == S.OPEN, F.col("id")))
+        line, ["chat_id"], ["at", "asked"], stays=highest(F.when(F.col("to_seq") == S.OPEN, F.col("id"))),
+        passing_=total(F.col("step")),
     )
     above = F.col("stays").isNull() | (F.col("id") > F.col("stays"))
     blocks = line.where(~F.col("asked") & (F.col("to_seq") < S.OPEN) & above).select(
         "chat_id", "id", F.explode(cover("at", "to_seq")).alias("b")
     ).groupBy("chat_id", "b.level", "b.node").agg(F.max("id").alias("passing"))
-    asked = line.where("asked").select("chat_id", "at", "hot", "stays")
+    asked = line.where("asked").select("chat_id", "at", "hot", "stays", "passing_")
     # The longest life bounds the levels; taken from the lives, so the ordered pass runs once.
     top = lives.where(F.col("to_seq") < S.OPEN).agg(F.max(levels("from_seq", "to_seq"))).scalar()
-    met = asked.withColumn("top_", top).select("chat_id", "at", F.explode(path("at", "top_")).alias("b")).select(
+    met = asked.where("passing_ > 0").withColumn("top_", top).select("chat_id", "at", F.explode(path("at", "top_")).alias("b")).select(
         "chat_id", "at", "b.level", "b.node"
     ).join(growing(blocks), ["chat_id", "level", "node"]).groupBy("chat_id", "at").agg(F.max("passing").alias("passing"))
     return asked.join(growing(met), ["chat_id", "at"], "left").select(
