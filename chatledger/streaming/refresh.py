@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from chatledger import schemas as S
-from chatledger.operators.events import read_events
+from chatledger.operators.events import decode, split_known
 from chatledger.plans.materialize import cut_lineage
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.log import dedup, scan_log
@@ -53,8 +53,9 @@ def apply_batch(
     by their offsets, without a look at what was stored."""
     spark, versions = batch.sparkSession, tables_at(batch.sparkSession, root)
     before = versions.applied(batch_id - 1)
-    fresh = cut_lineage(without_applied(dedup(batch), before))
-    known, dead = read_events(fresh, partitions)
+    # Decoded once for the events, the dead letters and the offsets.
+    fresh = cut_lineage(decode(without_applied(dedup(batch), before), partitions))
+    known, dead = split_known(fresh)
     stored = f"{root}/log/batch={batch_id}"
     known.withColumn("bucket", bucket_of(F.col("chat_id"), buckets)).write.mode("overwrite").partitionBy(
         "bucket"
