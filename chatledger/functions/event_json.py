@@ -52,9 +52,13 @@ def strict_box(text: str) -> Column:
     no text can end both arrays.
     """
     def boxed(mark: str) -> Column:
+        def checked(box: Column) -> Column:
+            whole = F.try_variant_get(box, "$[1]", "string") == mark
+            return F.when(whole & F.try_variant_get(box, "$[2]", "variant").isNull(), box)
+
+        # As the only element of an array, so that the text is parsed once for all that is asked of it.
         box = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f', "{mark}"]')))
-        whole = F.try_variant_get(box, "$[1]", "string") == mark
-        return F.when(whole & F.try_variant_get(box, "$[2]", "variant").isNull(), box)
+        return F.get(F.transform(F.array(box), checked), F.lit(0))
 
     return F.when(F.col(text).contains('"end"'), F.when(boxed("end").isNotNull(), boxed("stop"))).otherwise(boxed("end"))
 
@@ -92,41 +96,43 @@ def is_plain(text: str, parsed: str) -> Column:
         & (found('":') == names) & ~text.rlike('"(title|content|createdAt)"\\s*:\\s*[^"\\s]'), F.lit(False))
 
 
-def is_event(plain: Column, value: str, name: str, parsed: str) -> Column:
+def is_event(plain: Column, value: str, name: str, parsed: str, clock: str) -> Column:
     """Whether a value (column ``value``: the variant of ``strict_json``, needed only if it is not ``plain``) is one JSON
     object whose fields, as far as its event has them, are of the right types. Absent and null fields are fine, and so
-    are fields of other events, whatever they hold."""
-    value = F.col(value)
-    at = lambda field: F.try_variant_get(value, f"$.{field}", "variant")
-    kind = lambda field: F.coalesce(F.schema_of_variant(at(field)), F.lit("VOID"))
-
-    def small(field: str) -> Column:
-        return F.coalesce(F.try_variant_get(value, f"$.{field}", "smallint").isNotNull(), F.lit(False))
-
-    right = {
-        "title": kind("title").isin("VOID", "STRING"), "content": kind("content").isin("VOID", "STRING"),
-        "pinned": kind("pinned").isin("VOID", "BOOLEAN"),
-        "participantIds": kind("participantIds").isin("VOID", "ARRAY<BIGINT>", "ARRAY<VOID>"),
-    }
-    for field in ("unreadMessagesAction", "lastMessageAction", "chatCommonAction"):
-        right[field] = (kind(field) == "VOID") | (kind(field) == "BIGINT") & small(field)
-    for field in ("chatId", "participantId", "id", "messageId", "ownerId", "increaseOn"):
-        right[field] = kind(field).isin("VOID", "BIGINT")
-
-    def wrong(*fields: str) -> Column:
-        return F.array_compact(F.array(*[F.when(~right[f], F.lit(f)) for f in fields]))
-
-    owned = F.create_map(*[x for event, fields in OWN_FIELDS.items() for x in (
-        F.lit(event), F.array(F.lit("chatId"), *map(F.lit, fields)))])[F.col(name)]
+    are fields of other events, whatever they hold. ``clock`` is the column with ``utc_clock`` of its time."""
+    def typed(value: Column) -> Column:
+        at = lambda field: F.try_variant_get(value, f"$.{field}", "variant")
+        kind = lambda field: F.coalesce(F.schema_of_variant(at(field)), F.lit("VOID"))
+
+        def small(field: str) -> Column:
+            return F.coalesce(F.try_variant_get(value, f"$.{field}", "smallint").isNotNull(), F.lit(False))
+
+        right = {
+            "title": kind("title").isin("VOID", "STRING"), "content": kind("content").isin("VOID", "STRING"),
+            "pinned": kind("pinned").isin("VOID", "BOOLEAN"),
+            "participantIds": kind("participantIds").isin("VOID", "ARRAY<BIGINT>", "ARRAY<VOID>"),
+        }
+        for field in ("unreadMessagesAction", "lastMessageAction", "chatCommonAction"):
+            right[field] = (kind(field) == "VOID") | (kind(field) == "BIGINT") & small(field)
+        for field in ("chatId", "participantId", "id", "messageId", "ownerId", "increaseOn"):
+            right[field] = kind(field).isin("VOID", "BIGINT")
+
+        def wrong(*fields: str) -> Column:
+            return F.array_compact(F.array(*[F.when(~right[f], F.lit(f)) for f in fields]))
+
+        owned = F.create_map(*[x for event, fields in OWN_FIELDS.items() for x in (
+            F.lit(event), F.array(F.lit("chatId"), *map(F.lit, fields)))])[F.col(name)]
+        extra = kind("additionalData").startswith("OBJECT") | (kind("additionalData") == "VOID")
+        # Most values hold what they should: only those the typed parser stumbled over are looked at field by field. It
+        # takes anything for text, though.
+        found = F.when(F.col(f"{parsed}.broken").isNull(), wrong("title", "content")).otherwise(wrong(*right))
+        fields = ~F.coalesce(F.arrays_overlap(found, owned), F.lit(False)) & (F.col(f"{parsed}.broken").isNull() | extra)
+        return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)) & fields
+
     stamp = F.col(f"{parsed}.additionalData.createdAt")
-    timed = stamp.isNull() | stamp.rlike(STAMP) & utc_clock(f"{parsed}.additionalData.createdAt").isNotNull()
-    extra = kind("additionalData").startswith("OBJECT") | (kind("additionalData") == "VOID")
-    # Most values hold what they should: only those the typed parser stumbled over are looked at field by field. It takes
-    # anything for text, though.
-    found = F.when(F.col(f"{parsed}.broken").isNull(), wrong("title", "content")).otherwise(wrong(*right))
-    fields = ~F.coalesce(F.arrays_overlap(found, owned), F.lit(False)) & (F.col(f"{parsed}.broken").isNull() | extra)
-    whole = F.schema_of_variant(value).startswith("OBJECT")
-    sound = F.when(plain, True).otherwise(F.coalesce(whole, F.lit(False)) & fields)
+    timed = stamp.isNull() | stamp.rlike(STAMP) & F.col(clock).isNotNull()
+    # As the only element of an array: what few values need stays out of the code that is compiled for all of them.
+    sound = F.when(plain, True).otherwise(F.get(F.transform(F.array(F.col(value)), typed), F.lit(0)))
     return sound & F.coalesce(timed, F.lit(False))
 
 

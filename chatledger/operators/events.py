@@ -32,11 +32,12 @@ def decode(records: DataFrame, partitions: int | None = None) -> DataFrame:
     # The partition id keeps filters above the parsing, which they would repeat for every field they ask for.
     parsed = parsed.withColumn("plain_", is_plain("value", "e_") & (F.spark_partition_id() >= 0))
     parsed = parsed.withColumn("v_", F.when(~F.col("plain_"), strict_json("value")))
-    parsed = parsed.withColumn("broken", ~is_event(F.col("plain_"), "v_", "name", "e_"))
+    parsed = parsed.withColumn("clock_", utc_clock("e_.additionalData.createdAt"))
+    parsed = parsed.withColumn("broken", ~is_event(F.col("plain_"), "v_", "name", "e_", "clock_"))
     decoded = parsed.select(
         log_position(partitions=partitions).alias("log_seq"), "partition", "offset",
         F.coalesce(e("chatId"), F.when(F.col("e_").isNotNull(), F.lit(0))).cast("bigint").alias("chat_id"), "name",
-        utc_clock("e_.additionalData.createdAt").alias("created_at"),
+        F.col("clock_").alias("created_at"),
         F.when(lists, F.transform(e("participantIds"), lambda i: F.coalesce(i, F.lit(0)))).alias("participant_ids"),
         own("title", "").alias("title"), number("participantId").alias("participant_id"),
         own("pinned", False).alias("pinned"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatledger.plans.ordered import running, total
+from chatledger.plans.ordered import SHORT_SPAN, running, total
 
 
 def assign_ids(commands: DataFrame, base: DataFrame | int = 0, partition: str | None = None) -> DataFrame:
@@ -16,7 +16,7 @@ def assign_ids(commands: DataFrame, base: DataFrame | int = 0, partition: str |
     keys = [] if partition is None else [partition]
     # The single sequence is walked in spans; per chat this depends on how many commands it has.
     rows = commands.withColumn("hot", F.lit(True)) if partition is None else commands
-    rows = running(rows, keys, ["cmd_seq"], step_=total(F.lit(1)))
+    rows = running(rows, keys, ["cmd_seq"], width=SHORT_SPAN if partition is None else None, step_=total(F.lit(1)))
     if isinstance(base, int):
         rows = rows.withColumn("mark_", F.lit(base))
     elif keys:

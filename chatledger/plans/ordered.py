@@ -14,10 +14,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatledger.plans.materialize import cut_lineage
+from chatledger.plans.materialize import cut_lineage, growing
 from chatledger.plans.skew import span_of
 
 
+# Positions to a span where a few keys, as the partitions of a log, hold all rows: their spans are all the tasks there are.
+SHORT_SPAN = 1 << 18
+
+
 @dataclass(frozen=True)
 class Pass:
     """One output column of an ordered pass: what to carry along and of which expression."""
@@ -52,11 +56,13 @@ def total(value: Column) -> Pass:
 
 
 def running(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, reverse: bool = False, **passes: Pass
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *, reverse: bool = False, width: int | None = None,
+    **passes: Pass,
 ) -> DataFrame:
     """Add the columns of ``passes`` to ``df``, which must have the boolean column ``hot``.
 
-    ``order`` starts with the log position; further columns break ties. ``reverse`` walks backwards.
+    ``order`` starts with the log position; further columns break ties. ``reverse`` walks backwards. ``width`` is the
+    most positions of a span, if that is to be less than usual.
     """
     keys, order = list(keys), list(order)
     forward = (lambda c: F.col(c).desc()) if reverse else (lambda c: F.col(c).asc())
@@ -64,7 +70,7 @@ def running(
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     newest, oldest = (F.min_by, F.max_by) if reverse else (F.max_by, F.min_by)
 
-    df = df.withColumn("span_", span_of(df.sparkSession, order[0]))
+    df = df.withColumn("span_", span_of(df.sparkSession, order[0], width))
     inside = Window.partitionBy(*keys, "hot", "span_").orderBy(*[forward(c) for c in order])
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -106,7 +112,7 @@ def running(
 
 def as_of(
     probes: DataFrame, facts: DataFrame, keys: Sequence[str], probe_at: str, fact_at: str,
-    payload: Sequence[str], *, reverse: bool = False,
+    payload: Sequence[str], *, reverse: bool = False, width: int | None = None,
 ) -> DataFrame:
     """Add to each probe the payload of the nearest fact at or before its position (at or after it
     with ``reverse``). Both sides are walked in one ordered pass; there is no join on a range."""
@@ -121,10 +127,14 @@ def as_of(
             *keys, "hot", F.col(probe_at).alias("at_"), F.lit(not reverse).alias("late_"), *extra
         ).withColumn("probe_", F.lit(True)), allowMissingColumns=True,
     )
-    walked = running(line, keys, ["at_", "late_"], reverse=reverse, found_=last(F.col("fact_")))
+    walked = running(line, keys, ["at_", "late_"], reverse=reverse, width=width, found_=last(F.col("fact_")))
     return walked.where("probe_").select(*columns, *[F.col(f"found_.{c}").alias(c) for c in payload])
 
 
+# Starts of keys and blocks that ``numbered`` sends to the rows, at most.
+MAX_STARTS = 10_000
+
+
 def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Number the rows of each key 1, 2, … in the given order, which must be total.
 
@@ -143,5 +153,9 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     starts = blocks.select(
         *keys, "block_", "first_", F.coalesce(F.sum("rows_").over(earlier), F.lit(0)).alias("before_")
     )
+    starts = cut_lineage(starts)
+    # With few of them, as for the files of an import, the rows themselves need no other shuffle than the sort's.
+    few = starts.limit(MAX_STARTS + 1).count() <= MAX_STARTS
+    starts = F.broadcast(starts) if few else growing(starts)
     number = F.col("place_") - F.col("first_") + F.col("before_") + 1
     return placed.join(starts, [*keys, "block_"]).select(*df.columns, number.alias(name))

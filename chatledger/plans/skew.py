@@ -74,6 +74,8 @@ def align_hot(rows: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]
     )
 
 
-def span_of(spark: SparkSession, position: str) -> Column:
-    """The span of a row: a slice of log positions for hot chats, one single span for all others."""
-    return F.when(F.col("hot"), F.expr(f"{position} div {span_width(spark)}")).otherwise(F.lit(0).cast("long"))
+def span_of(spark: SparkSession, position: str, width: int | None = None) -> Column:
+    """The span of a row: a slice of log positions for hot chats, one single span for all others. ``width`` is the most
+    positions of a slice, if that is to be less than ``span_width``."""
+    slice_ = span_width(spark) if width is None else min(width, span_width(spark))
+    return F.when(F.col("hot"), F.expr(f"{position} div {slice_}")).otherwise(F.lit(0).cast("long"))

@@ -186,7 +186,9 @@ def import_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    again = store_records(_imported(spark, sf_dir))[0]
+    path = scratch_path(spark, "imported")
+    _imported(spark, sf_dir).select(*S.RECORD.fieldNames()).write.parquet(path)
+    again = store_records(L.scan_log(spark, path))[0]
     return diff(stored(_per_chat(spark, sf_dir, replay_full)), stored(again.per_chat(replay_full)))
 
 

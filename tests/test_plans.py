@@ -191,3 +191,47 @@ def test_partitions_of_the_log_are_not_gathered(spark, tmp_path):
 def export_of(records, path: str) -> str:
     L.write_export(records, path)
     return path
+
+
+def test_lines_are_parsed_once(spark, tmp_path):
+    """The filter that stops at a bad line stays above the parsing, and an export deals records before it parses them."""
+    lines = L.read_lines(spark, export_of(store(spark, SF).records, str(tmp_path / "export")))
+    for df in (L.import_log(lines), L.import_log(lines, strict=False), L.export_log(store(spark, SF).records)):
+        tests = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert tests and not any("parse" in line.lower() for line in tests)
+
+
+def test_rows_of_few_keys_are_numbered_without_another_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v")).repartition(4)
+        assert "SortMergeJoin" not in plan(numbered(df, ["k"], [F.col("v")]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_keys_are_walked_in_short_spans(spark):
+    rows = spark.range(10).select(F.lit(1).alias("k"), (F.col("id") * 100).alias("at"), F.lit(True).alias("hot"))
+    walked = running(rows, ["k"], ["at"], width=300, n=total(F.lit(1)))
+    assert {(r.at, r.n) for r in walked.collect()} == {(100 * i, i + 1) for i in range(10)}
+    assert "div 300" in plan(walked)
+    placed = L.append_log(store(spark, SF).events.drop("partition", "offset", "hot"), 3, partitioner=L.remainder_partition)
+    assert f"div {1 << 18}" in plan(placed)
+
+
+def test_records_without_copies_are_not_shuffled(spark):
+    records = store(spark, SF).records
+    assert "Exchange" not in plan(L.dedup(records))
+    again = L.dedup(records.unionByName(records.where("offset % 3 = 0")))
+    assert again.count() == records.count() == again.select("partition", "offset").distinct().count()
+
+
+def test_positions_without_a_passing_message_meet_no_blocks(spark, skew):
+    """Message 2 lives from 20 to 40 above 1, which stays; message 3 lives from 50 to 60."""
+    rows = [(1, 1, 10, 2**63 - 1), (1, 2, 20, 40), (1, 3, 50, 60)]
+    lives = spark.createDataFrame(rows, "chat_id bigint, id bigint, from_seq bigint, to_seq bigint").withColumn("hot", F.lit(skew == "hot"))
+    asked = spark.createDataFrame([(1, at) for at in range(0, 70, 5)], "chat_id bigint, at bigint").withColumn("hot", F.lit(skew == "hot"))
+    found = H.newest_at(asked, lives)
+    expected = {at: (2 if 20 <= at < 40 else 3 if 50 <= at < 60 else 1 if at >= 10 else None) for at in range(0, 70, 5)}
+    assert {r.at: r.newest for r in found.collect()} == expected
+    assert "passing_" in plan(found)
