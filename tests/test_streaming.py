@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from chatledger import schemas as S
 from chatledger.operators.events import decode, split_known
 from chatledger.plans.skew import flag_hot
 from chatledger.sources.chat_activity import as_records
 from chatledger.sources.log import append_log, dedup
+from chatledger.streaming import refresh
 from chatledger.streaming.refresh import apply_batch, read_log, read_table, refresh_available, reset
 from chatledger.streaming.replay import TABLES, diff, replay_full, stored
 from tests.fold import event, frame
@@ -58,3 +61,16 @@ def test_refresh_equals_replay(spark, tmp_path):
     assert read_table(spark, root, "message", 0).count() == early_messages
     reset(spark, root)
     assert read_table(spark, root, "message").isEmpty()
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path, monkeypatch):
+    """Events and dead letters come from one stored frame; a broken value still ends among the dead letters."""
+    seen = []
+    monkeypatch.setattr(refresh, "split_known", lambda rows: (seen.append(rows), split_known(rows))[1])
+    rows = [event(1, 1, S.CHAT_CREATED, title="a"), event(2, 1, S.CHAT_EDITED, title="b")]
+    records = as_records(append_log(frame(spark, rows).drop("partition", "offset"), 1))
+    broken = records.where("offset = 0").withColumns({"offset": F.lit(5).cast("long"), "value": F.lit("{")})
+    apply_batch(records.unionByName(records).unionByName(broken), 0, str(tmp_path), buckets=2)
+    assert len(seen) == 1 and "from_json" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert read_log(spark, str(tmp_path)).count() == 2
+    assert spark.read.parquet(f"{tmp_path}/dead").count() == 1
