@@ -255,8 +255,8 @@ def pack(documents: DataFrame, *, window: int = WINDOW, per_shard: int = PER_SHA
 
     def fill(shard: pa.Table) -> pa.Table:
         shard = shard.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        encode, text = encoder(), shard.column("text").combine_chunks()
-        ids = [np.append(encode(t.as_py() or ""), np.uint16(END)) for t in text]
+        text = shard.column("text").combine_chunks()
+        ids = [np.append(x, np.uint16(END)) for x in encoder().every(text)]
         sizes = np.array([len(x) for x in ids])
         index = Index(text, docs, mean, frequency)
         pieces = list(arrange(sizes, index, window))

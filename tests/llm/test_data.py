@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -38,6 +39,18 @@ def test_encoder(tokenizer, rows):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_asks_once(tokenizer):
+    """New words of many texts, nulls and odd white space among them, take one call, and a text of its own only where it must."""
+    texts = ["", None, " a", "b ", "x  y", *(f"w{i} new{i} w{i + 1}, é{i} é{i}" for i in range(200))]
+    encode = Encoder()
+    calls, whole = [], encode._encode
+    encode._encode = lambda text: calls.append(len(text)) or whole(text)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in encode.every(pa.array([*texts, "cut"])[:-1])] == want
+    heads = len(texts) - 2
+    assert len(calls) == heads + 2 + 1 and max(calls) < sum(len(t or "") for t in texts)
+
+
 @pytest.mark.parametrize("per_shard", [packing.PER_SHARD, 4000])
 def test_packing(documents, rows, tokenizer, per_shard):
     got = packing.pack(documents, window=64, per_shard=per_shard, with_ids=True).collect()
