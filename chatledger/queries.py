@@ -357,10 +357,13 @@ def unread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Read queries
 
 def chats_for_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
+    """The list of the first user who sees any chat. A user has a view row exactly where they are a member, so the members
+    of all chats name the user, and view and counters are folded from the histories of that user's chats alone."""
+    seen = cut_lineage(_per_chat(spark, sf_dir, P.members))
+    first = seen.agg(F.min("user_id").alias("user_id")).first().user_id
+    events = events_for_user(_events(spark, sf_dir), seen, first)
     lives = cut_lineage(H.message_lives(events), events)
     view, counters = cut_lineage(P.user_view(events, lives)), U.unread(events, lives)
-    first = view.agg(F.min("user_id").alias("user_id")).scalar()
     rows = R.chat_list(view.where(F.col("user_id") == first), counters.where(F.col("user_id") == first))
     return numbered(rows, ["user_id"], R.list_order()).select("user_id", "pos", *R.LIST_COLUMNS)
 

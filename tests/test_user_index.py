@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chatledger.operators import projections as P
 from chatledger.operators import reads as R
 from chatledger.operators import unread as U
+from chatledger import queries
 from chatledger.queries import store
 from chatledger.sources import user_index as X
 from chatledger.sources.tables import store_events
@@ -62,3 +63,35 @@ def test_empty_and_null(spark):
     odd = rows.limit(1).withColumns({
         "name": F.lit("participantsAdded"), "participant_ids": F.expr("array(null, 4L, 4L)"), "chat_id": F.lit(2).cast("long")})
     assert [tuple(r) for r in X.write_user_index(odd).collect()] == [(4, 2)]
+
+
+def test_list_of_first_user_folds_own_chats(spark, monkeypatch):
+    """The query's folds see the histories of the first user's chats and no others, with the list of the whole fold."""
+    events = store_events(frame(spark, random_log(11, chats=8, length=30)))
+    monkeypatch.setattr(queries, "_events", lambda *_: events)
+    monkeypatch.setattr(queries, "_per_chat", lambda _, __, fold: fold(events))
+    user = P.user_view(events).agg(F.min("user_id")).first()[0]
+    seen = []
+
+    def view(rows, lives):
+        seen.extend(r.chat_id for r in rows.select("chat_id").distinct().collect())
+        return user_view(rows, lives)
+
+    user_view = P.user_view
+    monkeypatch.setattr(P, "user_view", view)
+    got = queries.chats_for_user(spark, SF).orderBy("pos").collect()
+    assert [tuple(r)[2:] for r in got] == listed_by(user_view, events, user) and {r.user_id for r in got} == {user}
+    own = {r.chat_id for r in P.members(events).where(F.col("user_id") == user).collect()}
+    assert set(seen) == own and len(own) < events.select("chat_id").distinct().count()
+
+
+def listed_by(user_view, events, user):
+    rows = R.chats_for_user(user_view(events), U.unread(events), user)
+    return [tuple(r) for r in rows.select(*R.LIST_COLUMNS).collect()]
+
+
+def test_list_of_nobody(spark, monkeypatch):
+    events = store_events(frame(spark, random_log(11, chats=2, length=20)).where("name = 'messageCreated'"))
+    monkeypatch.setattr(queries, "_events", lambda *_: events)
+    monkeypatch.setattr(queries, "_per_chat", lambda _, __, fold: fold(events))
+    assert queries.chats_for_user(spark, SF).isEmpty()
