@@ -138,7 +138,4 @@ def is_event(plain: Column, value: str, name: str, parsed: str, clock: str) -> C
 
 def utc_clock(stamp: str) -> Column:
     """RFC 3339 text with a zone as UTC wall time without zone, whatever the session zone is."""
-    return F.expr(
-        "timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, "
-        f"cast(unix_micros(try_cast({stamp} as timestamp)) as decimal(24, 6)) / 1000000)"
-    )
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros(try_cast({stamp} as timestamp)), timestamp_ntz'1970-01-01 00:00:00')")
